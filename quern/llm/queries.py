@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec
+from quern.llm import bpe_codec, mixing, token_files
+from quern.llm.spark import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +25,23 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids to token files, read the files back, and give counts and checksums."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/quern/tokens-{uuid.uuid4().hex}"
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2, vocabulary=49_408)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, for source weights 5, 2, 1, repeating."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows, sizes, quotas = mixing.mix(docs, mixing.cycle(5, 2, 1))
+    known = spark.createDataFrame([(s, sizes[s], quotas[s]) for s in sizes], "name string, source_size long, target double")
+    rows = rows.withColumn("source", F.element_at("sources", 1))
+    out = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["name"]), "left")  # one row a source
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing}
 ORACLES: dict[str, str] = {}
