@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec, mixing, token_files
+from quern.llm import bpe_codec, mixing, ngram_join, token_files
 from quern.llm.spark import shared_folder
 
 
@@ -25,6 +25,11 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under links of Jaccard similarity 0.75 or more on 5-word shingles."""
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to token files, read the files back, and give counts and checksums."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,5 +48,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing}
+QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing}
 ORACLES: dict[str, str] = {}

@@ -34,3 +34,14 @@ def octets(df: DataFrame, column: str) -> int:
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Partitions of a shuffle, as the session sets it."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Most bytes of a table that is sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def beside(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table as the small side of a join: broadcast if its values are small, else shuffled as any other."""
+    size = sum((F.octet_length(c) if kind in ("string", "binary") else F.lit(8)) + F.lit(0) for c, kind in table.dtypes)
+    total = table.agg(F.coalesce(F.sum(size + F.lit(16)), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(table) if total <= most else table
