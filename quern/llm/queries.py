@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec, mixing, ngram_join, token_files
+from quern.llm import bpe_codec, mixing, ngram_join, substring_dedup, token_files
 from quern.llm.spark import shared_folder
 
 
@@ -30,6 +30,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, removed words and a digest of the kept words of every document, windows of 20 words."""
+    rows = substring_dedup.dedup_text(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to token files, read the files back, and give counts and checksums."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,5 +54,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing}
+QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing}
 ORACLES: dict[str, str] = {}
