@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe_codec, mixing, ngram_join, substring_dedup, token_files
+from quern.llm import bpe_codec, language_id, mixing, ngram_join, quality, substring_dedup, token_files
 from quern.llm.spark import shared_folder
 
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int, held: int) -> F.Column:
+    """Whether crc32 of doc_id as text leaves ``held``; a null doc_id is in no held-out fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == held, F.lit(False))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a classifier that saw no label of the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~_fold(5, 0)).select("doc_id", "quality")
+    rows = quality.score(docs, quality.train(docs, labels))
+    return rows.select("doc_id", _fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give digests of both."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,5 +67,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(~_fold(4, 2)).select("text", "lang"))
+    rows = language_id.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op8_language_id": op8_language_id}
 ORACLES: dict[str, str] = {}
