@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ball_tree, bpe_codec, language_id, mixing, ngram_join, projections, quality, substring_dedup, token_files
+from quern.llm import ball_tree, bpe_codec, html_extract, language_id, mixing, ngram_join, projections, quality, substring_dedup, token_files
 from quern.llm.spark import shared_folder
 
 
@@ -80,10 +80,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors that the projected search finds for every 20th vector."""
     return projections.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op5_ball_tree": op5_ball_tree, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op8_language_id": op8_language_id, "op10_projections": op10_projections}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op5_ball_tree": op5_ball_tree, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op8_language_id": op8_language_id, "op9_html_extract": op9_html_extract, "op10_projections": op10_projections}
 ORACLES: dict[str, str] = {}
