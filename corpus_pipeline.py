@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component the row with the smallest doc_id (then text hash) stays; documents without words stay too."""
     rows = written(ngram_join.join(docs))
-    groups = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("one"))
+    groups = rows.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("one"))
     words = groups.select(F.col("one.doc_id").alias("_id"), F.col("one.tie").alias("_tie"))
     bare = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
     stay = written(words.union(bare).distinct())

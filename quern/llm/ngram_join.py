@@ -377,12 +377,12 @@ def links(docs: DataFrame, column: str = "text", words: int = WORDS, share: tupl
 
 
 def join(docs: DataFrame, column: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Every row of ``docs``: doc_id, tie (hash of the text), n_shingles, component_id (smallest doc_id reachable)."""
+    """Every row of ``docs``: doc_id, tie (hash of the text), n_shingles, component_id (smallest doc_id reachable), component (a name; null for empty sets)."""
     rows = written(describe(docs, column, words))
     found = components(links(docs, column, words, share, rows))
     classes = rows.where("n > 0").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("least"))
     named = classes.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNotNull(), "least"))["least"].alias("component_id"))
-    of_class = written(named.join(least, "root").select(F.col("name").alias("_name"), "component_id"))
+    of_class = written(named.join(least, "root").select(F.col("name").alias("_name"), "component_id", F.col("root").alias("component")))
     out = rows.join(of_class, (rows["name"] == F.col("_name")) & (rows["n"] > 0), "left")
-    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
