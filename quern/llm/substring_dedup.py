@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import blocks
-from quern.llm.spark import beside, octets, written
+from quern.llm.spark import octets, written
 from quern.llm.texts import chunks, mix, rows_of, word_hashes
 
 WINDOW = 20
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW) -> Data
     """id, tie, starts: for each document the starts of its windows that also start earlier in the corpus."""
     keyed, n_ranges = _keyed(docs, column), blocks.ranges(docs.sparkSession, octets(docs, column))
     marks = written(shared_names(keyed, n_ranges).groupBy("id", "tie").agg(F.max("marks").alias("marks")))
-    return written(later_windows(keyed.join(beside(marks), ["id", "tie"]), n_ranges, window))
+    return written(later_windows(keyed.join(marks, ["id", "tie"]), n_ranges, window))
 
 
 def dedup_text(docs: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -242,6 +242,6 @@ def dedup_text(docs: DataFrame, column: str = "text", window: int = WINDOW) -> D
     base = docs.drop("n_words", "n_removed", "kept", "_id", "_tie", "_text")
     keyed = base.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "_tie": F.xxhash64(column), "_text": F.col(column)})
     other = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
-    joined = keyed.join(beside(other), ["_id", "_tie"], "left").select(*base.columns, "_text", "_starts")
+    joined = keyed.join(other, ["_id", "_tie"], "left").select(*base.columns, "_text", "_starts")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_words bigint, n_removed bigint, kept string"])
     return joined.mapInArrow(cut, schema)
