@@ -134,12 +134,15 @@ def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes:
     placed = placed.join(heaps.where("full or left > 0"), ["pattern", "bin"], "left")
 
     def fill(group):
-        """Walk the border bin of one pattern in seeded order; take what still fits."""
+        """Walk the border bin of one pattern in seeded order; take what still fits, then one more if that comes nearer."""
         group = group.sort_values(["draw", "key"])
         left, picked = int(group["left"].iloc[0]), []
         for size in group["size"]:
             picked.append(bool(size <= left and size > 0))
             left -= size if picked[-1] else 0
+        over = [(abs(size - left), i) for i, size in enumerate(group["size"]) if not picked[i] and 0 < size < 2 * left]
+        if over:
+            picked[min(over)[1]] = True
         return group.assign(picked=picked)[["pattern", "key", "picked"]]
 
     units = placed.where("not full").groupBy("pattern", "draw", "key", "left").agg(F.sum("size").alias("size"))
