@@ -28,6 +28,8 @@ MAX_PASSES = 3
 #: Documents that a bin should hold, and the most bins of a pattern.
 BIN_DOCS = 512
 MAX_BINS = 16_384
+#: Documents at the end of a border bin that are chosen together.
+EXACT_DOCS = 128
 
 
 def targets(sizes: dict, weights: dict, passes: int = MAX_PASSES) -> dict:
@@ -134,15 +136,22 @@ def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes:
     placed = placed.join(heaps.where("full or left > 0"), ["pattern", "bin"], "left")
 
     def fill(group):
-        """Walk the border bin of one pattern in seeded order; take what still fits, then one more if that comes nearer."""
+        """Walk the border bin of one pattern in seeded order and take what fits; the last documents fill the rest as nearly as they can."""
         group = group.sort_values(["draw", "key"])
-        left, picked = int(group["left"].iloc[0]), []
-        for size in group["size"]:
-            picked.append(bool(size <= left and size > 0))
-            left -= size if picked[-1] else 0
-        over = [(abs(size - left), i) for i, size in enumerate(group["size"]) if not picked[i] and 0 < size < 2 * left]
-        if over:
-            picked[min(over)[1]] = True
+        left, sizes = int(group["left"].iloc[0]), group["size"].tolist()
+        picked = [False] * len(sizes)
+        tail = max(0, len(sizes) - EXACT_DOCS)
+        for i, size in enumerate(sizes[:tail]):
+            picked[i] = 0 < size <= left
+            left -= size if picked[i] else 0
+        reach = [1]  # bit w: some of the documents so far have w words together
+        for size in sizes[tail:]:
+            reach.append((reach[-1] | reach[-1] << size) & ((1 << 2 * left + 1) - 1))
+        total = _nearest(reach[-1], left)
+        for i in range(len(sizes) - 1, tail - 1, -1):
+            if not reach[i - tail] >> total & 1:
+                picked[i] = True
+                total -= sizes[i]
         return group.assign(picked=picked)[["pattern", "key", "picked"]]
 
     units = placed.where("not full").groupBy("pattern", "draw", "key", "left").agg(F.sum("size").alias("size"))
@@ -153,6 +162,14 @@ def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes:
     return placed.select("doc_id", "key", "size", "sources", times.alias("times")), sizes, quotas
 
 
+def _nearest(bits: int, at: int) -> int:
+    """The set bit of ``bits`` nearest to ``at``; the lower one on a tie."""
+    low = (bits & ((1 << at + 1) - 1)).bit_length() - 1
+    high = bits >> at
+    up = (high & -high).bit_length() - 1
+    return low if up < 0 or at - low <= up else at + up
+
+
 def cycle(*weights: int):
     """Weights that repeat along the sorted sources."""
     return lambda names: {s: weights[i % len(weights)] for i, s in enumerate(names)}
