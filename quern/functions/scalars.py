@@ -36,7 +36,7 @@ def ordinal(n: Column) -> Column:
 def storage(size: Column) -> Column:
     """Bytes in the largest fitting unit of 1024, one decimal."""
     names = ["B", "KB", "MB", "GB", "TB"]
-    step = F.least(F.greatest(F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)))), F.lit(0)), F.lit(len(names) - 1)).cast("int")
+    step = F.least(F.greatest(F.floor(F.log(1024.0, F.greatest(size, F.lit(1)))), F.lit(0)), F.lit(len(names) - 1)).cast("int")
     value = F.round(size / F.pow(F.lit(1024.0), step), 1)
     return F.concat(F.format_number(value, 1), F.lit(" "), F.element_at(F.array(*map(F.lit, names)), step + 1))
 

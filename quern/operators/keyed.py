@@ -35,6 +35,8 @@ def roster(df: DataFrame, user: str, status_rank: Column, here: Column) -> DataF
 def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int, refill: int, interval: int) -> DataFrame:
     """Every event with ``allowed`` and ``tokens`` left: whole tokens refill each interval, the remainder of time is kept.
 
+    A bucket that is full again is forgotten, so the next event starts a fresh one.
+
     A fold over each key's events in order. The events of a key are cut into runs at idle times long
     enough to fill the bucket, so a fold never spans more than one busy run.
     """
@@ -51,7 +53,8 @@ def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int,
         ok = have >= 1
         left = F.when(ok, have - 1).otherwise(have)
         row = F.struct(e["o"].alias("o"), ok.alias("allowed"), left.alias("tokens"))
-        return F.struct(left.alias("tokens"), (s["at"] + ticks * interval).alias("at"), F.concat(s["out"], F.array(row)).alias("out")).cast(kind)
+        at = F.when(have >= capacity, e["t"]).otherwise(s["at"] + ticks * interval)
+        return F.struct(left.alias("tokens"), at.alias("at"), F.concat(s["out"], F.array(row)).alias("out")).cast(kind)
 
     start = F.struct(F.lit(capacity).cast("long").alias("tokens"), F.col("_events")[0]["t"].alias("at"), F.array().cast("array<struct<o:bigint,allowed:boolean,tokens:bigint>>").alias("out")).cast(kind)
     folded = runs.groupBy(key, "_run").agg(events.alias("_events")).select(key, F.inline(F.aggregate("_events", start, step)["out"]))
