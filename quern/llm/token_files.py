@@ -33,7 +33,8 @@ MAGIC = b"QTK1"
 DICTIONARY_DOCS = 2_000
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 2 << 20
-MEMO_WORDS = 400_000
+#: Words whose ids a worker remembers (about 200 bytes each).
+MEMO_WORDS = 1_200_000
 
 
 class WordCoder:
@@ -59,7 +60,10 @@ class WordCoder:
         for at in range(0, len(unseen), 10_000):
             some = unseen[at : at + 10_000]
             found = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            ids = [e.ids for e in found]
+            flat = np.array([i for x in ids for i in x], "<u4").tobytes()
+            ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+            self.memo.update((w, flat[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
         memo = self.memo
         return [b"".join([memo[w] for w in ws]) for ws in words]
 
