@@ -40,7 +40,7 @@ def rows():
         (6, "one two", "en", "a", 7), (7, "ONE\tTwo", "fr", "b", 7), (8, " \n ", "en", "c", 3), (9, body(2) + " " + PASSAGE, "en", "c", 9),
         (10, PASSAGE + "\n" + body(3), "de", "c", 9), (11, "a b c d e f", "en", "a", 1), (12, "a b c d e f g", "en", "a", 1), (13, "same " * 70, "en", "a", 1),
         (14, body(4, 30_000), "en", "a", 1), (15, "été ß 日本  x 😀 don't 12,5", "fr", "b", 4), (16, "%%% 123 ***", "en", "b", 1), (None, "no id at all here now", "en", "b", 1),
-        (17, "dup row", "en", "a", 1), (17, "dup row", "en", "a", 1), (17, "another text of the same id", "en", "a", 1), (18, "<|endoftext|> in text", "en", "a", 1),
+        (17, "dup row", "en", "a", 1), (17, "dup row", "en", "a", 1), (17, "another text of the same id", "en", "a", 1), (18, "<|endoftext|> in text", "en", "a", 1), (19, "DON'T can''s !'re x1234y 'S a\x00b __A--b <|no", "en", "a", 1),
     ]
     return out + [(30 + i, c, "en", "d", 1) for i, c in enumerate(chain)]
 
