@@ -15,13 +15,13 @@ clashing names are replaced by the operator's own.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import mmap
 import os
 import re
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -350,7 +350,7 @@ def send_lexicon(docs: DataFrame, tokenizer: str, column: str = "text", most: in
     merges = Merges(tokenizer)
     words = [w.encode() for w in frequent_words(docs, column, most)]
     flat = compile_lexicon(dict(zip(words, merges.merge(words), strict=True)))
-    name = f"lexicon-{hashlib.sha256(flat).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a name of its own: Spark refuses one name from two places
     path = os.path.join(tempfile.mkdtemp(prefix="quern-"), name)
     with open(path, "wb") as f:
         f.write(flat)
