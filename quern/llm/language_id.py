@@ -3,8 +3,9 @@
 Likelihoods come from byte trigrams of words (letters only, lower case), counted for each language
 over all training rows. A document is a mixture: expectation-maximisation estimates the proportions
 of languages from its words' likelihoods, each word weighing its letters. Nested sets of languages
-(the likeliest one, then two, ... up to ``MOST_MIXED``) compete by penalised likelihood; the set with
-the best score is kept, and its largest share is the prediction.
+(the likeliest one, then two, ... up to all) compete by penalised likelihood; the set with the best
+score is kept, and its largest share is the prediction. A document leaves the competition only when
+its best set so far beats what a perfect fit of any larger set could score.
 
 Null texts and texts without any letter are ``und`` with score 0. Without training rows every text
 is ``und``. Ties go to the language that sorts first. Repeated rows get equal results; a null doc_id
@@ -24,7 +25,6 @@ from quern.llm.texts import buffers, chunks
 
 BITS = 16
 SMOOTH = 0.05
-MOST_MIXED = 3
 STEPS = 6
 #: Nats that one more language of a mixture must gain, per logarithm of the document's words.
 PENALTY = 3.0
@@ -138,7 +138,16 @@ def mixtures(code: np.ndarray, begins: np.ndarray, row: np.ndarray, n_rows: int,
         at = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
         full, _ = em(np.ones((len(open_), n_lang)), like, weight, number, at, letters[open_])
         order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, min(MOST_MIXED, n_lang) + 1):
+        for k in range(2, n_lang + 1):
+            # No set fits better than 0, so k languages score -(k - 1) * cost at most.
+            still = -(k - 1) * cost[open_] > value[open_] - (count[open_] - 1) * cost[open_]
+            if not still.any():
+                break
+            if not still.all():
+                chosen = still[number]
+                like, weight, number = like[chosen], weight[chosen], (np.cumsum(still) - 1)[number[chosen]]
+                at = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                open_, order = open_[still], order[still]
             allowed = np.zeros((len(open_), n_lang))
             np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
             pi, got = em(allowed, like, weight, number, at, letters[open_])

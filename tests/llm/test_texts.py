@@ -195,6 +195,20 @@ def test_language_mixture_and_unknown(spark, rows):
     assert language_id.identify(make(spark, rows), model).count() == len(rows)
 
 
+def test_language_mixture_of_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(docs)
+    one = {k: docs.where(f"lang = '{k}' and n_chars > 2000").orderBy("doc_id").first()["text"] for k in model[0]}
+    cut = lambda k, n: one[k][: one[k].rindex(" ", 0, n)]
+    assert model[0] == ["de", "en", "es", "fr"]
+    mixed = spark.createDataFrame([(i, " ".join(cut(k, 1600 if k == most else 800) for k in model[0])) for i, most in enumerate(model[0])], "doc_id long, text string")
+    for r in language_id.identify(mixed, model).collect():
+        assert r["langs"] == model[0] and r["lang_pred"] == model[0][r["doc_id"]]
+        assert 0.33 < r["score"] < 0.47 and all(0.13 < s < 0.27 for s in r["shares"] if s != r["score"])
+    docs = mixed.selectExpr("doc_id", "text", "cast(null as string) lang").union(docs.select("doc_id", "text", "lang"))
+    assert corpus_pipeline.language(spark, docs, "").where("doc_id < 4").join(mixed, ["doc_id", "text"]).count() == 0
+
+
 @pytest.mark.parametrize("rows_of", ["empty", "odd"])
 def test_empty_tables_and_odd_rows(spark, rows, rows_of, tmp_path):
     docs = make(spark, [] if rows_of == "empty" else [(None, None, None, None, None), (1, "", None, None, None)])
