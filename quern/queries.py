@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,23 +163,24 @@ _QUANT = "CASE WHEN len < 32 THEN len ELSE (len >> (length(bin(len)) - 5)::INT)
 _PART = f"weight * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ({_QUANT}) / (total_len / n_docs))) + 0.5)"
 
 
-def _index(spark, sf):
-    return plan.Index(table(spark, sf, "documents"), "doc_id", ["text"], text.simple_tokens)
+# The SQL has no other words, so the queries beside it index with simple_tokens; ``TOKENIZED`` runs all of them on full tokens.
+def _index(spark, sf, tokenize):
+    return plan.Index(table(spark, sf, "documents"), "doc_id", ["text"], tokenize)
 
 
 @query(f"WITH {_POSTINGS} SELECT doc_id, token, tf FROM postings")
-def term_frequencies(spark, sf):
-    return _index(spark, sf).postings.select("doc_id", "token", "tf")
+def term_frequencies(spark, sf, tokenize=text.simple_tokens):
+    return _index(spark, sf, tokenize).postings.select("doc_id", "token", "tf")
 
 
 @query(f"WITH {_POSTINGS} SELECT token, df FROM dictionary")
-def doc_frequencies(spark, sf):
-    return _index(spark, sf).dictionary.select("token", "df")
+def doc_frequencies(spark, sf, tokenize=text.simple_tokens):
+    return _index(spark, sf, tokenize).dictionary.select("token", "df")
 
 
 @query(f"WITH {_POSTINGS} SELECT s.field, n_docs AS docs, count(*) AS words, count(*) FILTER (df = 1) AS single_use, sum(df)::BIGINT AS entries FROM stats s JOIN dictionary d ON s.field = d.field GROUP BY ALL")
-def index_report(spark, sf):
-    return _index(spark, sf).report()
+def index_report(spark, sf, tokenize=text.simple_tokens):
+    return _index(spark, sf, tokenize).report()
 
 
 def _bm25_sql(expansion: str) -> str:
@@ -189,8 +191,8 @@ _EXACT = "SELECT 'text' AS field, unnest(['the', 'thing', 'was']) AS term, unnes
 
 
 @query(_bm25_sql(_EXACT) + " SELECT doc_id, round(score, 6) AS score, hits FROM scores")
-def bm25_exact(spark, sf):
-    return plan.scored(_index(spark, sf), plan.query_terms("the thing was"), exact=True).select("doc_id", F.round("score", 6).alias("score"), "hits")
+def bm25_exact(spark, sf, tokenize=text.simple_tokens):
+    return plan.scored(_index(spark, sf, tokenize), plan.query_terms("the thing was"), exact=True).select("doc_id", F.round("score", 6).alias("score"), "hits")
 
 
 _KINDS = "SELECT field, term, token, df, distance, CASE WHEN token = term THEN 0 WHEN list_contains(forms, token) THEN 1 WHEN starts_with(token, term) THEN 2 WHEN edits > 0 AND distance <= edits THEN 3 END AS kind FROM (SELECT d.*, q.*, levenshtein(d.token, q.term) AS distance FROM dictionary d, (SELECT unnest(['thing', 'there']) AS term, unnest([['things', 'thinges'], ['theres', 'therees']]) AS forms, 1 AS edits) q)"
@@ -198,26 +200,26 @@ _EXPANSION = f"SELECT field, term, token, CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN
 
 
 @query(_bm25_sql(_EXPANSION) + " SELECT doc_id, round(score, 6) AS score, hits FROM scores")
-def bm25_prefix_typo(spark, sf):
-    return plan.scored(_index(spark, sf), plan.query_terms("thing there")).select("doc_id", F.round("score", 6).alias("score"), "hits")
+def bm25_prefix_typo(spark, sf, tokenize=text.simple_tokens):
+    return plan.scored(_index(spark, sf, tokenize), plan.query_terms("thing there")).select("doc_id", F.round("score", 6).alias("score"), "hits")
 
 
 @query(_bm25_sql(_EXACT) + ", rest AS (SELECT * FROM scores WHERE hits < 3), ranked AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rn, count(*) OVER () AS n FROM rest) SELECT doc_id FROM scores WHERE hits = 3 UNION ALL SELECT doc_id FROM ranked WHERE rn <= ceil(n * 0.25)")
-def search_threshold(spark, sf):
-    scores = plan.scored(_index(spark, sf), plan.query_terms("the thing was"), exact=True).withColumn("score", F.round("score", 9))
+def search_threshold(spark, sf, tokenize=text.simple_tokens):
+    scores = plan.scored(_index(spark, sf, tokenize), plan.query_terms("the thing was"), exact=True).withColumn("score", F.round("score", 9))
     return plan.passing(scores, "doc_id", 3, 0.25).select("doc_id")
 
 
 @query(_bm25_sql(_EXACT) + f", best AS (SELECT *, round(score, 9) AS s FROM scores ORDER BY s DESC, doc_id LIMIT 100), shares AS (SELECT doc_id, (contains(t, ' the  thing ')::INT + contains(t, ' thing  was ')::INT) / 2.0 AS share FROM (SELECT doc_id, ' ' || array_to_string(words, '  ') || ' ' AS t FROM ({_WORDS}))) SELECT doc_id, round(s * (1 + 0.5 * CASE WHEN hits >= 2 THEN share ELSE 0 END), 6) AS score FROM best JOIN shares USING (doc_id)")
-def proximity_rerank(spark, sf):
-    index = _index(spark, sf)
+def proximity_rerank(spark, sf, tokenize=text.simple_tokens):
+    index = _index(spark, sf, tokenize)
     scores = plan.scored(index, plan.query_terms("the thing was"), exact=True).withColumn("score", F.round("score", 9))
     return plan.near(index, scores, ["the", "thing", "was"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT lang AS value, count(*) AS count FROM documents WHERE len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x = 'the')) > 0 AND lang IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def search_facet(spark, sf):
-    hits = plan.search(table(spark, sf, "documents"), "doc_id", "the", ["text"], tokenize=text.simple_tokens, exact=True)
+def search_facet(spark, sf, tokenize=text.simple_tokens):
+    hits = plan.search(table(spark, sf, "documents"), "doc_id", "the", ["text"], tokenize=tokenize, exact=True)
     return facets.values(table(spark, sf, "documents").join(hits, "doc_id", "left_semi"), "lang")
 
 
@@ -233,12 +235,19 @@ def vector_similarity(spark, sf):
 
 
 @query(_bm25_sql(_EXACT) + f", v AS (SELECT vec_id AS doc_id, list_inner_product({_UNIT}::DOUBLE[], {_QUNIT!r}::FLOAT[]::DOUBLE[]) AS score FROM embeddings WHERE len(embedding) = 64), vs AS (SELECT * FROM v WHERE score >= 0.1) SELECT doc_id, round(0.5 * coalesce(t.score / (SELECT max(score) FROM scores), 0) + 0.5 * coalesce(vs.score / (SELECT max(score) FROM vs), 0), 5) AS score FROM scores t FULL JOIN vs USING (doc_id)")
-def hybrid_fusion(spark, sf):
-    words = plan.scored(_index(spark, sf), plan.query_terms("the thing was"), exact=True)
+def hybrid_fusion(spark, sf, tokenize=text.simple_tokens):
+    words = plan.scored(_index(spark, sf, tokenize), plan.query_terms("the thing was"), exact=True)
     near = similarity.similar(table(spark, sf, "embeddings").where("size(embedding) = 64"), "embedding", _QVEC, 0.1).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
     return similarity.fused(words, near, "doc_id").select("doc_id", F.round("score", 5).alias("score"))
 
 
+#: The search queries on the operator's own tokens, which SQL cannot split alike.
+TOKENIZED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f"{f.__name__}_full": partial(f, tokenize=text.tokens)
+    for f in (term_frequencies, doc_frequencies, index_report, bm25_exact, bm25_prefix_typo, search_threshold, proximity_rerank, search_facet, hybrid_fusion)
+}
+
+
 # Two versions of orders: some are deleted, some change, some are new.
 _AFTER = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT o_orderkey + 100000000, o_custkey, 'N', NULL FROM orders WHERE o_orderkey % 13 = 0"
 _FIELDS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
