@@ -11,7 +11,7 @@ from quern.errors import QueryError
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of ``folder``; NaN in its top-level doubles means absent."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return without_nan(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def without_nan(df: DataFrame) -> DataFrame:
