@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import blocks
 from quern.llm.spark import beside, octets, written
-from quern.llm.texts import chunks, mix, rows_of, word_hashes
+from quern.llm.texts import buffers, chunks, mix, rows_of, span_hashes, word_hashes
 
 RUN = 8
 PAGES = 3
@@ -171,7 +171,8 @@ def unique_runs(streams: DataFrame, text_bytes: int, run: int = RUN, pages: int
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(chunks(batches, "_stream")):
             words, first = word_hashes(batch.column(1))
-            host, _ = word_hashes(pa.array([h or "-" for h in batch.column(0).to_pylist()]))
+            data, at = buffers(batch.column(0))
+            host = span_hashes(data, at[:-1], at[1:])  # of the whole string, white space or not
             row = rows_of(first)
             order, cut = suffix_classes(mix(words ^ host[row]) if len(words) else words, row, run)
             name = np.zeros(len(order), np.uint64)

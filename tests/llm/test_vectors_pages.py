@@ -97,3 +97,14 @@ def test_repeated_runs_of_a_host_go(spark, monkeypatch):
     assert got[3]["text"] == "page 3 says " + " ".join(f"t3w{k}" for k in range(20)) and got[3]["n_chars"] == len(got[3]["text"])
     assert got[20]["text"] == boiler and got[21]["text"] == got[22]["text"] == ""
     assert html_extract.extract(df).count() == 10 and html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["http://a b/{}", "http:// /{}"])
+def test_white_space_in_a_host(spark, odd):
+    boiler = lambda h: " ".join(f"{h}terms{k}" for k in range(12))
+    own = lambda h, i: f"{h}{i} says " + " ".join(f"{h}{i}w{k}" for k in range(20))
+    once = "a text that every host holds on one page only"
+    urls = {"odd": odd, "none": "{}", "z": "http://z.x/{}"}
+    rows = [(100 * n + i, u.format(i), f"<p>{boiler(h)}</p><p>{own(h, i)}</p>" + f"<p>{once}</p>" * (i == 2)) for n, (h, u) in enumerate(urls.items()) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * n + i: own(h, i) + f" {once}" * (i == 2) for n, h in enumerate(urls) for i in range(4)}
