@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quern.llm.spark import beside, written
 
 SESSION_GAP_MS = 300_000
+#: Most events of a token bucket's piece.
+PIECE = 512
 
 
 def first_by(df: DataFrame, key: str, order: list) -> DataFrame:
@@ -32,33 +43,140 @@ def roster(df: DataFrame, user: str, status_rank: Column, here: Column) -> DataF
     return df.groupBy(user).agg(F.count(F.lit(1)).alias("tabs"), F.bool_or(here).alias("here"), F.max(status_rank).alias("status"))
 
 
+def _spend(state: tuple[int, int], t: list[int], capacity: int, refill: int, interval: int) -> tuple[tuple[int, int], list[int]]:
+    """A bucket (tokens, start of the open interval) after events at ``t``, and what each found in it."""
+    (have, at), found = state, []
+    for now in t:
+        ticks = (now - at) // interval
+        have += ticks * refill
+        at += ticks * interval
+        if have >= capacity:
+            have, at = capacity, now
+        found.append(have)
+        have -= have >= 1
+    return (have, at), found
+
+
+def _map_of(t: np.ndarray, capacity: int, refill: int, interval: int) -> list[np.ndarray]:
+    """What a piece of events does to any bucket, as sorted rows (tokens, low, at, left, fixed).
+
+    Way in, seen at the first event: so many tokens, and an open interval that began ``low`` or more (up to the next
+    row's) ago; a full bucket is the last row. Way out: ``left`` tokens, and an interval that began at ``at``, or,
+    unless ``fixed``, at ``at`` less the lag on the way in.
+    """
+    lows = np.unique(np.append(0, (t[0] - t) % interval))
+    tokens, low = np.append(np.repeat(np.arange(capacity), len(lows)), capacity), np.append(np.tile(lows, capacity), 0)
+    at, have, fixed, of = t[0] - low, tokens, tokens >= capacity, np.arange(len(low))
+    for k, now in enumerate(t.tolist()):
+        ticks = (now - at) // interval
+        have = have + ticks * refill
+        full = have >= capacity
+        at, have, fixed = np.where(full, now, at + ticks * interval), np.minimum(have, capacity), fixed | full
+        have = have - (have >= 1)
+        if k % 32 == 31 and len(at) > 1:  # states that have become equal are followed once
+            order = np.lexsort((fixed, have, at))
+            new = np.append(True, (np.diff(at[order]) != 0) | (np.diff(have[order]) != 0) | (fixed[order][1:] != fixed[order][:-1]))
+            to = np.empty(len(at), np.int64)
+            to[order] = np.cumsum(new) - 1
+            first = order[new]
+            at, have, fixed, of = at[first], have[first], fixed[first], to[of]
+    at, have, fixed = at[of], have[of], fixed[of]
+    at = np.where(fixed, at, at + low)
+    keep = np.append(True, (np.diff(tokens) != 0) | (np.diff(at) != 0) | (np.diff(have) != 0) | (fixed[1:] != fixed[:-1]))
+    return [x[keep].astype(np.int64) for x in (tokens, low, at, have, fixed)]
+
+
 def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int, refill: int, interval: int) -> DataFrame:
     """Every event with ``allowed`` and ``tokens`` left: whole tokens refill each interval, the remainder of time is kept.
 
     A bucket that is full again is forgotten, so the next event starts a fresh one.
 
-    A fold over each key's events in order. The events of a key are cut into runs at idle times long
-    enough to fill the bucket, so a fold never spans more than one busy run.
+    Events are dealt by ranges of (key, time, order), so a hot key goes to many tasks, and cut into pieces of one key
+    and bounded size. Only the first key of a range may have begun before: its pieces, until the bucket is known
+    whatever it was, are described by maps. These are chained by key, then every piece is filled in on its own.
     """
-    full = -(-capacity // refill) * interval
-    w = Window.partitionBy(key).orderBy(stamp, order)
-    idle = F.coalesce((F.col(stamp) - F.lag(stamp).over(w) >= full).cast("int"), F.lit(1))
-    runs = df.withColumn("_idle", idle).withColumn("_run", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    events = F.array_sort(F.collect_list(F.struct(F.col(stamp).alias("t"), F.col(order).alias("o"))))
-    kind = "struct<tokens:bigint,at:bigint,out:array<struct<o:bigint,allowed:boolean,tokens:bigint>>>"
-
-    def step(s: Column, e: Column) -> Column:
-        ticks = F.floor((e["t"] - s["at"]) / interval).cast("long")
-        have = F.least(F.lit(capacity).cast("long"), s["tokens"] + ticks * refill)
-        ok = have >= 1
-        left = F.when(ok, have - 1).otherwise(have)
-        row = F.struct(e["o"].alias("o"), ok.alias("allowed"), left.alias("tokens"))
-        at = F.when(have >= capacity, e["t"]).otherwise(s["at"] + ticks * interval)
-        return F.struct(left.alias("tokens"), at.alias("at"), F.concat(s["out"], F.array(row)).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(capacity).cast("long").alias("tokens"), F.col("_events")[0]["t"].alias("at"), F.array().cast("array<struct<o:bigint,allowed:boolean,tokens:bigint>>").alias("out")).cast(kind)
-    folded = runs.groupBy(key, "_run").agg(events.alias("_events")).select(key, F.inline(F.aggregate("_events", start, step)["out"]))
-    return folded.withColumnRenamed("o", order)
+    rule = (capacity, refill, interval)
+    size = max(32, min(PIECE, (1 << 16) // max(capacity, 1)))
+    names = ("_tokens", "_low", "_at", "_left", "_fixed")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        of, t, o = None, [], []
+        for batch in batches:
+            for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t and (k != of or len(t) == size):
+                    yield of, t, o
+                    t, o = [], []
+                of = k
+                t.append(x)
+                o.append(y)
+        if t:
+            yield of, t, o
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, state, of, rows, events = TaskContext.get().partitionId(), None, None, [], 0
+        for seq, (k, t, o) in enumerate(pieces(batches)):
+            if seq and k != of:
+                state = (capacity, t[0])
+            of, maps, known = k, [None] * 5, state
+            if state is None:
+                maps = _map_of(np.array(t, np.int64), *rule)
+                if maps[4].all() and len(set(zip(maps[2].tolist(), maps[3].tolist(), strict=True))) == 1:
+                    state = (int(maps[3][0]), int(maps[2][0]))
+            else:
+                state = _spend(state, t, *rule)[0]
+            rows.append((me, seq, k, t, o, *(known or (None, None)), *(state or (None, None)), *maps))
+            events += len(t)
+            if events >= 1 << 16:  # the last row stays: a later batch knows whether it ends the range
+                yield packed(rows[:-1], False)
+                rows, events = rows[-1:], len(t)
+        if rows:
+            yield packed(rows, True)
+
+    def packed(rows: list[tuple], ends: bool) -> pa.RecordBatch:
+        columns = [*zip(*rows, strict=True), [ends and i == len(rows) - 1 for i in range(len(rows))]] if rows else [[]] * 15
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], fields)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state = object(), None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                first, of = r["_k"] != of, r["_k"]
+                if r["_tokens"] is None:
+                    state = (r["_have_out"], r["_at_out"])
+                    continue
+                state = (capacity, r["_first"]) if first else state
+                out.append((r["_range"], r["_seq"], *state))
+                ticks = (r["_first"] - state[1]) // interval
+                have, lag = state[0] + ticks * refill, r["_first"] - state[1] - ticks * interval
+                have, lag = (capacity, 0) if have >= capacity else (have, lag)
+                at = bisect_right(list(zip(r["_tokens"], r["_low"], strict=True)), (have, lag)) - 1
+                state = (r["_left"][at], r["_at"][at] - (0 if r["_fixed"][at] else lag))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["_r", "_s", "_have", "_since"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, t, o, have, since = batch.columns
+            found = [_spend(s, x, *rule)[1] for s, x in zip(zip(have.to_pylist(), since.to_pylist(), strict=True), t.to_pylist(), strict=True)]
+            each = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            flat = np.array([h for f in found for h in f], np.int64)
+            yield pa.RecordBatch.from_arrays([k.take(each), o.flatten(), pa.array(flat >= 1), pa.array(flat - (flat >= 1))], ["_k", "_o", "allowed", "tokens"])
+
+    timed = df.where(F.col(stamp).isNotNull()).select(F.col(key).alias("_k"), F.col(stamp).cast("long").alias("_t"), F.col(order).cast("long").alias("_o"))
+    kind = timed.schema["_k"].dataType.simpleString()
+    many = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int64(), to_arrow_type(timed.schema["_k"].dataType), many, many, *[pa.int64()] * 4, *[many] * 5, pa.bool_()]
+    fields = ["_range", "_seq", "_k", "_ts", "_os", "_have_in", "_at_in", "_have_out", "_at_out", *names, "_ends"]
+    schema = f"_range long, _seq long, _k {kind}, _ts array<long>, _os array<long>, _have_in long, _at_in long, _have_out long, _at_out long, " + ", ".join(f"{n} array<long>" for n in names) + ", _ends boolean"
+    dealt = timed.repartitionByRange("_k", "_t", "_o").sortWithinPartitions("_k", "_t", "_o")
+    cuts = written(dealt.mapInArrow(cut, schema))  # once: both passes must see the same ranges
+    maps = cuts.where("_have_in is null or _ends").select("_range", "_seq", "_k", F.col("_ts")[0].alias("_first"), F.col("_os")[0].alias("_o"), "_have_out", "_at_out", F.when(F.col("_have_in").isNull(), F.col("_tokens")).alias("_tokens"), *names[1:])
+    chained = written(maps.repartition("_k").sortWithinPartitions("_k", "_first", "_o", "_range", "_seq").mapInArrow(chain, "_r long, _s long, _have long, _since long"))
+    joined = cuts.join(beside(chained), (F.col("_range") == F.col("_r")) & (F.col("_seq") == F.col("_s")), "left")
+    joined = joined.select("_k", "_ts", "_os", F.coalesce("_have_in", "_have"), F.coalesce("_at_in", "_since"))
+    out = joined.mapInArrow(fill, f"_k {kind}, _o long, allowed boolean, tokens long")
+    bare = df.where(F.col(stamp).isNull()).select(key, F.col(order).cast("long"), F.lit(None).cast("boolean"), F.lit(None).cast("long"))
+    return out.union(bare).toDF(key, order, "allowed", "tokens")
 
 
 def outbox(df: DataFrame, key: str, seq: str, rejected: Column) -> DataFrame:
