@@ -161,7 +161,7 @@ def can_link(docs: DataFrame, column: str = "text", words: int = WORDS, share: t
     return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", decide, "name binary").distinct()
 
 
-def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE) -> DataFrame:
+def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE, words: int = WORDS) -> DataFrame:
     """From (name, text): name, n, mass (mean log frequency), marks (min-hashes), keys (sorted), prefix (rarest n-grams and their places)."""
     n_ranges = blocks.ranges(sets.sparkSession, text_bytes)
     p, q = share
@@ -178,7 +178,7 @@ def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE) ->
             return blocks.blobs(rows)
 
         for batch in chunks(batches, "text"):
-            keys, at = shingle_sets(batch.column(1))
+            keys, at = shingle_sets(batch.column(1), words)
             names += batch.column(0).to_pylist()
             sizes.append(np.diff(at))
             parts.append(keys)
@@ -355,7 +355,7 @@ def links(docs: DataFrame, column: str = "text", words: int = WORDS, share: tupl
     first = written(first)
     keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(column).alias("_tie"), F.col(column).alias("text"))
     texts = keyed.join(beside(first), keyed["_id"].eqNullSafe(first["doc_id"]) & (keyed["_tie"] == first["tie"])).select("name", "text")
-    known = written(members(texts, octets(docs, column), share)).dropDuplicates(["name"])
+    known = written(members(texts, octets(docs, column), share, words)).dropDuplicates(["name"])
     roots, out = written(known), None
     sets = roots
     left = roots.select("name", "mass", "marks")

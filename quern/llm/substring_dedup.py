@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.errors import QueryError
 from quern.llm import blocks
 from quern.llm.spark import octets, written
 from quern.llm.texts import chunks, mix, rows_of, word_hashes
@@ -213,6 +214,8 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
 
 def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
     """id, tie, starts: for each document the starts of its windows that also start earlier in the corpus."""
+    if window < WINDOW:  # a shorter one need not hold a border with REACH words on both sides
+        raise QueryError("window_too_small", f"at least {WINDOW} words")
     keyed, n_ranges = _keyed(docs, column), blocks.ranges(docs.sparkSession, octets(docs, column))
     marks = written(shared_names(keyed, n_ranges).groupBy("id", "tie").agg(F.max("marks").alias("marks")))
     return written(later_windows(keyed.join(marks, ["id", "tie"]), n_ranges, window))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from quern.errors import QueryError
 from quern.llm import bpe_codec, language_id, mixing, ngram_join, quality, queries, substring_dedup, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, n string"
@@ -195,6 +196,20 @@ def test_language_mixture_and_unknown(spark, rows):
     assert language_id.identify(make(spark, rows), model).count() == len(rows)
 
 
+def test_join_on_other_word_counts(spark):
+    # One word of thirty changed: 25 of 31 sets of 3 words in common, but 21 of 31 sets of 5 words.
+    pairs = [[f"{p}w{i}" for i in range(30)] for p in range(6)]
+    texts = [" ".join(w) for a in pairs for w in (a, [*a[:15], "other", *a[16:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, words=3).collect()}
+    assert len(set(got.values())) == 6 and all(got[i] == got[i + 1] for i in range(0, 12, 2))
+
+
+def test_short_windows_are_refused(spark):
+    with pytest.raises(QueryError):
+        substring_dedup.dedup_text(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), window=19)
+
+
 def test_language_mixture_of_all_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs)
