@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.spark import beside, written
+from quern.sources.durable import beside, written
 
 SESSION_GAP_MS = 300_000
 #: Most events of a token bucket's piece.
