@@ -110,3 +110,18 @@ def beside(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
     total = table.agg(F.coalesce(F.sum(sum((size(c, k) for c, k in table.dtypes), F.lit(16))), F.lit(0)).alias("n")).first()["n"]
     return F.broadcast(table) if total <= most else table
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row a key, whose column ``count`` tells how many rows the key has.
+
+    Keys above a task's fair share are few (fewer than four a task, whatever the data), so they are broadcast and
+    their rows stay where they are; all other keys meet by a shuffle. ``count`` itself is dropped.
+    """
+    spark = rows.sparkSession
+    fair = max(1000, total // (4 * tasks(spark)))
+    hot = table.where(F.col(count) > fair).drop(count)
+    cold = table.where(F.col(count) <= fair).drop(count)
+    names = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    rest = rows.join(names, F.col(key) == F.col("_hot"), "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
