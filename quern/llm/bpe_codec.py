@@ -20,8 +20,6 @@ import json
 import mmap
 import os
 import re
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.spark import bounded, dropped, new_path, put_bytes, written
 from quern.llm.texts import chunks
 
 #: White space of the pre-tokenizer's pattern; a unit is a run of it with the solid run that follows.
@@ -40,7 +39,12 @@ UNITS = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LEXICON_WORDS = 50_000
-MEMO_UNITS = 400_000
+#: Bytes that a task remembers of units and pre-tokens; it forgets all when it ends.
+MEMO_BYTES = 32 << 20
+#: Bytes of a remembered entry beside its text and ids.
+ENTRY_BYTES = 190
+#: Bytes of the table in which a task counts units before it sends what it has.
+COUNT_BYTES = 64 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -254,16 +258,18 @@ class Codec:
     def __init__(self, tokenizer: str, lexicon: str | None):
         self.merges = merges_of(tokenizer)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.forget()
         special = sorted(self.merges.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else lambda t: [t]
         self.marks = special
 
+    def forget(self) -> None:
+        self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.room = MEMO_BYTES
+
     def _learn(self, units: set[str]) -> None:
         """Put the ids of units into the memo: pre-tokens by the lexicon, unseen ones by exact merging."""
-        if len(self.words) > MEMO_UNITS:
-            self.words.clear()
         cut = {u: PRETOKENS.findall(u) for u in units}
         fresh = list({w for ws in cut.values() for w in ws if w not in self.words})
         raw = [w.encode() for w in fresh]
@@ -275,11 +281,12 @@ class Codec:
         words = self.words
         for u, ws in cut.items():
             self.memo[u] = b"".join([words[w] for w in ws])
+        self.room -= sum(2 * len(w) + ENTRY_BYTES for w in fresh) + sum(5 * len(u) + ENTRY_BYTES for u in units)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
+        if self.room < 0:
+            self.forget()
         special = self.merges.special
         parts = [self.split(t) if t and any(mark in t for mark in self.marks) else [t or ""] for t in texts]
         cut = [[UNITS.findall(p) if p not in special else p for p in ps] for ps in parts]
@@ -318,11 +325,13 @@ def frequent_words(docs: DataFrame, column: str = "text", most: int = LEXICON_WO
     """The most frequent pre-tokens of the whole corpus, counted per task and then summed by word.
 
     Units are counted first; pre-tokens are cut from distinct units only. A task's table is emitted
-    and emptied when it grows large, so memory is bounded whatever the vocabulary.
+    and emptied when it grows large, so memory is bounded whatever the vocabulary. Counts of counts
+    tell how often a word must occur to be among the ``most``; only such words reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units: Counter = Counter()
+        room = COUNT_BYTES
 
         def out() -> pa.RecordBatch:
             words: Counter = Counter()
@@ -334,28 +343,47 @@ def frequent_words(docs: DataFrame, column: str = "text", most: int = LEXICON_WO
             return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
         for batch in chunks(batches, column):
+            before = len(units)
             for text in batch.column(0).to_pylist():
                 if text:
                     units.update(UNITS.findall(text))
-            if len(units) > 300_000:
+            room -= ENTRY_BYTES * (len(units) - before)
+            if room < 0:
                 yield out()
+                room = COUNT_BYTES
         yield out()
 
-    counted = docs.select(column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    bounded(docs.sparkSession)
+    counted = docs.select(column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = written(counted)
+    # Counts that share their bit length and first three bits share a step: a few hundred rows, whatever the corpus.
+    shift = F.greatest(F.length(F.bin("n")) - 4, F.lit(0))
+    step = F.expr("1L") * F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), shift), shift)
+    steps = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    least, total, border = 2, 0, None
+    for r in steps:
+        if total + r["words"] > most:
+            border = r
+            break
+        least, total = r["step"], total + r["words"]
+    chosen = (F.col("n") >= least) if total else F.lit(False)
+    if border:  # of the step at the border as many as fit, give or take chance, by hash
+        chosen |= (step == border["step"]) & (F.pmod(F.xxhash64("word"), F.lit(border["words"])) < most - total)
+    found = [r["word"] for r in counted.where(chosen).select("word").collect()]
+    dropped(counted)
+    return sorted(found)
 
 
 def send_lexicon(docs: DataFrame, tokenizer: str, column: str = "text", most: int = LEXICON_WORDS) -> str:
     """Compile the corpus's lexicon (at most ``most`` words) and send it to the executors; its file name."""
+    spark = docs.sparkSession
     merges = Merges(tokenizer)
     words = [w.encode() for w in frequent_words(docs, column, most)]
     flat = compile_lexicon(dict(zip(words, merges.merge(words), strict=True)))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"  # a name of its own: Spark refuses one name from two places
-    path = os.path.join(tempfile.mkdtemp(prefix="quern-"), name)
-    with open(path, "wb") as f:
-        f.write(flat)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    path = new_path(spark, "lexicon")  # a name of its own: Spark refuses one name from two places
+    put_bytes(spark, path, flat)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
 
 
 def _added(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -369,10 +397,14 @@ def encode(docs: DataFrame, tokenizer: str, column: str = "text", lexicon: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(tokenizer, lexicon)
-        for batch in chunks(batches, column, 1 << 20):
-            ids = work.encode(batch.column(batch.schema.get_field_index(column)).to_pylist())
-            yield _added(batch, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())})
-
+        try:
+            for batch in chunks(batches, column, 1 << 20):
+                ids = work.encode(batch.column(batch.schema.get_field_index(column)).to_pylist())
+                yield _added(batch, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())})
+        finally:  # the worker lives on
+            work.forget()
+
+    bounded(docs.sparkSession)
     base = docs.drop("ids", "n_tokens")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "ids binary, n_tokens bigint"])
     return base.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.spark import written
+from quern.llm.spark import by_key, dropped, written
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -14,18 +14,23 @@ def _print(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest node reachable from each node of ``edges`` (columns ``a``, ``b``): node, root. Nodes without edges are not listed."""
-    least = lambda d: d.groupBy("a").agg(F.min("b").alias("m"))
+    """Smallest node reachable from each node of ``edges`` (columns ``a``, ``b``): node, root. Nodes without edges are not listed.
+
+    A node with very many neighbours is joined by broadcast (``by_key``), so no task gets all of its edges.
+    """
+    least = lambda d: d.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
     ordered = lambda d: d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(ordered(edges))
     seen = _print(edges)
     while seen[0]:
         both = edges.union(edges.select("b", "a"))
-        m = least(both).select("a", F.least("a", "m").alias("m"))
-        large = ordered(both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        m = least(large)
-        small = large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m)
-        edges = written(ordered(small))
+        m = written(least(both).select("a", F.least("a", "m").alias("m"), "c"))
+        large = written(ordered(by_key(both, m, "a", "c", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        n = written(least(large))
+        small = by_key(large, n, "a", "c", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(n.select("a", "m"))
+        before, edges = edges, written(ordered(small))
+        for done in (before, m, large, n):
+            dropped(done)
         now = _print(edges)
         if now == seen:
             break

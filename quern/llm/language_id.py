@@ -21,11 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.texts import buffers, chunks
+from quern.errors import QueryError
+from quern.llm.spark import bounded
+from quern.llm.texts import buffers, carried, chunks, extended
 
 BITS = 16
 SMOOTH = 0.05
-STEPS = 6
+#: Expectation-maximisation ends when no document's weighted log-likelihood gains this much in a step.
+GAIN = 0.05
+#: Most languages that one model may hold (256 KB each, sent to every executor); more are refused.
+MOST_LANGUAGES = 400
 #: Nats that one more language of a mixture must gain, per logarithm of the document's words.
 PENALTY = 3.0
 UNKNOWN = "und"
@@ -90,7 +95,10 @@ def learn(docs: DataFrame, column: str = "text", lang: str = "lang") -> tuple[li
         total = sum(np.frombuffer(c, "<i8") for c in group.column("counts").to_pylist())
         return pa.table({"lang": group.column("lang").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
+    bounded(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(column).isNotNull()).select(F.col(column).alias("text"), F.col(lang).alias("lang"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise QueryError("too_many_languages", f"at most {MOST_LANGUAGES}")
     # A fixed-size table for each language and task, added up in two steps.
     each = rows.mapInArrow(count, "lang string, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
     each = each.groupBy("lang", "part").applyInArrow(lambda g: add(g.select(["lang", "counts"])), "lang string, counts binary")
@@ -117,12 +125,17 @@ def mixtures(code: np.ndarray, begins: np.ndarray, row: np.ndarray, n_rows: int,
     alone = np.add.reduceat(fit, at)
 
     def em(allowed: np.ndarray, like: np.ndarray, weight: np.ndarray, number: np.ndarray, at: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pi = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(STEPS):
+        pi, before = allowed / allowed.sum(axis=1, keepdims=True), -np.inf
+        while True:  # every step gains, so this ends
             r = pi[number] * like
-            r *= (weight / np.maximum(r.sum(axis=1), 1e-300))[:, None]
+            mass = np.maximum(r.sum(axis=1), 1e-300)
+            log = np.log(mass)
+            now = np.add.reduceat(weight * log, at)
+            if (now - before).max() < GAIN:
+                return pi, np.add.reduceat(log, at)
+            before = now
+            r *= (weight / mass)[:, None]
             pi = np.add.reduceat(r, at) / letters[:, None]
-        return pi, np.add.reduceat(np.log(np.maximum((pi[number] * like).sum(axis=1), 1e-300)), at)
 
     order = np.argsort(-alone, axis=1, kind="stable")
     best = np.zeros((len(docs), n_lang))
@@ -157,14 +170,18 @@ def mixtures(code: np.ndarray, begins: np.ndarray, row: np.ndarray, n_rows: int,
     return share, size
 
 
+ADDED = "lang_pred string, score double, langs array<string>, shares array<double>"
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], column: str = "text") -> DataFrame:
     """Every row of ``docs`` with lang_pred, score (its share), langs (the chosen set) and shares added."""
     names, table = model
-    sent = docs.sparkSession.sparkContext.broadcast(table)  # languages x 2 ** BITS
+    sent = docs.sparkSession.sparkContext.broadcast(table)  # languages x 2 ** BITS, see MOST_LANGUAGES
+    rows, schema, at, kept = carried(docs, column, ADDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text", 2 << 20):
-            texts = batch.column(batch.num_columns - 1)
+        for batch in chunks(batches, at, 1 << 20):
+            texts = batch.column(at)
             n = batch.num_rows
             share, _ = mixtures(*trigrams(texts), n, sent.value) if names else (np.zeros((n, 0)), None)
             known = has_letter(texts) & (share.sum(axis=1) > 0)
@@ -172,10 +189,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], column: str =
             pred = [names[t] if k else UNKNOWN for t, k in zip(top.tolist(), known.tolist(), strict=True)]
             value = np.where(known, share.max(axis=1, initial=0), 0.0)
             sets = [np.flatnonzero(s > 0).tolist() if k else [] for s, k in zip(share, known, strict=True)]
-            own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            extra = [pa.array(pred, pa.string()), pa.array(np.clip(value, 0, 1)), pa.array([[names[i] for i in s] for s in sets], pa.list_(pa.string())), pa.array([[float(x[i]) for i in s] for x, s in zip(share, sets, strict=True)], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*own, *extra], [*batch.schema.names[:-1], "lang_pred", "score", "langs", "shares"])
+            langs = pa.array([[names[i] for i in s] for s in sets], pa.list_(pa.string()))
+            shares = pa.array([[float(x[i]) for i in s] for x, s in zip(share, sets, strict=True)], pa.list_(pa.float64()))
+            yield extended(batch, kept, ADDED, [pa.array(pred, pa.string()), pa.array(np.clip(value, 0, 1)), langs, shares])
 
-    base = docs.drop("lang_pred", "score", "langs", "shares", "_text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "lang_pred string, score double, langs array<string>, shares array<double>"])
-    return docs.select(*base.columns, F.col(column).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

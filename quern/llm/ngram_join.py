@@ -32,15 +32,19 @@ from pyspark.sql import functions as F
 
 from quern.llm import blocks
 from quern.llm.graph import components
-from quern.llm.spark import beside, octets, written
+from quern.llm.spark import beside, by_key, octets, written
 from quern.llm.texts import chunks, mix, rows_of, window_hashes, word_hashes
 
 #: A link: NUM * intersection * ... >= share of the union, as a fraction.
 SHARE = (3, 4)
 WORDS = 5
 ROUNDS = 3
-#: Largest set that may count as light, whatever the cost.
-MOST_LIGHT = 12
+#: A subset is hashed, sorted and sent; a list entry is only compared.
+SUBSET_COST = 8
+#: Sizes that can be light at all: of a larger set alone there are over 10**11 subsets.
+LIGHT_SIZES = 64
+#: A subset's ``place`` is this plus the size of the sets that it is meant for.
+SUBSET = 0xFFFFFF00
 
 
 def overlap(n, m, share: tuple[int, int] = SHARE):
@@ -100,9 +104,9 @@ def _sets_of(batches: Iterator[pa.RecordBatch], column: str, words: int) -> Iter
         yield class_names(keys, at), keys, at
 
 
-def can_link(docs: DataFrame, column: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
+def can_link(docs: DataFrame, column: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE, text_bytes: int | None = None) -> DataFrame:
     """Names of the classes of which enough n-grams occur in other rows to link at all: name."""
-    n_ranges = blocks.ranges(docs.sparkSession, octets(docs, column))
+    n_ranges = blocks.ranges(docs.sparkSession, octets(docs, column) if text_bytes is None else text_bytes)
     p, q = share
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +166,7 @@ def can_link(docs: DataFrame, column: str = "text", words: int = WORDS, share: t
 
 
 def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE, words: int = WORDS) -> DataFrame:
-    """From (name, text): name, n, mass (mean log frequency), marks (min-hashes), keys (sorted), prefix (rarest n-grams and their places)."""
+    """From (name, text): name, n, mass (mean log frequency), marks (min-hashes), keys (sorted), prefix (rarest n-grams), their places and summed frequency (scan)."""
     n_ranges = blocks.ranges(sets.sparkSession, text_bytes)
     p, q = share
 
@@ -215,13 +219,15 @@ def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE, wo
             rare = np.lexsort((own, df))[:length]
             place = np.flatnonzero(df[rare] > 1)
             marks = [int(mix(own + np.uint64(k)).min().astype(np.int64)) for k in range(1, ROUNDS + 1)]
-            out.append((raw[16 * i : 16 * i + 16], n, float(np.log2(df).mean()), marks, own.tobytes(), own[rare[place]].tobytes(), place.astype("<u4").tobytes()))
+            out.append((raw[16 * i : 16 * i + 16], n, float(np.log2(df).mean()), marks, own.tobytes(), own[rare[place]].tobytes(), place.astype("<u4").tobytes(), int(df[rare[place]].sum())))
         cols = list(zip(*out, strict=True))
-        types = [pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["name", "n", "mass", "marks", "keys", "prefix", "place"])
+        types = [pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        names = ["name", "n", "mass", "marks", "keys", "prefix", "place", "scan"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols or [[]] * 8, types, strict=True)], names)
 
     sent = sets.select("name", "text").mapInArrow(send, blocks.BLOBS)
-    return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", describe_each, "name binary, n long, mass double, marks array<long>, keys binary, prefix binary, place binary")
+    schema = "name binary, n long, mass double, marks array<long>, keys binary, prefix binary, place binary, scan long"
+    return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", describe_each, schema)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -250,22 +256,25 @@ def subsets(n: int, boundary: int, share: tuple[int, int] = SHARE) -> list[tuple
 
 
 def boundary_of(members: DataFrame, share: tuple[int, int] = SHARE) -> int:
-    """Largest size whose subsets cost no more than the inverted-list entries that they replace."""
-    sizes = {r["n"]: r["c"] for r in members.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    entries = members.agg(F.sum(F.length("prefix") / 8).alias("e"), F.count(F.lit(1)).alias("c")).first()
-    length = max(1.0, (entries["e"] or 0) / max(1, entries["c"]))
+    """The boundary at which light and heavy sets cost least together, from the number of sets of each size and their list entries."""
     p, q = share
-    best = 0
-    for b in range(1, MOST_LIGHT + 1):
-        light = sum(c * sum(k for *_, k in subsets(n, b, share)) for n, c in sizes.items() if n <= q * b // p)
-        heavy = sum(c * (n - -(-p * n // q) + 1) for n, c in sizes.items() if n <= b) * length
-        if light <= heavy or b <= 4:
-            best = b
+    rows = members.groupBy(F.least("n", F.lit(LIGHT_SIZES)).alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("scan").alias("scan")).collect()
+    sizes = {r["n"]: (r["c"], r["scan"]) for r in rows}
+    best, least = 0, sum(scan for _, scan in sizes.values())
+    for b in range(1, p * LIGHT_SIZES // q):
+        light = SUBSET_COST * sum(c * sum(k for *_, k in subsets(n, b, share)) for n, (c, _) in sizes.items() if n * p <= b * q)
+        if light >= least:
+            break  # subsets only grow in number
+        cost = light + sum(scan for n, (_, scan) in sizes.items() if n > b)
+        best, least = (b, cost) if cost < least else (best, least)
     return best
 
 
 def _lists(roots: DataFrame, boundary: int, n_ranges: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs that inverted lists and subsets bring together: a, b, sure (shares a subset, so linked)."""
+    """Pairs that inverted lists and subsets bring together: a, b, sure (shares a subset, so linked).
+
+    Of the pairs that a shared subset proves, a spanning star across the two sizes is given.
+    """
     p, q = share
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +297,7 @@ def _lists(roots: DataFrame, boundary: int, n_ranges: int, share: tuple[int, int
                             salted = mix(own + salt)
                             h = mix(np.array([salted[list(c)].sum() for c in itertools.combinations(range(size), k)], np.uint64))
                             hs.append(h)
-                            where.append(np.full(len(h), blocks.MANY, np.uint32))
+                            where.append(np.full(len(h), SUBSET + m, np.uint32))
                             owner.append(np.full(len(h), i, np.uint32))
                 hs, owner, where = np.concatenate(hs), np.concatenate(owner), np.concatenate(where)
                 order = np.argsort(hs, kind="stable")
@@ -322,10 +331,14 @@ def _lists(roots: DataFrame, boundary: int, n_ranges: int, share: tuple[int, int
             if b - a < 2 or (root[who[a:b]] == root[who[a]]).all():
                 continue
             w, at = who[a:b], place[a:b].astype(np.int64)
-            subset = at == blocks.MANY
-            if subset.any():  # all who share a subset of the required overlap link: a star
-                star = w[subset]
-                sure.update((int(star[0]), int(x)) for x in star[1:] if root[x] != root[star[0]])
+            subset = at >= SUBSET
+            if subset.any():
+                one, other = w[subset], at[subset] - SUBSET  # a hash is of one pair of sizes
+                mine = size[one] == size[one[0]]
+                left, right = (one, one) if other[0] == size[one[0]] else (one[mine], one[~mine])
+                if len(right):
+                    star = [(left[0], x) for x in right] + [(x, right[0]) for x in left[1:]]
+                    sure.update((int(x), int(y)) for x, y in star if root[x] != root[y])
             w, at = w[~subset], at[~subset]
             n, left, r = size[w], size[w] - at, root[w]
             for i in range(0, len(w), 256):  # a strip of the triangle at a time
@@ -350,12 +363,13 @@ def _lists(roots: DataFrame, boundary: int, n_ranges: int, share: tuple[int, int
 def links(docs: DataFrame, column: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE, rows: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between classes that connect every component; ``rows``: what ``describe`` gives."""
     rows = written(describe(docs, column, words)) if rows is None else rows
-    able = written(can_link(docs, column, words, share))
-    first = rows.join(able, "name", "left_semi").groupBy("name").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select("name", "one.*")
-    first = written(first)
+    text_bytes = octets(docs, column)
+    able = can_link(docs, column, words, share, text_bytes)
+    classes = rows.groupBy("name").agg(F.min(F.struct("doc_id", "tie")).alias("one"))  # summed up before it is shuffled
+    first = written(classes.join(able, "name", "left_semi").select("name", "one.*"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(column).alias("_tie"), F.col(column).alias("text"))
     texts = keyed.join(beside(first), keyed["_id"].eqNullSafe(first["doc_id"]) & (keyed["_tie"] == first["tie"])).select("name", "text")
-    known = written(members(texts, octets(docs, column), share, words)).dropDuplicates(["name"])
+    known = members(texts, text_bytes, share, words).dropDuplicates(["name"])
     roots, out = written(known), None
     sets = roots
     left = roots.select("name", "mass", "marks")
@@ -371,7 +385,7 @@ def links(docs: DataFrame, column: str = "text", words: int = WORDS, share: tupl
     for k in range(1, ROUNDS):
         rooted = rooted.join(up.select(F.col("x").alias(f"r{k}"), F.col("y").alias(f"r{k + 1}")), f"r{k}", "left")
     rooted = rooted.withColumn("root", F.coalesce(*(f"r{k}" for k in range(ROUNDS, 0, -1)), "name"))
-    found = written(_lists(rooted, boundary_of(sets, share), blocks.ranges(docs.sparkSession, octets(docs, column)), share))
+    found = written(_lists(rooted, boundary_of(sets, share), blocks.ranges(docs.sparkSession, text_bytes), share))
     sure = found.where("sure").select("a", "b")
     return written(out.union(sure).union(linked(found.where("not sure").select("a", "b"), sets, share)))
 
@@ -380,9 +394,12 @@ def join(docs: DataFrame, column: str = "text", words: int = WORDS, share: tuple
     """Every row of ``docs``: doc_id, tie (hash of the text), n_shingles, component_id (smallest doc_id reachable), component (a name; null for empty sets)."""
     rows = written(describe(docs, column, words))
     found = components(links(docs, column, words, share, rows))
-    classes = rows.where("n > 0").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("least"))
-    named = classes.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNotNull(), "least"))["least"].alias("component_id"))
-    of_class = written(named.join(least, "root").select(F.col("name").alias("_name"), "component_id", F.col("root").alias("component")))
-    out = rows.join(of_class, (rows["name"] == F.col("_name")) & (rows["n"] > 0), "left")
-    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+    least = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
+    classes = written(rows.where("n > 0").groupBy("name").agg(least.alias("least"), F.count(F.lit(1)).alias("copies")))
+    named = written(classes.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
+    groups = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNotNull(), "least"))["least"].alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of_class = by_key(named, written(groups), "root", "members", named.count())
+    of_class = written(of_class.select("name", "component_id", F.col("root").alias("component"), "copies"))
+    out = by_key(rows.where("n > 0"), of_class, "name", "copies", rows.count()).select("doc_id", "tie", F.col("n").alias("n_shingles"), "component_id", "component")
+    bare = rows.where("n = 0").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    return out.union(bare)

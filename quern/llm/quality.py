@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.spark import written
-from quern.llm.texts import LOWER, buffers, chunks, mix, rows_of, span_hashes, word_spans
+from quern.llm.texts import LOWER, buffers, carried, chunks, extended, mix, rows_of, span_hashes, word_spans
 
 BITS = 18
 TRAIN_ROWS = 24_000
@@ -144,14 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
 def score(docs: DataFrame, weights: np.ndarray, column: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``score`` (0 to 1, higher: label 1 likelier) added."""
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # fixed size: 2 ** BITS + 1
+    rows, schema, place, kept = carried(docs, column, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value.astype(float)
-        for batch in chunks(batches, "_text"):
-            index, at = features(batch.column(batch.num_columns - 1))
-            own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(scores(index, at, w))], [*batch.schema.names[:-1], "score"])
-
-    base = docs.drop("score", "_text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double"])
-    return docs.select(*base.columns, F.col(column).alias("_text")).mapInArrow(run, schema)
+        for batch in chunks(batches, place):
+            index, at = features(batch.column(place))
+            yield extended(batch, kept, "score double", [pa.array(scores(index, at, w))])
+
+    return rows.mapInArrow(run, schema)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import ball_tree, bpe_codec, html_extract, language_id, mixing, ngram_join, projections, quality, substring_dedup, token_files
-from quern.llm.spark import shared_folder
+from quern.llm.spark import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +55,7 @@ def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to token files, read the files back, and give counts and checksums."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = f"{shared_folder(spark)}/quern/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2, vocabulary=49_408)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -1,47 +1,5 @@
-"""Small Spark helpers of the operators: sizes, settings, durable cuts of the lineage."""
+"""Small Spark helpers of the operators."""
 
-from __future__ import annotations
+from quern.sources.durable import beside, bounded, by_key, delete, dropped, new_path, octets, put_bytes, shared_folder, tasks, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or in tests a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/quern-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def octets(df: DataFrame, column: str) -> int:
-    """Bytes of text in a column, from one scan of it."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
-
-
-def tasks(spark: SparkSession, least: int = 1) -> int:
-    """Partitions of a shuffle, as the session sets it."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-#: Most bytes of a table that is sent to every executor.
-BROADCAST_BYTES = 16 << 20
-
-
-def beside(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table as the small side of a join: broadcast if its values are small, else shuffled as any other."""
-    size = sum((F.octet_length(c) if kind in ("string", "binary") else F.lit(8)) + F.lit(0) for c, kind in table.dtypes)
-    total = table.agg(F.coalesce(F.sum(size + F.lit(16)), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(table) if total <= most else table
+__all__ = ["beside", "bounded", "by_key", "delete", "dropped", "new_path", "octets", "put_bytes", "shared_folder", "tasks", "written"]

@@ -9,8 +9,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+from quern.llm.spark import bounded
+
+CHUNK_BYTES = 2 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -43,12 +47,12 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str | int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds at most ``most`` bytes (one longer row stands alone)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = batch.schema.get_field_index(column)
+        at = column if isinstance(column, int) else batch.schema.get_field_index(column)
         _, offsets = buffers(batch.column(at))
         start = 0
         while start < batch.num_rows:
@@ -58,6 +62,26 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             start = end
 
 
+def carried(docs: DataFrame, column: str, added: str) -> tuple[DataFrame, str, int, int]:
+    """Rows for a batch function that adds columns (``added``: their DDL), with one copy of the text.
+
+    Gives the rows, the schema of the result, the place of the text and how many columns are kept;
+    columns of ``docs`` with the names of added ones go.
+    """
+    bounded(docs.sparkSession)
+    base = docs.drop(*(a.split()[0] for a in added.split(", ")))
+    rows = base if column in base.columns else docs.select(*base.columns, F.col(column).alias("_text"))
+    at = base.columns.index(column) if column in base.columns else len(base.columns)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), added])
+    return rows, schema, at, len(base.columns)
+
+
+def extended(batch: pa.RecordBatch, kept: int, added: str, columns: list[pa.Array]) -> pa.RecordBatch:
+    """The first ``kept`` columns of a batch and the added ones."""
+    names = [a.split()[0] for a in added.split(", ")]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *columns], [*batch.schema.names[:kept], *names])
+
+
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row starts; null rows are empty."""
     if isinstance(array, pa.ChunkedArray):

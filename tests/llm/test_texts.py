@@ -266,3 +266,52 @@ def test_digests_of_queries(spark, sf):
     source = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
     for r in got.join(source, "doc_id").groupBy("source", "target").agg(F.sum("taken").alias("t")).collect():
         assert abs(r["t"] - r["target"]) <= 0.1 * r["target"]
+
+
+def brute_components(texts):
+    """Size of each text's set and the least number of its component."""
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) if len(t.split()) >= 5 else {tuple(t.lower().split())} - {()} for t in texts]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return [(len(s), top(i)) for i, s in enumerate(sets)]
+
+
+def test_short_texts_link_as_brute_force_says(spark):
+    rng = np.random.default_rng(17)
+    texts = ["a b c d e f g x", "a b c d e f g y", "k1 k2 k3 k4 k5 k6 k7 k8 k9", "k1 k2 k3 k4 k5 k6 k7 k8 other"]
+    for k in range(60):
+        base = [f"{k}w{i}" for i in range(rng.integers(5, 21))]
+        texts.append(" ".join(base))
+        for _ in range(rng.integers(1, 6)):
+            other = list(base)
+            for _ in range(rng.integers(0, 3)):
+                at, way = rng.integers(0, len(other) + 1), rng.integers(0, 3)
+                other[at : at + (way > 0)] = [f"new{rng.integers(0, 5)}"] * int(way < 2)
+            texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
+    want = dict(enumerate(brute_components(texts)))
+    assert got == want and len({want[i] for i in range(4)}) == 4
+
+
+@pytest.mark.parametrize("boundary", [0, 3, 5, 9, 14])
+def test_any_boundary_gives_the_same_components(spark, monkeypatch, boundary):
+    monkeypatch.setattr(ngram_join, "boundary_of", lambda *_: boundary)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(12):
+        base = [f"{k}v{i}" for i in range(rng.integers(6, 19))]
+        texts += [" ".join(base), " ".join(base[:-1]), " ".join([*base, "end"]), " ".join(["x", *base[1:]]), " ".join([*base[:-1], "z"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
