@@ -20,9 +20,13 @@ ORACLE_SQL: str | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language stay; ``lang`` becomes the predicted one."""
-    model = language_id.learn(docs.select("text", "lang"))
-    found = language_id.identify(docs.withColumn("_text_of", F.col("text")), model, "_text_of").where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    """Documents with a main language stay; ``lang`` becomes the predicted one.
+
+    Two folds by a hash of the text: each is judged by a model of the other, so no document by a model that saw it.
+    """
+    fold = F.pmod(F.xxhash64("text"), F.lit(2))
+    parts = [language_id.identify(docs.where(fold == k), language_id.learn(docs.where(fold != k).select("text", "lang"))) for k in (0, 1)]
+    found = parts[0].unionByName(parts[1]).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
