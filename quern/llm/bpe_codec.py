@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.spark import bounded, dropped, new_path, put_bytes, written
-from quern.llm.texts import chunks
+from quern.llm.texts import chunks, spared
 
 #: White space of the pre-tokenizer's pattern; a unit is a run of it with the solid run that follows.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -354,7 +354,7 @@ def frequent_words(docs: DataFrame, column: str = "text", most: int = LEXICON_WO
         yield out()
 
     bounded(docs.sparkSession)
-    counted = docs.select(column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = docs.select(column).mapInArrow(spared(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted = written(counted)
     # Counts that share their bit length and first three bits share a step: a few hundred rows, whatever the corpus.
     shift = F.greatest(F.length(F.bin("n")) - 4, F.lit(0))
@@ -407,7 +407,7 @@ def encode(docs: DataFrame, tokenizer: str, column: str = "text", lexicon: str |
     bounded(docs.sparkSession)
     base = docs.drop("ids", "n_tokens")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "ids binary, n_tokens bigint"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(spared(run), schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -421,4 +421,4 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     base = encoded.drop("decoded")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "decoded string"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(spared(run), schema)

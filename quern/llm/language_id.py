@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import QueryError
 from quern.llm.spark import bounded
-from quern.llm.texts import buffers, carried, chunks, extended
+from quern.llm.texts import buffers, carried, chunks, extended, spared
 
 BITS = 16
 SMOOTH = 0.05
@@ -100,7 +100,7 @@ def learn(docs: DataFrame, column: str = "text", lang: str = "lang") -> tuple[li
     if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise QueryError("too_many_languages", f"at most {MOST_LANGUAGES}")
     # A fixed-size table for each language and task, added up in two steps.
-    each = rows.mapInArrow(count, "lang string, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
+    each = rows.mapInArrow(spared(count), "lang string, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
     each = each.groupBy("lang", "part").applyInArrow(lambda g: add(g.select(["lang", "counts"])), "lang string, counts binary")
     found = sorted(each.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect(), key=lambda r: r["lang"])
     counts = np.array([np.frombuffer(r["counts"], "<i8") for r in found], float).reshape(len(found), 1 << BITS)
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], column: str =
             shares = pa.array([[float(x[i]) for i in s] for x, s in zip(share, sets, strict=True)], pa.list_(pa.float64()))
             yield extended(batch, kept, ADDED, [pa.array(pred, pa.string()), pa.array(np.clip(value, 0, 1)), langs, shares])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(spared(run), schema)

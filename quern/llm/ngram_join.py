@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm import blocks
 from quern.llm.graph import components
 from quern.llm.spark import beside, by_key, octets, written
-from quern.llm.texts import chunks, mix, rows_of, window_hashes, word_hashes
+from quern.llm.texts import chunks, mix, rows_of, spared, window_hashes, word_hashes
 
 #: A link: NUM * intersection * ... >= share of the union, as a fraction.
 SHARE = (3, 4)
@@ -95,7 +95,7 @@ def describe(docs: DataFrame, column: str = "text", words: int = WORDS) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(class_names(keys, at), pa.binary()), pa.array(np.diff(at), pa.int64())], ["doc_id", "tie", "name", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(column).alias("tie"), column)
-    return rows.mapInArrow(run, "doc_id long, tie long, name binary, n long")
+    return rows.mapInArrow(spared(run), "doc_id long, tie long, name binary, n long")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], column: str, words: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -161,7 +161,7 @@ def can_link(docs: DataFrame, column: str = "text", words: int = WORDS, share: t
         keep = np.flatnonzero((size > 0) & (q * shared.astype(np.int64) >= p * size.astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array([raw[16 * i : 16 * i + 16] for i in keep.tolist()], pa.binary())], ["name"])
 
-    sent = docs.select(column).mapInArrow(send, blocks.BLOBS)
+    sent = docs.select(column).mapInArrow(spared(send), blocks.BLOBS)
     return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", decide, "name binary").distinct()
 
 
@@ -225,7 +225,7 @@ def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE, wo
         names = ["name", "n", "mass", "marks", "keys", "prefix", "place", "scan"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols or [[]] * 8, types, strict=True)], names)
 
-    sent = sets.select("name", "text").mapInArrow(send, blocks.BLOBS)
+    sent = sets.select("name", "text").mapInArrow(spared(send), blocks.BLOBS)
     schema = "name binary, n long, mass double, marks array<long>, keys binary, prefix binary, place binary, scan long"
     return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", describe_each, schema)
 
@@ -245,7 +245,7 @@ def linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) ->
 
     left = pairs.join(sets.select(F.col("name").alias("a"), F.col("keys").alias("x")), "a")
     both = left.join(sets.select(F.col("name").alias("b"), F.col("keys").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(spared(run), "a binary, b binary")
 
 
 def subsets(n: int, boundary: int, share: tuple[int, int] = SHARE) -> list[tuple[int, int, int]]:
@@ -356,7 +356,7 @@ def _lists(roots: DataFrame, boundary: int, n_ranges: int, share: tuple[int, int
         hexed = [pa.array([bytes.fromhex(str(v)) for v in c], pa.binary()) for c in cols[:2]]
         yield pa.RecordBatch.from_arrays([*hexed, pa.array(cols[2], pa.bool_())], ["a", "b", "sure"])
 
-    sent = roots.select("name", "n", "prefix", "place", "keys", "root").mapInArrow(send, blocks.BLOBS)
+    sent = roots.select("name", "n", "prefix", "place", "keys", "root").mapInArrow(spared(send), blocks.BLOBS)
     return blocks.by_group(sent, "range", scan, "a binary, b binary, sure boolean").distinct()
 
 

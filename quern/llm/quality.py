@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.spark import written
-from quern.llm.texts import LOWER, buffers, carried, chunks, extended, mix, rows_of, span_hashes, word_spans
+from quern.llm.texts import LOWER, buffers, carried, chunks, extended, mix, rows_of, span_hashes, spared, word_spans
 
 BITS = 18
 TRAIN_ROWS = 24_000
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
     drawn = drawn.withColumn("shard", F.pmod("draw", F.lit(SHARDS)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(column, F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), "_id").select("text", "y", "shard", "draw")
-    sample = written(rows.mapInArrow(count, "i binary, x binary, y double, shard int, draw long"))
+    sample = written(rows.mapInArrow(spared(count), "i binary, x binary, y double, shard int, draw long"))
     weights = np.zeros((1 << BITS) + 1)
     for _ in range(PASSES):
 
@@ -152,4 +152,4 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "text") -> DataFra
             index, at = features(batch.column(place))
             yield extended(batch, kept, "score double", [pa.array(scores(index, at, w))])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(spared(run), schema)

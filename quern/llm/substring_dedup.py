@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quern.errors import QueryError
 from quern.llm import blocks
 from quern.llm.spark import octets, written
-from quern.llm.texts import chunks, mix, rows_of, word_hashes
+from quern.llm.texts import chunks, mix, rows_of, spared, word_hashes
 
 WINDOW = 20
 LEVELS = 3
@@ -131,7 +131,7 @@ def shared_names(docs: DataFrame, n_ranges: int) -> DataFrame:
         marks = [m.tobytes() for m in np.split((pair & np.uint64(0xFFFF)).astype("<u2"), at[1:])] if len(docs) else []
         yield pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(ties[docs]), pa.array(marks, pa.binary())], ["id", "tie", "marks"])
 
-    sent = docs.mapInArrow(send, blocks.BLOBS)
+    sent = docs.mapInArrow(spared(send), blocks.BLOBS)
     return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", gather, "id long, tie long, marks binary")
 
 
@@ -208,7 +208,7 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
         packed = [np.unique(x).astype("<u4").tobytes() for x in np.split(starts, at[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(packed, pa.binary())], ["id", "tie", "starts"])
 
-    sent = texts.select("id", "tie", "text", "marks").mapInArrow(send, blocks.BLOBS)
+    sent = texts.select("id", "tie", "text", "marks").mapInArrow(spared(send), blocks.BLOBS)
     return blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", gather, "id long, tie long, starts binary")
 
 
@@ -247,4 +247,4 @@ def dedup_text(docs: DataFrame, column: str = "text", window: int = WINDOW) -> D
     other = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
     joined = keyed.join(other, ["_id", "_tie"], "left").select(*base.columns, "_text", "_starts")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_words bigint, n_removed bigint, kept string"])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(spared(cut), schema)

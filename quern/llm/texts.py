@@ -5,7 +5,9 @@ Words are ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes. A null text counts as e
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,22 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str | int, most: int = CHU
             start = end
 
 
+def spared(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system when a partition ends: the worker lives on and others need the room."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def carried(docs: DataFrame, column: str, added: str) -> tuple[DataFrame, str, int, int]:
     """Rows for a batch function that adds columns (``added``: their DDL), with one copy of the text.
 
@@ -128,7 +146,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_LETTER[piece] * _power(_BASE, len(piece)), out=total[1:])
         s, e = starts[w:v] - base, ends[w:v] - base
-        out[w:v] = (total[e] - total[s]) * _power(_INVERSE, len(piece))[s] + (e - s).astype(np.uint64)
+        out[w:v] = (total[e] - total[s]) * _power(_INVERSE, len(piece) + 1)[s] + (e - s).astype(np.uint64)
         w = v
     return mix(out)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import QueryError
 from quern.llm.spark import beside, bounded
-from quern.llm.texts import chunks
+from quern.llm.texts import chunks, spared
 
 MAGIC = b"QTK1"
 #: Documents that the dictionary is trained on, give or take chance (a hash of doc_id draws them), and its bytes.
@@ -119,7 +119,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, width: int, colu
 
     n = max(docs.count(), 1)
     drawn = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(n)) < DICTIONARY_DOCS).select(column)
-    raw = [r["raw"] for r in drawn.mapInArrow(run, "raw binary").collect()]
+    raw = [r["raw"] for r in drawn.mapInArrow(spared(run), "raw binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(x) for x in raw)).as_bytes()
     except zstandard.ZstdError:
@@ -198,7 +198,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, vocabulary: int
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), column).repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64(column))
-    ordered.mapInArrow(run, "shard_id long, first_doc long, last_doc long, n_docs long, n_tokens long, body binary").write.option("compression", "none").parquet(f"{path}/shards")
+    ordered.mapInArrow(spared(run), "shard_id long, first_doc long, last_doc long, n_docs long, n_tokens long, body binary").write.option("compression", "none").parquet(f"{path}/shards")
 
 
 _SHARDS = pa.schema([("shard_id", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("body", pa.binary())])
@@ -224,7 +224,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         "ids": pa.array([s.ids(k) for k in range(a, b)], pa.binary()),
                     })
 
-    rows = shards.select("shard_id", "body").mapInArrow(run, "shard_id long, doc_id long, within long, n_tokens long, ids binary")
+    rows = shards.select("shard_id", "body").mapInArrow(spared(run), "shard_id long, doc_id long, within long, n_tokens long, ids binary")
     # Shards are numbered by task and place in it: sums of tasks first (one row a task), then within each task.
     part = F.shiftright("shard_id", 32)
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

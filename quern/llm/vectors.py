@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.spark import tasks, written
+from quern.llm.texts import spared
 
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 256
@@ -53,7 +54,7 @@ def vectors(table: DataFrame, column: str = "embedding", zero: bool = True, fit:
             flat = np.ascontiguousarray(fit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)), "<f8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["vec_id", "v"])
 
-    packed = rows.where(F.size("x") == size).mapInArrow(run, "vec_id long, v binary")
+    packed = rows.where(F.size("x") == size).mapInArrow(spared(run), "vec_id long, v binary")
     return packed.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -151,7 +152,7 @@ def search(table: DataFrame, every: int, k: int, build: Callable[[np.ndarray], I
     def ask(blocks_of: DataFrame) -> DataFrame:
         n_parts = min(max(shards, 1), 4 * tasks(spark))
         both = rows.union(blocks_of.select("shard", F.lit(1).alias("kind"), "key", "ids", "v", "kth"))
-        return both.repartition(n_parts, "shard").sortWithinPartitions("shard", "kind", "key").mapInArrow(run, "query_id long, vec_id long, score double")
+        return both.repartition(n_parts, "shard").sortWithinPartitions("shard", "kind", "key").mapInArrow(spared(run), "query_id long, vec_id long, score double")
 
     home = F.pmod("key", F.lit(shards)).cast("int")
     found = written(ask(blocks(None).withColumn("shard", home)))
