@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.spark import tasks
 
 #: Hashes that a block gathers, and bytes of text that a hash range answers for.
-BLOCK_HASHES = 1_500_000
+BLOCK_HASHES = 1_000_000
 RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
 MANY = 0xFFFFFFFF

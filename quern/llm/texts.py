@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quern.llm.spark import bounded
 
 CHUNK_BYTES = 2 << 20
+#: Bytes that fingerprints are summed over at once, and for which a worker keeps the powers of the base.
+PIECE_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,11 +44,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        steps = np.full(max(n, PIECE_BYTES + (1 << 12)), base, dtype=np.uint64)
         steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
+        found = np.multiply.accumulate(steps)
+        if base not in _powers:  # what only a very long word needs isn't kept
+            _powers[base] = found
+    return found[:n]
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str | int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -136,12 +141,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of byte spans in ascending order, a few megabytes at a time."""
+    """64-bit fingerprints of byte spans in ascending order, a piece at a time."""
     out = np.empty(len(starts), np.uint64)
     w = 0
     while w < len(starts):
         base = starts[w]
-        v = max(w + 1, int(np.searchsorted(starts, base + CHUNK_BYTES)))
+        v = max(w + 1, int(np.searchsorted(starts, base + PIECE_BYTES)))
         piece = data[base : ends[v - 1]]
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_LETTER[piece] * _power(_BASE, len(piece)), out=total[1:])

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quern.errors import QueryError
 from quern.llm import ball_tree, html_extract, projections, queries
 
 
@@ -108,3 +109,107 @@ def test_white_space_in_a_host(spark, odd):
     rows = [(100 * n + i, u.format(i), f"<p>{boiler(h)}</p><p>{own(h, i)}</p>" + f"<p>{once}</p>" * (i == 2)) for n, (h, u) in enumerate(urls.items()) for i in range(4)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {100 * n + i: own(h, i) + f" {once}" * (i == 2) for n, h in enumerate(urls) for i in range(4)}
+
+
+def test_boilerplate_that_nothing_marks(spark):
+    boiler = " ".join(f"terms{k}" for k in range(14))
+    own = lambda i: [" ".join(f"p{i}s{k}x{j}" for j in range(15 + k)) for k in range(3)]
+    page = lambda i, copy="": f"<section><h2>Title {i}</h2>{copy}" + "".join(f"<p>{b}</p>" for b in own(i)) + f"</section><div>{boiler} {i}</div>"
+    rows = [(i, f"http://h.x/{i}", page(i)) for i in range(8)] + [(50 + i, f"http://h.x/c{i}", page(3, "<p>short</p>" * i)) for i in range(4)]
+    rows += [(90, "http://other.x/", page(90))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Title {i} " + " ".join(own(i)) + f" {i}"
+    for i in range(4):  # copies of one page are one page: their text is no boilerplate
+        assert got[50 + i] == "Title 3 " + "short " * i + " ".join(own(3)) + " 3"
+    assert got[90].endswith(f"{boiler} 90")
+
+
+def test_repeated_runs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("quern.llm.html_extract.CHUNK_BYTES", 300)
+    rng = np.random.default_rng(2)
+    pool = [" ".join(rng.choice(list("abcdefgh"), rng.integers(3, 14))) for _ in range(12)]
+    pages = {}
+    for i in range(60):
+        blocks = [str(pool[k]) for k in rng.integers(0, 12, rng.integers(1, 6))] + [" ".join(f"u{i}w{k}" for k in range(30 + i % 3))]
+        pages[i] = (f"h{i % 3}.x", [blocks[k] for k in rng.permutation(len(blocks))])
+    run = 5
+    want = {}
+    for host in ("h0.x", "h1.x", "h2.x"):
+        mine = {i: b for i, (h, b) in pages.items() if h == host}
+        holders = {}
+        for i, blocks in mine.items():
+            for w in (b.split() for b in blocks):
+                for k in range(len(w) - run + 1):
+                    holders.setdefault(tuple(w[k : k + run]), set()).add(i)
+        need = max(3, -(-len(mine) * 3 // 10))
+        for i, blocks in mine.items():
+            kept = []
+            for w in (b.split() for b in blocks):
+                gone = {k + j for k in range(len(w) - run + 1) if len(holders[tuple(w[k : k + run])]) >= need for j in range(run)}
+                kept += [x for k, x in enumerate(w) if k not in gone]
+            want[i] = " ".join(kept)
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{x}</p>" for x in b)) for i, (h, b) in pages.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df, run=run, share=0.3).collect()}
+    assert got == want and any(len(want[i].split()) < sum(len(b.split()) for b in pages[i][1]) for i in pages)
+
+
+def test_articles_whose_tag_is_hidden_keep_their_words(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    hidden = pages.selectExpr("page_id", "url", "regexp_replace(html, '(</?)article>', '$1section>') html")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(hidden).collect()}
+    lost = sum(len(plain[i].split()) - len(got[i].split()) for i in plain)
+    assert lost <= 50 and sum(plain[i] != got[i] for i in plain) <= 3  # a passage on three of a small host's pages
+
+
+def test_open_elements_swallow_nothing():
+    assert html_extract.parse("<p>x<svg>aa<p>b<iframe src=a>c")[2] == ["xaa", "bc"]
+    assert html_extract.parse('<div role="main"><div>in</div>too</div>out')[1:] == (["in", "too"], ["out"])
+    assert html_extract.parse('<article><p class="social-history">kept<div class="share-links">gone</div></article>')[0] == ["kept"]
+    assert html_extract.parse("<p>" + "long " * 300_000)[2] == [("long " * 300_000).strip()]
+
+
+def rows_by_query(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def test_lengths_ids_and_large_components(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((100, 6)) * 2e6, rng.standard_normal((60, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)] + [(7, (-x[7]).tolist())]
+    got = rows_by_query(ball_tree.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 9))
+    for ids, vectors in (([r[0] for r in rows if len(r[1]) == 6], [r[1] for r in rows if len(r[1]) == 6]), (list(range(1000, 1060)), y.tolist())):
+        whole = [[int(np.floor(64 * c)) for c in v] for v in vectors]
+        for i, q in zip(ids, whole, strict=True):
+            if i % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(q, w, strict=True)), j) for j, w in zip(ids, whole, strict=True) if j != i)[:9]
+                assert got[i] == [(j, -s) for s, j in best]
+    with pytest.raises(QueryError):
+        ball_tree.top(spark.createDataFrame([(1, [1e12, 1.0])], "vec_id long, embedding array<double>"), 20, 9)
+
+
+def test_ties_across_shards(spark):
+    rows = [(i, [1.0, float(i % 2)]) for i in range(900)]
+    got = rows_by_query(ball_tree.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 450, 20))
+    assert [v for v, _ in got[0]] == list(range(1, 21)) and [v for v, _ in got[450]] == list(range(20))
+    near = rows_by_query(projections.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 450, 20))
+    assert [v for v, _ in near[0]] == list(range(1, 21))
+
+
+def test_shards_and_rows_are_skipped_on_clusters(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((20, 16)) * 6)[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 16)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    exact = ball_tree.top(df, 50, 20)
+    assert rows_by_query(exact) == brute(x, 50, 20, lambda v: np.floor(64 * v))
+    assert exact.agg({"verified": "avg"}).first()[0] < 0.5 * len(x)
+    near = projections.nearest(df, 50, 20)
+    want = brute(x, 50, 20, lambda v: v)
+    got = rows_by_query(near)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in best}) / 20 for q, best in want.items()]) >= 0.9
+    assert near.agg({"verified": "avg"}).first()[0] < 0.5 * len(x)
