@@ -1,22 +1,24 @@
 """Exact removal of long repeated passages, found by recompression.
 
 Rounds of recompression name adjacent pairs of symbols: a hash of a symbol says whether it may stand
-left or right in a pair, and a pair's name is a hash of its parts, so equal text gets equal names in
-every task of the corpus without any coordination. After ``LEVELS`` rounds the borders between
-symbols depend on at most ``REACH`` words to each side, and a symbol spans at most ``REACH`` words;
-every window of ``WINDOW`` words therefore holds a border that all its copies share, at the same
-offset. Runs of one symbol are left unmerged (a window may cut a run anywhere), so their inner borders
-stay, and a run's name is the name of its repeated symbol.
-
-Names of the text around a border are exchanged first: those that occur once in the corpus rule
-out most windows. The windows around shared names are then verified by their own fingerprints, and
-every occurrence but the earliest (smallest doc_id, then start) is removed, wherever it stands.
+left or right in a pair, and a pair's name is made of its parts' names, so equal text gets equal names
+in every task of the corpus, and no round has to exchange them. After ``LEVELS`` rounds a border between
+symbols depends on at most ``REACH`` words to each side, and a symbol spans at most ``SPAN`` words. The
+last round names phrases: the fewest symbols from a border on that span ``PHRASE`` words. Every window of
+``WINDOW`` words holds such a phrase, which all of its copies share at the same offset. Runs of one
+symbol are not merged (a window may cut a run anywhere), so their inner borders stay, and a run is named
+as the sequence of its symbol.
+
+The names of phrases, the highest symbols, are exchanged: a window whose first phrase occurs once in the
+corpus cannot repeat. The windows of shared phrases are then verified by fingerprints of all their words
+(80 bits), and every occurrence but the earliest (smallest doc_id, then start) is removed, wherever it
+stands.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null, empty and short texts (under one window) lose
 nothing; their words are still joined by single spaces. Rows of one doc_id with different texts are
 ordered by a hash of the text; rows that repeat both are one document and get the same result. A null
 doc_id counts as the smallest. An empty table gives an empty result. Input columns other than those
-named are kept by ``dedup_text`` and take no part. Fingerprints have 64 bits.
+named are kept by ``dedup_text`` and take no part.
 """
 
 from __future__ import annotations
@@ -31,30 +33,51 @@ from pyspark.sql import functions as F
 from quern.errors import QueryError
 from quern.llm import blocks
 from quern.llm.spark import octets, written
-from quern.llm.texts import chunks, mix, rows_of, spared, word_hashes
+from quern.llm.texts import carried, chunks, extended, mix, rows_of, spared, word_hashes
 
 WINDOW = 20
-LEVELS = 3
-#: Longest symbol, and words to each side that decide a border: 1 + 2 + 4 for three rounds.
-REACH = 7
+LEVELS = 2
+#: Words to each side that decide a border: 1 + 2 for two rounds; most words of a symbol; least words of a phrase.
+REACH = 3
+SPAN = 4
+PHRASE = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -(1 << 63)
 
 
-def borders(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where the symbols of the last round start; ``first``: where each row's words start (one more at the end)."""
-    name, start, size = words, np.arange(len(words)), np.ones(len(words), np.int64)
+def symbols(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and names of the symbols after all rounds; ``first``: where each row's words start (one more at the end)."""
+    name, start = words, np.arange(len(words))
     row = rows_of(first)
     for level in range(LEVELS):
         right = (name >> np.uint64(17 + level)) & np.uint64(1) == 1
-        at = np.flatnonzero(~right[:-1] & right[1:] & (row[start[:-1]] == row[start[1:]]) & (size[:-1] + size[1:] <= REACH))
-        name, size = name.copy(), size.copy()
+        at = np.flatnonzero(~right[:-1] & right[1:] & (row[start[:-1]] == row[start[1:]]))
+        name = name.copy()
         name[at] = mix(name[at] * _BASE + name[at + 1] + np.uint64(level))
-        size[at] += size[at + 1]
         keep = np.ones(len(name), bool)
         keep[at + 1] = False
-        name, start, size = name[keep], start[keep], size[keep]
-    return start
+        name, start = name[keep], start[keep]
+    return start, name
+
+
+def borders(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the symbols of the last round start."""
+    return symbols(words, first)[0]
+
+
+def phrases(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and names of all phrases whose borders are decided inside their row."""
+    start, name = symbols(words, first)
+    ends = np.append(start, len(words))
+    to = np.searchsorted(ends, start + PHRASE)
+    row = np.searchsorted(first, start, side="right") - 1
+    last = ends[np.minimum(to, len(start))]
+    fit = np.flatnonzero((start - REACH >= first[row]) & (start + PHRASE <= last) & (last + REACH <= first[row + 1]))
+    out = np.zeros(len(fit), np.uint64)
+    for k in range(PHRASE):  # a phrase has as many symbols at most
+        more = fit + k < to[fit]
+        out[more] = mix(out[more] * _BASE + name[fit[more] + k])
+    return start[fit], out
 
 
 def around(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -65,18 +88,12 @@ def around(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def inner(start: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which borders have ``REACH`` words of their row on both sides."""
-    row = np.searchsorted(first, start, side="right") - 1
-    return (start - REACH >= first[row]) & (start + REACH <= first[row + 1])
-
-
 def _keyed(docs: DataFrame, column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(column).alias("tie"), F.col(column).alias("text"))
 
 
 def shared_names(docs: DataFrame, n_ranges: int) -> DataFrame:
-    """id, tie, marks (low 16 bits of the names around borders that occur elsewhere too)."""
+    """id, tie, marks (low 16 bits of the names of its phrases that occur elsewhere too)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ties, parts, owners, number, total = [], [], [], [], 0, 0
@@ -90,9 +107,8 @@ def shared_names(docs: DataFrame, n_ranges: int) -> DataFrame:
 
         for batch in chunks(batches, "text"):
             words, first = word_hashes(batch.column(2))
-            start = borders(words, first)
-            start = start[inner(start, first)]
-            parts.append(around(words, start - REACH, 2 * REACH))
+            start, name = phrases(words, first)
+            parts.append(name)
             owners.append((np.searchsorted(first, start, side="right") - 1 + len(ids)).astype(np.uint32))
             ids += batch.column(0).to_pylist()
             ties += batch.column(1).to_pylist()
@@ -142,36 +158,34 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
         parts, number, total = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            h, ids, ties, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((starts, ties, ids, h))
-            h, ids, ties, starts = h[order], ids[order], ties[order], starts[order]
+            h, more, ids, ties, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((starts, ties, ids, more, h))
+            h, more, ids, ties, starts = h[order], more[order], ids[order], ties[order], starts[order]
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             late = (ids != ids[lead]) | (ties != ties[lead]) | (starts != starts[lead])
             me = blocks.block_id(number)
-            rows = [(r, me, b"e" + blocks.pack(*x)) for r, (y, z) in blocks.sliced(h[new], n_ranges, np.flatnonzero(new)) for x in [(y, ids[z], ties[z], starts[z])]]
+            rows = [(r, me, b"e" + blocks.pack(*x)) for r, (y, z) in blocks.sliced(h[new], n_ranges, np.flatnonzero(new)) for x in [(y, more[z], ids[z], ties[z], starts[z])]]
             rows.append((me % n_ranges, me, b"d" + blocks.pack(ids[late], ties[late], starts[late])))
             return blocks.blobs(rows)
 
         for batch in chunks(batches, "text"):
             words, first = word_hashes(batch.column(2))
-            start = borders(words, first)
-            fit = inner(start, first)
-            name = np.zeros(len(start), np.uint64)
-            name[fit] = around(words, start[fit] - REACH, 2 * REACH)
+            start, name = phrases(words, first)
             row = np.searchsorted(first, start, side="right") - 1
             marks = [np.frombuffer(m, "<u2").astype(np.uint64) | np.uint64(i << 16) for i, m in enumerate(batch.column(3).to_pylist()) if m]
             marks = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
             mine = row.astype(np.uint64) << np.uint64(16) | name & np.uint64(0xFFFF)
-            known = np.isin(mine, marks) & fit
+            known = np.isin(mine, marks)
             s = np.arange(len(words))
             s = s[s + window <= first[1:][rows_of(first)]]
-            at = np.minimum(np.searchsorted(start, s + REACH), max(len(start) - 1, 0))
+            at = np.searchsorted(start, s + REACH)  # the first phrase of each window
             s = s[known[at]] if len(s) else s
             where = np.searchsorted(first, s, side="right") - 1
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            parts.append((around(words, s, window), ids[where], ties[where], (s - first[where]).astype(np.uint32)))
+            more = (around(mix(words), s, window) >> np.uint64(48)).astype(np.uint16)
+            parts.append((around(words, s, window), more, ids[where], ties[where], (s - first[where]).astype(np.uint32)))
             total += len(s)
             if total > blocks.BLOCK_HASHES:
                 yield out()
@@ -190,11 +204,11 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
         late = [blocks.unpack(x[1:]) for x in payload if x[:1] == b"d"]
         entries = [blocks.unpack(x[1:]) for x in payload if x[:1] == b"e"]
         if entries:
-            h, ids, ties, starts = (np.concatenate(c) for c in zip(*entries, strict=True))
-            order = np.lexsort((starts, ties, ids, h))
-            h, ids, ties, starts = h[order], ids[order], ties[order], starts[order]
+            h, more, ids, ties, starts = (np.concatenate(c) for c in zip(*entries, strict=True))
+            order = np.lexsort((starts, ties, ids, more, h))
+            h, more, ids, ties, starts = h[order], more[order], ids[order], ties[order], starts[order]
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             x = (ids != ids[lead]) | (ties != ties[lead]) | (starts != starts[lead])
             late.append([ids[x], ties[x], starts[x]])
@@ -214,7 +228,7 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
 
 def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
     """id, tie, starts: for each document the starts of its windows that also start earlier in the corpus."""
-    if window < WINDOW:  # a shorter one need not hold a border with REACH words on both sides
+    if window < WINDOW:  # a shorter one need not hold a phrase with REACH words on both sides
         raise QueryError("window_too_small", f"at least {WINDOW} words")
     keyed, n_ranges = _keyed(docs, column), blocks.ranges(docs.sparkSession, octets(docs, column))
     marks = written(shared_names(keyed, n_ranges).groupBy("id", "tie").agg(F.max("marks").alias("marks")))
@@ -224,27 +238,26 @@ def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW) -> Data
 def dedup_text(docs: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with n_words, n_removed and kept (its words that stay, joined by one space) added."""
     found = repeats(docs, column, window)
+    added = "n_words bigint, n_removed bigint, kept string"
+    rows, schema, at, kept_columns = carried(docs, column, added)
+    place = len(rows.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
+        for batch in chunks(batches, at):
             kept, total, gone = [], [], []
-            for text, starts in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, starts in zip(batch.column(at).to_pylist(), batch.column(place).to_pylist(), strict=True):
                 words = text.encode().split() if text else []
                 total.append(len(words))
                 if starts:
-                    at = np.frombuffer(starts, "<u4").astype(np.int64)
+                    begin = np.frombuffer(starts, "<u4").astype(np.int64)
                     change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + window, -1)
+                    np.add.at(change, begin, 1)
+                    np.add.at(change, begin + window, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            own = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
+            yield extended(batch, kept_columns, added, [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())])
 
-    base = docs.drop("n_words", "n_removed", "kept", "_id", "_tie", "_text")
-    keyed = base.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), "_tie": F.xxhash64(column), "_text": F.col(column)})
     other = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
-    joined = keyed.join(other, ["_id", "_tie"], "left").select(*base.columns, "_text", "_starts")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_words bigint, n_removed bigint, kept string"])
-    return joined.mapInArrow(spared(cut), schema)
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col("_id")) & (F.xxhash64(rows[at]) == F.col("_tie"))
+    return rows.join(other, same, "left").select(*rows.columns, "_starts").mapInArrow(spared(cut), schema)

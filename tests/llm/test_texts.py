@@ -109,6 +109,24 @@ def test_borders_repeat_inside_equal_windows():
     assert len(seen) == 1 and seen.pop()
 
 
+@pytest.mark.parametrize("letters", [2**63, 3, 1])
+def test_equal_windows_share_their_first_phrase(letters):
+    rng = np.random.default_rng(9)
+    kinds = rng.integers(0, 2**63, letters, dtype=np.uint64) if letters < 9 else None
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) if kinds is None else kinds[rng.integers(0, letters, n)]
+    for _ in range(20):
+        window, seen = draw(20), set()
+        for _ in range(30):
+            left, right = draw(rng.integers(0, 30)), draw(rng.integers(0, 30))
+            text = np.concatenate([draw(25), left, window, right])
+            start, name = substring_dedup.phrases(text, np.array([0, 25, len(text)]))
+            at = 25 + len(left)
+            k = int(np.searchsorted(start, at + substring_dedup.REACH))
+            assert at + 3 <= start[k] <= at + 6
+            seen.add((int(start[k]) - at, int(name[k])))
+        assert len(seen) == 1
+
+
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.no_truncation()
