@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,8 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     bounded(spark)
     path = new_path(spark)
     df.write.option("compression", codec).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # what led to earlier tables is garbage now: Spark's cleaner drops its shuffle files
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
