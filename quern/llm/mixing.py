@@ -3,10 +3,11 @@
 Documents are aggregated by membership pattern (the set of sources that they belong to). A flow
 network sends each pattern's words to the quotas of its sources; the r-th pass over a pattern costs
 2r - 1 a word, so total cost is convex and repetition is spread before it is stacked. Patterns and
-sources are few, whatever the corpus, so the driver solves the network on the aggregate. Each
-pattern's flow then becomes whole passes over its documents plus a remainder that seeded documents
-fill: documents fall into bins by a seeded hash, whole bins are taken in order, and only the one bin
-at the border is walked document by document.
+sources are few (more than ``MOST_PATTERNS`` are refused), so the driver solves the network on the
+aggregate. Each pattern's flow then becomes whole passes over its documents plus a remainder that seeded
+documents fill: in the order of a seeded hash, each document that still fits is taken. Spark finds where
+that walk must skip a document by histograms of the hash, refined bin by bin, so neither documents nor
+bins are gathered anywhere; it ends when what is left is under ``NEAR`` of the remainder, or nothing fits.
 
 Sizes count ``[^\\x20\\x09-\\x0D]+`` words; null and empty texts have size 0 and are never taken. A
 null source is a source of its own. Rows that repeat a document (same id and text) are taken or left
@@ -19,17 +20,20 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.spark import written
+from quern.errors import QueryError
+from quern.llm.spark import by_key, written
 
 MAX_PASSES = 3
-#: Documents that a bin should hold, and the most bins of a pattern.
-BIN_DOCS = 512
-MAX_BINS = 16_384
-#: Documents at the end of a border bin that are chosen together.
-EXACT_DOCS = 128
+#: Share of a pattern's remainder that may be left unfilled.
+NEAR = 0.0005
+#: Most membership patterns; a column with more is no source to mix by.
+MOST_PATTERNS = 10_000
+#: Bins that one histogram brings to the driver, over all patterns.
+BINS = 1 << 16
+DRAW_BITS = 62
 
 
 def targets(sizes: dict, weights: dict, passes: int = MAX_PASSES) -> dict:
@@ -106,7 +110,44 @@ def word_count(column: str) -> F.Column:
     return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes: int = MAX_PASSES, column: str = "text") -> DataFrame:
+def fill(rows: DataFrame, rests: dict[int, int], near: float = NEAR) -> list[tuple[int, int, int, int]]:
+    """Which rows (pattern, draw, size) fill each pattern's remainder: (pattern, low, high, most) takes low <= draw < high of size <= most.
+
+    The stretches of one greedy walk in the order of ``draw``: a stretch ends before a draw whose rows no longer fit.
+    """
+    spark, bits = rows.sparkSession, max(1, (BINS // max(len(rests), 1)).bit_length() - 1)
+    stretches: list[tuple[int, int, int, int]] = []
+    walks = {p: {"low": 0, "left": r, "from": 0, "upto": 1 << DRAW_BITS, "shift": DRAW_BITS - bits, "taken": 0} for p, r in rests.items() if r > 0}
+    while walks:
+        state = [(p, w["low"], w["left"], w["from"], w["upto"] - 1, w["shift"]) for p, w in walks.items()]
+        state = F.broadcast(spark.createDataFrame(state, "pattern int, low long, most long, a long, b long, shift int"))  # one row a pattern
+        here = rows.join(state, "pattern").where((F.col("draw") >= F.col("low")) & F.col("draw").between(F.col("a"), F.col("b")) & (F.col("size") > 0) & (F.col("size") <= F.col("most")))
+        bins = here.groupBy("pattern", F.expr("shiftright(draw, shift)").alias("bin")).agg(F.sum("size").alias("n"), F.min("draw").alias("first"), F.max("draw").alias("last"))
+        found: dict[int, list] = {}
+        for r in bins.collect():  # at most 2 ** bits rows a pattern
+            found.setdefault(r["pattern"], []).append(r)
+        for p in list(walks):
+            w = walks[p]
+            border = None
+            for r in sorted(found.get(p, []), key=lambda r: r["bin"]):
+                if w["taken"] + r["n"] > w["left"]:
+                    border = r
+                    break
+                w["taken"] += r["n"]
+            if border and border["first"] < border["last"]:  # look into the bin
+                w |= {"from": border["bin"] << w["shift"], "upto": (border["bin"] + 1) << w["shift"], "shift": max(w["shift"] - bits, 0)}
+                continue
+            high = border["first"] if border else w["upto"]
+            stretches.append((p, w["low"], high, w["left"]))
+            left = w["left"] - w["taken"]
+            if border is None and w["upto"] == 1 << DRAW_BITS or left <= near * rests[p]:
+                del walks[p]
+                continue
+            w |= {"low": high + (border is not None), "left": left, "from": 0, "upto": 1 << DRAW_BITS, "shift": DRAW_BITS - bits, "taken": 0}
+    return stretches
+
+
+def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes: int = MAX_PASSES, column: str = "text", near: float = NEAR) -> tuple[DataFrame, dict, dict]:
     """One row per row of ``docs``: doc_id, key (hash of id and text), size, sources, passes taken.
 
     ``members``: a column with one source or an array of them. ``weigh(sources)`` gives the weights of
@@ -114,62 +155,30 @@ def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes:
     """
     spark = docs.sparkSession
     sources = F.col(members) if dict(docs.dtypes)[members].startswith("array") else F.array(members)
-    rows = written(docs.select("doc_id", F.xxhash64("doc_id", column).alias("key"), word_count(column).alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources")))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "key"))
-    found = rows.groupBy("sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    rows = docs.select("doc_id", F.xxhash64("doc_id", column).alias("key"), word_count(column).alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"))
+    rows = written(rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 2)))
+    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise QueryError("too_many_sources", f"more than {MOST_PATTERNS} sets of sources")
     patterns = {tuple(r["sources"]): r["size"] for r in found if r["sources"]}
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in names}
     quotas = targets(sizes, weigh(names), passes)
     taken = route({p: n for p, n in patterns.items() if n}, {s: round(q) for s, q in quotas.items()}, passes)
-    docs_of = {tuple(r["sources"]): r["n"] for r in found if r["sources"]}
-    plan = []
-    for i, (p, n) in enumerate(patterns.items()):
-        whole, rest = divmod(taken.get(p, 0), n) if n else (0, 0)
-        bins = 1 << min(max(docs_of[p] // BIN_DOCS, 1).bit_length() - 1, MAX_BINS.bit_length() - 1)
-        plan.append((i, list(p), whole, rest, bins))
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern int, members array<string>, whole long, rest long, bins long"))  # one row a pattern
-    placed = rows.join(plan, rows["sources"].eqNullSafe(plan["members"]), "left").withColumn("bin", F.pmod(F.shiftright("draw", 16), F.col("bins"))).drop("members")
-    heaps = placed.where("rest > 0").groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("heap"))
-    upto = F.sum("heap").over(Window.partitionBy("pattern").orderBy("bin"))
-    heaps = heaps.withColumn("upto", upto).select("pattern", "bin", (F.col("upto") <= F.col("rest")).alias("full"), (F.col("rest") - F.col("upto") + F.col("heap")).alias("left"))
-    placed = placed.join(heaps.where("full or left > 0"), ["pattern", "bin"], "left")
-
-    def fill(group):
-        """Walk the border bin of one pattern in seeded order and take what fits; the last documents fill the rest as nearly as they can."""
-        group = group.sort_values(["draw", "key"])
-        left, sizes = int(group["left"].iloc[0]), group["size"].tolist()
-        picked = [False] * len(sizes)
-        tail = max(0, len(sizes) - EXACT_DOCS)
-        for i, size in enumerate(sizes[:tail]):
-            picked[i] = 0 < size <= left
-            left -= size if picked[i] else 0
-        reach = [1]  # bit w: some of the documents so far have w words together
-        for size in sizes[tail:]:
-            reach.append((reach[-1] | reach[-1] << size) & ((1 << 2 * left + 1) - 1))
-        total = _nearest(reach[-1], left)
-        for i in range(len(sizes) - 1, tail - 1, -1):
-            if not reach[i - tail] >> total & 1:
-                picked[i] = True
-                total -= sizes[i]
-        return group.assign(picked=picked)[["pattern", "key", "picked"]]
-
-    units = placed.where("not full").groupBy("pattern", "draw", "key", "left").agg(F.sum("size").alias("size"))
-    picked = units.groupBy("pattern").applyInPandas(fill, "pattern int, key long, picked boolean").where("picked")
-    placed = placed.join(picked, ["pattern", "key"], "left")
-    more = F.coalesce("full", F.lit(False)) | F.coalesce("picked", F.lit(False))
-    times = F.coalesce(F.when(F.col("size") > 0, F.col("whole") + more.cast("long")), F.lit(0))
+    plan, rests = [], {}
+    for i, (p, n) in enumerate(sorted(patterns.items(), key=lambda x: str(x[0]))):
+        whole, rests[i] = divmod(taken.get(p, 0), n) if n else (0, 0)
+        plan.append((i, list(p), whole))
+    plan = F.broadcast(spark.createDataFrame(plan, "pattern int, members array<string>, whole long"))  # one row a pattern
+    placed = rows.join(plan, rows["sources"].eqNullSafe(plan["members"]), "left").drop("members")
+    stretches = fill(placed.select("pattern", "draw", "size").where("pattern is not null"), rests, near)
+    of = F.broadcast(spark.createDataFrame(stretches, "of int, low long, high long, most long"))  # a few rows a pattern
+    inside = (F.col("pattern") == F.col("of")) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")) & (F.col("size") <= F.col("most"))
+    placed = placed.join(of, inside, "left")
+    times = F.coalesce(F.when(F.col("size") > 0, F.col("whole") + F.col("of").isNotNull().cast("long")), F.lit(0))
     return placed.select("doc_id", "key", "size", "sources", times.alias("times")), sizes, quotas
 
 
-def _nearest(bits: int, at: int) -> int:
-    """The set bit of ``bits`` nearest to ``at``; the lower one on a tie."""
-    low = (bits & ((1 << at + 1) - 1)).bit_length() - 1
-    high = bits >> at
-    up = (high & -high).bit_length() - 1
-    return low if up < 0 or at - low <= up else at + up
-
-
 def cycle(*weights: int):
     """Weights that repeat along the sorted sources."""
     return lambda names: {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -178,7 +187,7 @@ def cycle(*weights: int):
 def mixed(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes: int = MAX_PASSES) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as the mix takes it."""
     rows, _, _ = mix(docs, weigh, members, seed, passes)
-    times = rows.where("times > 0").groupBy("key").agg(F.max("times").alias("_times"))
+    times = written(rows.where("times > 0").groupBy("key").agg(F.max("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("key", "_key"))
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    out = keyed.join(times, keyed["_key"] == times["key"]).drop("key", "_key")
+    out = by_key(keyed, times, "_key", "_rows", times.agg(F.sum("_rows")).first()[0] or 0).drop("_key")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times", "_copy")

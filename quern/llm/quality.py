@@ -1,11 +1,12 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by FTRL-proximal updates.
 
-Features of a text are hashed n-grams over three views of its words: the lower-cased word, the word's
-shape (runs of letters and digits become one sign, all else stays), and whether a word equals one of
-the three before it. A feature's value is its share of the text's features; a score is the logistic
+Features of a text are hashed word n-grams: every lower-cased word and every pair of neighbours. Beside
+them stand n-grams over two coarser views of the words: the word's shape (runs of letters and digits
+become one sign, all else stays) and pairs of shapes, and whether a word equals one of the three before it. A feature's value is its share of the text's features; a score is the logistic
 of one sparse dot product with the weights. Training takes a bounded sample of the labelled rows
 (``TRAIN_ROWS``, those with the smallest hash); shards of it run the updates of
-follow-the-regularised-leader side by side and their weights are averaged after each pass.
+follow-the-regularised-leader side by side; after each pass their weights and their sums of squared
+gradients (the per-coordinate rates) are averaged, and the next pass goes on from these.
 
 Null and empty texts have no feature and score the logistic of the bias. Without any labelled row all
 scores are 0.5. Null labels are ignored; of several labels of one doc_id the mean decides (a tie
@@ -26,6 +27,8 @@ from quern.llm.spark import written
 from quern.llm.texts import LOWER, buffers, carried, chunks, extended, mix, rows_of, span_hashes, spared, word_spans
 
 BITS = 18
+#: Word, shape, pair of shapes, repetition, pair of words.
+VIEWS = 5
 TRAIN_ROWS = 24_000
 SHARDS = 8
 PASSES = 4
@@ -42,12 +45,12 @@ _SOFT[[ord("a"), ord("A"), ord("0")]] = True
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of every text, concatenated, and each text's offset: four for each word."""
+    """Feature numbers of every text, concatenated, and each text's offset: ``VIEWS`` for each word."""
     data, offsets = buffers(texts)
     starts, ends, first = word_spans(data, offsets)
     n, row = len(starts), rows_of(first)
     if not n:
-        return np.zeros(0, np.int64), 4 * first
+        return np.zeros(0, np.int64), VIEWS * first
     word = span_hashes(LOWER[data], starts, ends)
     kind = _KIND[data]
     keep = np.ones(len(kind), bool)
@@ -64,12 +67,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if n > k:
             equal = (word[k:] == word[:-k]) & (row[k:] == row[:-k])
             again[k:][equal] = k
-    out = np.empty((n, 4), np.uint64)
+    pair = np.zeros(n, np.uint64)
+    pair[1:][same] = word[:-1][same]
+    out = np.empty((n, VIEWS), np.uint64)
     out[:, 0] = word
     out[:, 1] = mix(shape + np.uint64(1))
     out[:, 2] = mix(before * np.uint64(31) + shape + np.uint64(2))
     out[:, 3] = mix(again + np.uint64(3))
-    return (out.reshape(-1) >> np.uint64(64 - BITS)).astype(np.int64), 4 * first
+    out[:, 4] = mix(pair * np.uint64(0x9E3779B97F4A7C15) + word)
+    return (out.reshape(-1) >> np.uint64(64 - BITS)).astype(np.int64), VIEWS * first
 
 
 def scores(index: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -83,11 +89,10 @@ def scores(index: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray
 class Ftrl:
     """FTRL-proximal with per-coordinate rates."""
 
-    def __init__(self, start: np.ndarray):
-        size = (1 << BITS) + 1
-        self.n = np.zeros(size)
-        # The leader's sums that reproduce the starting weights.
-        self.z = -start * (BETA / ALPHA + L2) - np.sign(start) * L1
+    def __init__(self, start: np.ndarray, squares: np.ndarray):
+        self.n = squares.copy()
+        # The leader's sums that reproduce the starting weights at these rates.
+        self.z = -start * ((BETA + np.sqrt(self.n)) / ALPHA + L2) - np.sign(start) * L1
 
     def weights(self, i: np.ndarray) -> np.ndarray:
         z = self.z[i]
@@ -122,22 +127,23 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(column, F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), "_id").select("text", "y", "shard", "draw")
     sample = written(rows.mapInArrow(spared(count), "i binary, x binary, y double, shard int, draw long"))
-    weights = np.zeros((1 << BITS) + 1)
+    weights, squares = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(PASSES):
 
         def fit(group: pa.Table) -> pa.Table:
-            model = Ftrl(weights)  # noqa: B023  (sent with this pass's job)
+            model = Ftrl(weights, squares)  # noqa: B023  (sent with this pass's job)
             order = np.lexsort((group.column("x").to_numpy(), group.column("draw").to_numpy()))
             i, x, y = group.column("i").to_pylist(), group.column("x").to_pylist(), group.column("y").to_pylist()
             for k in order.tolist():
                 model.step(np.frombuffer(i[k], "<u4"), np.frombuffer(x[k], "<f4"), y[k])
             w = model.weights(np.arange((1 << BITS) + 1))
-            return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "n": pa.array([len(y)], pa.int64())})
+            return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "s": pa.array([model.n.astype("<f4").tobytes()], pa.binary()), "n": pa.array([len(y)], pa.int64())})
 
-        got = sample.groupBy("shard").applyInArrow(fit, "w binary, n long").collect()  # one vector a shard
+        got = sorted(sample.groupBy("shard").applyInArrow(fit, "w binary, s binary, n long").collect(), key=lambda r: bytes(r["w"]))  # two vectors a shard
         if not got:
             break
-        weights = sum(np.frombuffer(r["w"], "<f4").astype(float) * r["n"] for r in sorted(got, key=lambda r: bytes(r["w"]))) / sum(r["n"] for r in got)
+        mean = lambda c: sum(np.frombuffer(r[c], "<f4").astype(float) * r["n"] for r in got) / sum(r["n"] for r in got)  # noqa: B023, E731
+        weights, squares = mean("w"), mean("s")
     return weights
 
 

@@ -333,3 +333,134 @@ def test_any_boundary_gives_the_same_components(spark, monkeypatch, boundary):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
     assert got == dict(enumerate(brute_components(texts)))
+
+
+def greedy(rows, rest):
+    """Keys that a walk in the order of the draws takes."""
+    by_draw = defaultdict(list)
+    for key, draw, size in rows:
+        by_draw[draw].append((key, size))
+    out = set()
+    for draw in sorted(by_draw):
+        total = sum(s for _, s in by_draw[draw])
+        if 0 < total <= rest:
+            rest -= total
+            out |= {k for k, _ in by_draw[draw]}
+    return out
+
+
+@pytest.mark.parametrize("bins", [1 << 14])
+def test_mixing_takes_what_a_greedy_walk_takes(spark, monkeypatch, bins):
+    monkeypatch.setattr(mixing, "BINS", bins)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 1 << 62)), int(rng.choice([0, 1, 3, 50, 700]))) for i in range(200)]
+    df = spark.createDataFrame([(0, d, s) for _, d, s in rows], "pattern int, draw long, size long")
+    for rest in (49, 5003):
+        taken = {i for i, d, s in rows for _, low, high, most in mixing.fill(df, {0: rest}, 0.0) if low <= d < high and 0 < s <= most}
+        assert taken == greedy(rows, rest)
+
+
+def test_mixing_of_overlapping_sources(spark):
+    members = [["a"], ["b"], ["a", "b"], ["b", "c"], [None], [], None]
+    rows = [(i, "w " * (1 + i % 13), members[i % 7]) for i in range(700)] + [(0, "w ", ["a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got, sizes, quotas = mixing.mix(docs, mixing.cycle(5, 2, 1), near=0.0)
+    taken = Counter()
+    for r in got.collect():
+        taken[tuple(r["sources"] or ())] += r["size"] * r["times"]
+        assert r["times"] <= 3 and (r["sources"] or not r["times"])
+    flow = mixing.route({k: n for k, n in Counter({tuple(r["sources"] or ()): 0 for r in got.collect()}).items()}, {})
+    assert set(flow) == {tuple(m or ()) if not m else tuple(sorted(m, key=lambda s: (s is None, s or ""))) for m in members}
+    assert abs(sum(taken.values()) - sum(quotas.values())) <= 13 * len(taken)
+    assert taken[("a",)] + taken[("a", "b")] >= quotas["a"] - 26
+
+
+def test_flow_against_exhaustive_search():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        kinds = [("a",), ("b",), ("a", "b")]
+        patterns = {p: int(rng.integers(1, 4)) for p in kinds if rng.random() < 0.8} or {("a",): 2}
+        quotas = {"a": int(rng.integers(0, 7)), "b": int(rng.integers(0, 7))}
+        best = None
+        arcs = [(p, s) for p in patterns for s in p]
+        cost_of = lambda n, size: sum(2 * (k // size) + 1 for k in range(n))
+        for amounts in np.ndindex(*(3 * patterns[p] + 1 for p, _ in arcs)):
+            used, met = Counter(), Counter()
+            for (p, s), n in zip(arcs, amounts, strict=True):
+                used[p] += n
+                met[s] += n
+            if all(used[p] <= 3 * patterns[p] for p in patterns) and all(met[s] <= quotas[s] for s in quotas):
+                value = (-sum(amounts), sum(cost_of(used[p], patterns[p]) for p in patterns))
+                best = min(best, value) if best else value
+        got = mixing.route(patterns, quotas)
+        assert (-sum(got.values()), sum(cost_of(n, patterns[p]) for p, n in got.items())) == best
+
+
+def test_ftrl_against_plain_updates():
+    rng = np.random.default_rng(3)
+    size = (1 << quality.BITS) + 1
+    model = quality.Ftrl(np.zeros(size), np.zeros(size))
+    z, n, weight = defaultdict(float), defaultdict(float), {}
+
+    def w(i):
+        rate = (quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / rate
+
+    for _ in range(200):
+        i, y = rng.choice(50, 6, replace=False), float(rng.integers(0, 2))
+        x = rng.random(6)
+        model.step(i, x, y)
+        old = {k: w(k) for k in i.tolist()}
+        p = 1 / (1 + np.exp(-sum(old[k] * v for k, v in zip(i.tolist(), x.tolist(), strict=True))))
+        for k, v in zip(i.tolist(), x.tolist(), strict=True):
+            g = (p - y) * v
+            z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / quality.ALPHA * old[k]
+            n[k] += g * g
+        weight = {k: w(k) for k in range(50)}
+    assert np.allclose(model.weights(np.arange(50)), [weight[k] for k in range(50)])
+    again = quality.Ftrl(model.weights(np.arange(size)), model.n)  # the next pass goes on from here
+    assert np.allclose(again.weights(np.arange(50)), model.weights(np.arange(50)))
+
+
+def test_quality_on_held_out_rows_only(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op1_quality(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    good, bad = ([r["score"] for r in rows if labels[r["doc_id"]] == y] for y in (1, 0))
+    assert len(rows) > 30 and np.mean([a > b for a in good for b in bad]) > 0.98
+    assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in rows]) > 0.95
+
+
+def test_quality_learns_word_order(spark):
+    rng = np.random.default_rng(0)
+    texts = []
+    for i in range(600):
+        words = [f"w{k}" for k in rng.permutation(12)]
+        at = int(rng.integers(0, 11))
+        words[at : at + 2] = ["alpha", "beta"] if i % 2 else ["beta", "alpha"]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, None), (5, 0), (5, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert np.mean([(got[i] > 0.5) == bool(i % 2) for i in range(400, 600)]) > 0.95
+
+
+def test_mixture_against_plain_em(spark):
+    rng = np.random.default_rng(1)
+    like = rng.dirichlet(np.ones(40), 3)
+    table = np.log(np.pad(like, ((0, 0), (0, (1 << language_id.BITS) - 40)), constant_values=1e-9)).astype(np.float32)
+    code = np.concatenate([rng.choice(40, 300, p=like[k]) for k in (0, 1)]).astype(np.uint32)
+    begins = np.arange(0, 600, 3)
+    share, size = language_id.mixtures(code, begins, np.zeros(200, np.int64), 1, table)
+    word = np.exp(np.add.reduceat(table[:, code].astype(float), begins, axis=1).T)
+    pi = np.ones(3) / 3
+    for _ in range(3000):
+        r = pi * word
+        pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+    two = np.argsort(-pi)[:2]
+    pi = np.zeros(3)
+    pi[two] = 0.5
+    for _ in range(3000):
+        r = pi * word
+        pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+    assert size[0] == 2 and set(np.flatnonzero(share[0])) == set(two.tolist()) and np.allclose(share[0], pi, atol=0.02)
