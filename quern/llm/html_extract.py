@@ -8,7 +8,8 @@ that stands on ``PAGES`` distinct pages and a ``SHARE`` of the host's pages repe
 two longest blocks are equal are copies of one page and count once, so copied articles are no
 boilerplate. Hosts are cut into bounded chunks; each chunk sorts its own suffixes and chunks exchange
 what they found by name, so counts are those of the whole host, and a hot host is no larger a task
-than any other.
+than any other. To spare traffic the least n-gram inside each run (its anchor, the same wherever the run
+stands) is counted first; only runs whose anchor repeats are then counted themselves, so nothing is lost.
 
 What a block loses: outside of all structure, the words that a repeated run covers (unique runs stay).
 Structure breaks ties: chrome goes though it be unique, an article's words stay though they repeat
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import blocks
 from quern.llm.spark import beside, bounded, written
-from quern.llm.texts import CHUNK_BYTES, buffers, chunks, mix, rows_of, span_hashes, spared, word_hashes
+from quern.llm.texts import CHUNK_BYTES, buffers, chunks, mix, rows_of, span_hashes, spared, window_hashes, word_hashes
 
 RUN = 8
 PAGES = 3
@@ -201,10 +202,27 @@ def names_of(words: np.ndarray, block: np.ndarray, page: np.ndarray, host: np.nd
     return mix(name ^ host[page[block[start]]]) & ~np.uint64(0xFF)
 
 
-def suffix_classes(tokens: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all suffixes with ``depth`` words of one row, in suffix order, and where each class of equal prefixes starts."""
-    start = np.arange(max(0, len(tokens) - depth + 1))
-    start = start[row[start] == row[start + depth - 1]]
+def runs_of(block: np.ndarray, run: int) -> np.ndarray:
+    """Where ``run`` words of one block start."""
+    start = np.arange(max(0, len(block) - run + 1))
+    return start[block[start] == block[start + run - 1]] if len(start) else start
+
+
+def anchors(words: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
+    """Of the run at each start where its anchor begins: the n-gram in it with the least fingerprint, the first of equals."""
+    grams = window_hashes(words, anchor_words(run))
+    best = start.copy()
+    for k in range(1, run - anchor_words(run) + 1):
+        best = np.where(grams[start + k] < grams[best], start + k, best) if len(start) else best
+    return best
+
+
+def anchor_words(run: int) -> int:
+    return max(1, run - 3)
+
+
+def suffix_classes(tokens: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at ``start``, in suffix order by ``depth`` words, and where each class of equal prefixes starts."""
     _, rank = np.unique(tokens, return_inverse=True)
     rank, known = rank.astype(np.int64), 1
     while known < depth:  # prefix doubling, bounded by the depth
@@ -218,20 +236,28 @@ def suffix_classes(tokens: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.
     return order, cut
 
 
-def repeated_runs(rows: DataFrame, text_bytes: int, run: int = RUN, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """From pages (_host, _blocks, _need): _host and _often, the packed names of the host's repeated runs.
+def repeated(rows: DataFrame, text_bytes: int, run: int, least: int, known: bool) -> DataFrame:
+    """From pages (_host, _blocks, _need, _anchors): _host and _often, packed names of what repeats in the host.
 
+    Without ``known`` that are anchors of runs; with it, whole runs whose anchor is among the page's ``_anchors``.
     ``_need`` tells on how many pages a run must stand. Since that is a share of the host's pages, a host has at most
-    1 / share times as many such runs as a page has words, however many pages it has.
+    1 / share times as many such names as a page has words, however many pages it has.
     """
     n_ranges = blocks.ranges(rows.sparkSession, text_bytes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(piece for b in batches for piece in slices(b, 1)):
             words, block, page, host = streams(batch, 0, 1)
-            order, cut = suffix_classes(words, block, run)
-            if not len(order):
+            start, depth = runs_of(block, run), run if known else anchor_words(run)
+            at = anchors(words, start, run)
+            if known and len(start):
+                often = np.unique(batch.column(3).flatten().to_numpy().view(np.uint64))  # a name is of one host
+                start = start[np.isin(names_of(words, block, page, host, at, anchor_words(run)), often)]
+            elif not known:
+                start = np.unique(at)
+            if not len(start):
                 continue
+            order, cut = suffix_classes(words, start, depth)
             hosts, of_page = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             # Suffixes of one class may be of several hosts: of each class and host the pages are counted.
             cls = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
@@ -241,7 +267,7 @@ def repeated_runs(rows: DataFrame, text_bytes: int, run: int = RUN, least: int =
             new = np.append(True, (cls[1:] != cls[:-1]) | (of_page[pg[1:]] != of_page[pg[:-1]]))
             group = np.cumsum(new) - 1
             holders = np.bincount(group[np.append(True, new[1:] | (pg[1:] != pg[:-1]))]).astype(np.uint32)
-            name = names_of(words, block, page, host, order[new], run)
+            name = names_of(words, block, page, host, order[new], depth)
             by = np.argsort(name)
             name, holders, owner = name[by], holders[by], of_page[pg[new][by]].astype(np.uint32)
             me = blocks.block_id(number)
@@ -279,7 +305,7 @@ def repeated_runs(rows: DataFrame, text_bytes: int, run: int = RUN, least: int =
         keep = np.flatnonzero(total >= need[owner[at]])
         yield pa.RecordBatch.from_arrays([pa.array([hosts[i] for i in owner[at[keep]].tolist()], pa.string()), pa.array(name[keep].view(np.int64))], ["_host", "name"])
 
-    sent = rows.select("_host", "_blocks", "_need").mapInArrow(spared(send), blocks.BLOBS)
+    sent = rows.select("_host", "_blocks", "_need", "_anchors").mapInArrow(spared(send), blocks.BLOBS)
     found = blocks.by_group(blocks.by_group(sent, "range", answer, blocks.BLOBS), "block", decide, "_host string, name long").distinct()
     return found.groupBy("_host").agg(F.sort_array(F.collect_list("name")).alias("_often"))  # bounded: see above
 
@@ -307,7 +333,10 @@ def extract(pages: DataFrame, column: str = "html", url: str = "url", run: int =
     copied = groups.where("_c > 1").select(F.col("_host").alias("_g"), F.col("_key").alias("_k"), "_one")
     counted = rows.select("_host", "_key", "_row", "_blocks").join(beside(many), F.col("_host") == F.col("_h"))
     counted = counted.join(beside(copied), (F.col("_host") == F.col("_g")) & (F.col("_key") == F.col("_k")), "left").where("_one is null or _one = _row")
-    often = written(repeated_runs(counted, rows.agg(F.sum(F.expr("aggregate(_blocks, 0L, (n, b) -> n + octet_length(b))")).alias("n")).first()["n"] or 0, run, least, share))
+    size = rows.agg(F.sum(F.expr("aggregate(_blocks, 0L, (n, b) -> n + octet_length(b))")).alias("n")).first()["n"] or 0
+    first = written(repeated(counted.withColumn("_anchors", F.lit(None).cast("array<long>")), size, run, least, known=False))
+    first = first.select(F.col("_host").alias("_a"), F.col("_often").alias("_anchors"))
+    often = written(repeated(counted.join(beside(first), F.col("_host") == F.col("_a")), size, run, least, known=True))
     joined = rows.join(beside(often.withColumnRenamed("_host", "_h")), F.col("_host") == F.col("_h"), "left")
     own = [c for c in rows.columns if c not in ("_host", "_blocks", "_kinds", "_key", "_page", "_row")]
     n = len(own)
@@ -315,8 +344,7 @@ def extract(pages: DataFrame, column: str = "html", url: str = "url", run: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in slices(b, n + 1)):
             words, block, page, host = streams(batch, n, n + 1)
-            start = np.arange(max(0, len(words) - run + 1))
-            start = start[block[start] == block[start + run - 1]] if len(start) else start
+            start = runs_of(block, run)
             free = np.ones(len(words), bool)
             often_of = batch.column(n + 3)
             if len(start) and often_of.null_count < batch.num_rows:
