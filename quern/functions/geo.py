@@ -44,3 +44,17 @@ def in_polygon(lat: Column, lon: Column, corners: list[tuple[float, float]]) ->
             crosses = ((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
             inside = inside + crosses.cast("int")
     return inside % 2 == 1
+
+
+def inside_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
+    """Whether a point lies in a box; one whose west exceeds its east spans the date line."""
+    across = (lon >= west) & (lon <= east) if west <= east else (lon >= west) | (lon <= east)
+    return lat.between(south, north) & across
+
+
+def destination(lat: Column, lon: Column, bearing: Column, metres: Column) -> Column:
+    """The point at a bearing (degrees) and distance on the sphere, as a struct of lat and lon."""
+    a, d, way = F.radians(lat), metres / F.lit(6371000.0), F.radians(bearing)
+    up = F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(way))
+    over = F.radians(lon) + F.atan2(F.sin(way) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(up))
+    return F.struct(F.degrees(up).alias("lat"), ((F.degrees(over) + 540) % 360 - 180).alias("lon"))

@@ -25,12 +25,21 @@ def first_by(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def sessions(df: DataFrame, key: str, stamp: str, order: str, gap: int = SESSION_GAP_MS) -> DataFrame:
-    """Runs of a key's events with gaps strictly below ``gap``: key, session, started, ended, events."""
+def sessions(df: DataFrame, key: str, stamp: str, order: str, gap: int = SESSION_GAP_MS, actor: str | None = None, mark: str | None = None) -> DataFrame:
+    """Runs of a key's consecutive events: key, (actor,) session, started, ended, events.
+
+    A run ends where the gap is ``gap`` or more, where the ``actor`` changes (an event between two of another's parts
+    them), and behind an event whose ``mark`` is true (a checkpoint stands there).
+    """
     w = Window.partitionBy(key).orderBy(stamp, order)
-    opens = F.coalesce((F.col(stamp) - F.lag(stamp).over(w) >= gap).cast("int"), F.lit(1))
-    numbered = df.withColumn("_open", opens).withColumn("session", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "session").agg(F.min(stamp).alias("started"), F.max(stamp).alias("ended"), F.count(F.lit(1)).alias("events"))
+    opens = F.col(stamp) - F.lag(stamp).over(w) >= gap
+    if actor:
+        opens |= ~F.col(actor).eqNullSafe(F.lag(actor).over(w))
+    if mark:
+        opens |= F.coalesce(F.lag(mark).over(w), F.lit(False))
+    numbered = df.withColumn("_open", F.coalesce(opens.cast("int"), F.lit(1)))
+    numbered = numbered.withColumn("session", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, *([actor] if actor else []), "session").agg(F.min(stamp).alias("started"), F.max(stamp).alias("ended"), F.count(F.lit(1)).alias("events"))
 
 
 def latest(df: DataFrame, key: str, state: str, version: list[str]) -> DataFrame:
@@ -189,3 +198,41 @@ def outbox(df: DataFrame, key: str, seq: str, rejected: Column) -> DataFrame:
 def debounced(df: DataFrame, key: str, stamp: str, wait: int, now: int) -> DataFrame:
     """Keys that have been quiet for ``wait`` at ``now``, with the time they fell due."""
     return df.groupBy(key).agg((F.max(stamp) + wait).alias("due_at")).where(F.col("due_at") <= now)
+
+
+def live(df: DataFrame, stamp: str, now: int, ttl: int) -> DataFrame:
+    """Presences that were heard of within ``ttl`` of ``now``."""
+    return df.where(F.lit(now) - F.col(stamp) <= ttl)
+
+
+def without_owner(df: DataFrame, owner: str, gone: DataFrame) -> DataFrame:
+    """Presences but for those of connections that ended."""
+    return df.join(gone.select(owner).distinct(), owner, "left_anti")
+
+
+def counted_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int, interval: int) -> DataFrame:
+    """Every event with the tokens left and whether it passes; a token a refill, and one spent even when there is none.
+
+    Refills never stop at the capacity while spending keeps up, so the level is a running extreme: with the ticks since a
+    key's first event as clock, what is spent beyond the refills, less the most that a full bucket cut off so far.
+    """
+    w = Window.partitionBy(key).orderBy(stamp, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ticks = F.floor((F.col(stamp) - F.min(stamp).over(Window.partitionBy(key))) / interval)
+    spent = F.row_number().over(w) - 1
+    rows = df.withColumns({"_ticks": ticks, "_spent": spent}).withColumn("_over", F.greatest(F.max(F.col("_ticks") - F.col("_spent")).over(upto), F.lit(0)))
+    left = (F.lit(capacity) + F.col("_ticks") - F.col("_over") - F.col("_spent") - 1).cast("long")
+    return rows.withColumn("left", left).withColumn("allowed", F.col("left") >= 0).drop("_ticks", "_spent", "_over")
+
+
+def stale(sources: DataFrame, stored: DataFrame, key: str, text: str, digest: Column) -> DataFrame:
+    """Keys whose text has another digest than the stored one (column ``digest``), or none yet."""
+    known = stored.select(key, F.col("digest").alias("_digest"))
+    return sources.withColumn("_now", digest).join(known, key, "left").where(F.col(text).isNotNull() & ~F.col("_now").eqNullSafe(F.col("_digest"))).select(key)
+
+
+def retries(df: DataFrame, attempt: str, first: float, most: float, drop_at: int = 8, solo_at: int = 3) -> DataFrame:
+    """Failed jobs with what comes next: ``retry`` after ``wait`` seconds, ``solo`` (alone, from ``solo_at`` attempts), or ``drop``."""
+    wait = F.least(F.lit(first) * F.pow(F.lit(2.0), F.col(attempt) - 1), F.lit(most))
+    step = F.when(F.col(attempt) >= drop_at, "drop").when(F.col(attempt) >= solo_at, "solo").otherwise("retry")
+    return df.withColumns({"next": step, "wait": F.when(F.col(attempt) < drop_at, wait)})

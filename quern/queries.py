@@ -195,7 +195,7 @@ def bm25_exact(spark, sf, tokenize=text.simple_tokens):
     return plan.scored(_index(spark, sf, tokenize), plan.query_terms("the thing was"), exact=True).select("doc_id", F.round("score", 6).alias("score"), "hits")
 
 
-_KINDS = "SELECT field, term, token, df, distance, CASE WHEN token = term THEN 0 WHEN list_contains(forms, token) THEN 1 WHEN starts_with(token, term) THEN 2 WHEN edits > 0 AND distance <= edits THEN 3 END AS kind FROM (SELECT d.*, q.*, levenshtein(d.token, q.term) AS distance FROM dictionary d, (SELECT unnest(['thing', 'there']) AS term, unnest([['things', 'thinges'], ['theres', 'therees']]) AS forms, 1 AS edits) q)"
+_KINDS = "SELECT field, term, token, df, distance, CASE WHEN token = term THEN 0 WHEN list_contains(forms, token) THEN 1 WHEN starts_with(token, term) THEN 2 WHEN edits > 0 AND distance <= edits THEN 3 END AS kind FROM (SELECT d.*, q.*, levenshtein(d.token, q.term) AS distance FROM dictionary d, (SELECT unnest(['thing', 'there']) AS term, unnest([['things'], ['theres']]) AS forms, 1 AS edits) q)"
 _EXPANSION = f"SELECT field, term, token, CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.75 ELSE 0.6 END AS weight FROM (SELECT *, row_number() OVER w AS rn, sum(df) OVER w AS cum FROM ({_KINDS}) WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY field, term, kind ORDER BY CASE WHEN kind = 3 THEN distance ELSE 0 END, df DESC, token ROWS UNBOUNDED PRECEDING)) WHERE kind < 2 OR (rn <= CASE WHEN kind = 3 THEN 20 ELSE 50 END AND (rn = 1 OR cum <= CASE WHEN kind = 3 THEN 1000 ELSE 2000 END))"
 
 

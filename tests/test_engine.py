@@ -80,7 +80,7 @@ def test_tokens():
     assert text.tokens_of("Café getUserHTTPServer U.S.A. don't") == ["cafe", "getuserhttpserver", "get", "user", "http", "server", "usa", "dont"]
     assert text.tokens_of("mail joe@a.com now, 3.14") == ["mail", "joe@a.com", "joe", "a", "com", "now", "3.14", "3", "14"]
     assert text.tokens_of(None) == [] and len(text.tokens_of("x" * 90)[0]) == 64
-    assert text.variants("cities") == ["citi", "citie", "city"] and text.variants("ab") == []
+    assert text.variants("cities") == ["city"] and text.variants("thing") == ["things"] and text.variants("boxes") == ["box"] and text.variants("ab") == []
     assert [text.tolerance(t) for t in ("four", "fives", "ninechars", "abc12")] == [0, 1, 2, 0]
 
 
