@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.errors import QueryError
 from quern.functions import text as T
+from quern.sources.durable import written
 
 # BM25+ parameters, weights of match classes, caps of expansion.
 K1, B, DELTA = 1.2, 0.75, 0.5
@@ -26,14 +27,24 @@ class Index:
                 raise QueryError("unknown_search_field", f)
         self.pk = pk
         each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
+        if any(dict(docs.dtypes)[f].startswith("array") for f in fields):  # a field of several values: tokens of all of them
+            many = lambda f: F.col(f) if dict(docs.dtypes)[f].startswith("array") else F.when(F.col(f).isNotNull(), F.array(f))
+            each = F.array(*(F.struct(F.lit(f).alias("field"), many(f).alias("text")) for f in fields))
+            tokenize = T.list_tokens if tokenize is T.tokens else lambda c, one=tokenize: F.flatten(F.transform(F.array_compact(c), one))
         present = docs.select(pk, F.inline(each)).where("text is not null")
         self.words = present.select(pk, "field", tokenize(F.col("text")).alias("words"))
         self.lengths = self.words.select(pk, "field", F.size("words").cast("long").alias("len"))
-        tokens = self.words.select(pk, "field", F.explode("words").alias("token"))
-        self.postings = tokens.groupBy("field", "token", pk).agg(F.count(F.lit(1)).alias("tf"))
+        self.tokens = self.words.select(pk, "field", F.explode("words").alias("token"))
+        self.postings = self.tokens.groupBy("field", "token", pk).agg(F.count(F.lit(1)).alias("tf"))
         self.dictionary = self.postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
         self.stats = self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"))
 
+    def hits(self, tokens: DataFrame) -> DataFrame:
+        """Postings of the tokens (field, token, term, weight, df) with lengths; other tokens are dropped before any shuffle."""
+        met = self.tokens.join(F.broadcast(tokens), ["field", "token"])  # capped per term
+        met = met.groupBy("field", "token", self.pk, "term", "weight", "df").agg(F.count(F.lit(1)).alias("tf"))
+        return met.join(self.lengths, [self.pk, "field"])
+
     def report(self) -> DataFrame:
         """field, docs, words, single_use, entries."""
         d = self.dictionary.groupBy("field").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("df") == 1).alias("single_use"), F.sum("df").alias("entries"))
@@ -85,8 +96,7 @@ def scored(index: Index, terms: list[str], boosts: dict[str, float] | None = Non
     boost = F.lit(1.0)
     for field, value in (boosts or {}).items():
         boost = F.when(F.col("field") == field, F.lit(float(value))).otherwise(boost)
-    found = index.postings.join(F.broadcast(expanded(index, terms, **how)), ["field", "token"])  # capped per term
-    found = found.join(index.lengths, [pk, "field"]).join(F.broadcast(index.stats), "field")
+    found = index.hits(expanded(index, terms, **how)).join(F.broadcast(index.stats), "field")  # one row a field
     part = boost * F.col("weight") * bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("total_len"))
     parts = F.array_sort(F.collect_list(F.struct("field", "term", "token", part.alias("part"))))
     total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["part"])
@@ -95,9 +105,12 @@ def scored(index: Index, terms: list[str], boosts: dict[str, float] | None = Non
 
 def passing(scores: DataFrame, pk: str, n_terms: int, threshold: float = 1.0) -> DataFrame:
     """0: documents with all terms; 1: any; between: all, and that share of the rest by score."""
+    if threshold >= 1:
+        return scores
+    scores = written(scores) if threshold > 0 else scores  # read three times below
     every = scores.where(F.col("hits") == n_terms)
-    if threshold <= 0 or threshold >= 1:
-        return every if threshold <= 0 else scores
+    if threshold <= 0:
+        return every
     rest = scores.where(F.col("hits") < n_terms)
     take = -int(-(rest.count() * threshold) // 1)
     return every.unionByName(rest.orderBy(F.desc("score"), pk).limit(take))
@@ -114,6 +127,11 @@ def near(index: Index, scores: DataFrame, words: list[str], top: int = 100) -> D
     return best.join(shares, pk, "left").select(pk, (F.col("score") * (1 + 0.5 * F.when(F.col("hits") >= 2, F.coalesce("share", F.lit(0.0))).otherwise(0.0))).alias("score"))
 
 
+def guarded(index, tolerance: int | None) -> bool:
+    """Whether a field's dictionary is past the size at which typos are matched unasked."""
+    return tolerance is None and not index.dictionary.groupBy("field").count().where(F.col("count") > DICTIONARY_GUARD).isEmpty()
+
+
 def search(docs: DataFrame, pk: str, query: str, fields: list[str], boosts: dict[str, float] | None = None, threshold: float = 1.0, tokenize=T.tokens, **how) -> DataFrame:
     """pk and score of the documents that match."""
     terms = query_terms(query)

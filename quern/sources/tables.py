@@ -32,16 +32,36 @@ def execute(spark: SparkSession, sql: str, *values) -> DataFrame:
     return spark.sql(sql, args=list(values)) if values else spark.sql(sql)
 
 
+def is_query(spark: SparkSession, sql: str) -> bool:
+    """Whether a statement only reads, decided on its parsed plan: no command and no insert anywhere in it."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise QueryError("invalid_sql", str(e).strip().splitlines()[0]) from e
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            return False
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def execute_many(spark: SparkSession, statements: list[tuple], most: int = 100) -> list[DataFrame]:
-    """Several read-only statements; anything but a query is refused."""
+    """Several read-only statements; all are judged before the first runs, and anything but a query is refused."""
     if len(statements) > most:
         raise QueryError("operation_too_large", f"at most {most} statements")
-    out = []
-    for sql, *values in statements:
-        if not sql.lstrip("( \n\t").lower().startswith(("select", "with", "values", "from", "table")) or ";" in sql.rstrip("; \n"):
+    for sql, *_ in statements:
+        if not is_query(spark, sql.rstrip("; \n")):
             raise QueryError("exec_many_not_read_only", sql[:80])
-        out.append(execute(spark, sql.rstrip("; \n"), *values))
-    return out
+    return [execute(spark, sql.rstrip("; \n"), *values) for sql, *values in statements]
+
+
+def tagged(spark: SparkSession, *parts) -> DataFrame:
+    """A statement from texts and values in turn: every second part is bound, never pasted into the text."""
+    return execute(spark, "?".join(parts[::2]), *parts[1::2])
 
 
 def schema_sql(name: str, df: DataFrame) -> str:
