@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import geo, scalars
-from quern.operators import doclog, keyed, sync, writes
+from quern.operators import diff, doclog, keyed, relations, sync, writes
 from quern.queries import query
+from quern.sources import migrations
 from quern.sources.tables import table
 
 _MS = "SELECT *, epoch_us(ts) // 1000 AS ms FROM events"
@@ -265,3 +266,60 @@ def geo_box(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", (k * 3701 % 18000 / 100.0 - 90).alias("lat"), (k * 9103 % 36000 / 100.0 - 180).alias("lon"))
     to = geo.destination(F.col("lat"), F.col("lon"), F.lit(60.0), F.lit(637100.0))
     return rows.select("c_custkey", geo.inside_box(F.col("lat"), F.col("lon"), -20, 150, 50, -100).alias("inside"), F.round(to["lat"], 6).alias("to_lat"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 9 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders")
+def enforce_default(spark, sf):
+    gone = table(spark, sf, "customer").where("c_custkey % 9 = 0")
+    return relations.enforce(table(spark, sf, "orders"), "o_custkey", gone, "c_custkey", "set_default", -1).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 20 = 0)")
+def anti_fk_some(spark, sf):
+    """Customers without any of every twentieth order (a cascade that leaves rows)."""
+    return relations.enforce(table(spark, sf, "customer"), "c_custkey", table(spark, sf, "orders").where("o_orderkey % 20 = 0"), "o_custkey", "cascade").select("c_custkey")
+
+
+@query("SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_id <= a.event_id AND b.event_id % 17 = 0) THEN 'waiting' WHEN EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND b.event_id % 13 = 0) THEN 'dependency_failed' WHEN event_id % 13 = 0 THEN 'rejected' ELSE 'sent' END AS status FROM events a")
+def outbox_retry(spark, sf):
+    e = F.col("event_id")
+    return keyed.outbox(table(spark, sf, "events"), "user_id", "event_id", e % 13 == 0, e % 17 == 0).select("event_id", "status")
+
+
+@query("SELECT n AS user_id, coalesce(tabs, 0) AS tabs, coalesce(here, false) AS here, image FROM (SELECT DISTINCT user_id AS n FROM events) LEFT JOIN (SELECT user_id, count(*) AS tabs, bool_or(value > 90) AS here, arg_min('i' || event_id, event_id) FILTER (event_type = 'view') AS image FROM events WHERE event_id % 40 = 0 OR event_id % 41 = 0 GROUP BY user_id) ON user_id = n")
+def roster_sessions(spark, sf):
+    """Presences with the first image of each user; users with a session and no presence stand with none."""
+    events = table(spark, sf, "events")
+    here = events.where("event_id % 40 = 0 or event_id % 41 = 0")
+    image = F.when(F.col("event_type") == "view", F.concat(F.lit("i"), F.col("event_id").cast("string")))
+    out = keyed.roster(here, "user_id", F.length("event_type"), F.coalesce(F.col("value") > 90, F.lit(False)), image, "event_id", events)
+    return out.select("user_id", "tabs", "here", "image")
+
+
+@query("SELECT o_orderkey, o_totalprice::BIGINT AS cents, upper(o_orderstatus) AS state FROM (SELECT o_orderkey, round(o_totalprice * 100) AS o_totalprice, o_orderstatus FROM orders)")
+def migrate_columns(spark, sf):
+    steps = [
+        migrations.Migration(2, "state", lambda t: {"orders": migrations.alter_column(t["orders"], "o_orderstatus", F.upper("o_orderstatus"), "state")}),
+        migrations.Migration(1, "cents", lambda t: {"orders": migrations.alter_column(t["orders"], "o_totalprice", F.round(F.col("o_totalprice") * 100).cast("long"), "cents")}),
+        migrations.Migration(3, "narrow", lambda t: {"orders": t["orders"].select("o_orderkey", "cents", "state")}),
+    ]
+    return migrations.run({"orders": table(spark, sf, "orders")}, steps, migrations.Record())[0]["orders"]
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders RIGHT JOIN (SELECT * FROM customer WHERE c_custkey % 50 = 0) ON o_custkey = c_custkey FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey UNION SELECT NULL, s_name, NULL FROM supplier WHERE s_suppkey IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT NULL, 'x', n_name FROM nation CROSS JOIN (SELECT 1 AS one)")
+def sql_joins(spark, sf):
+    from quern.queries import ORACLES
+    from quern.sources.tables import execute_many
+
+    for name in ("orders", "customer", "nation", "supplier"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    return execute_many(spark, [(ORACLES["sql_joins"],)])[0]
+
+
+@query("SELECT doc, k, CASE WHEN a IS NULL THEN 'inserted' WHEN b IS NULL THEN 'deleted' ELSE 'both' END AS side FROM (SELECT l_orderkey AS doc, l_linenumber AS k, CASE WHEN l_linenumber <> 2 THEN 1 END AS a, CASE WHEN l_linenumber <> 3 THEN 1 END AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_orderkey < 200)")
+def diff_structured(spark, sf):
+    """Blocks inserted, deleted and in both (moved or not); the second version turns the order round."""
+    rows = table(spark, sf, "lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("k"), F.col("l_linenumber").cast("double").alias("at"), F.col("l_quantity").cast("string").alias("text"))
+    rows = rows.groupBy("doc", "k", "at").agg(F.min("text").alias("text"))
+    out = diff.structured(rows.where("k <> 2"), rows.where("k <> 3").withColumn("at", -F.col("at")), "doc", "k", "at", "text")
+    return out.select("doc", "k", F.when(F.col("status").isin("inserted", "deleted"), F.col("status")).otherwise("both").alias("side"))

@@ -1,13 +1,17 @@
-"""Differences of texts: lossless line tokens and their edit script by longest common subsequence, as Columns."""
+"""Differences of texts: lossless tokens, shortest edit scripts, block-level differences with moves."""
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+#: Edits after which a gap is replaced as a whole.
+MOST_EDITS = 1000
 OPS = "array<struct<type:string,text:string>>"
 
 
@@ -21,26 +25,108 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\s+|[^\s]+)"), F.lit(1))
 
 
+_CLUSTERS = regex.compile(
+    r"\s+|[\U0001F1E6-\U0001F1FF]{2}"
+    r"|[\p{Extended_Pictographic}](?:\uFE0F|[\U0001F3FB-\U0001F3FF])*(?:\u200D\p{Extended_Pictographic}(?:\uFE0F|[\U0001F3FB-\U0001F3FF])*)*"
+    r"|[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]|[\p{L}\p{M}\p{N}_]+(?:['’][\p{L}\p{M}]+)*|.",
+    regex.S,
+)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def clusters(text: pd.Series) -> pd.Series:
+    """Tokens as readers see them: white space, flags, emoji, each CJK character, words, anything else; joined they give the text back."""
+    cjk = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+")
+    return text.map(lambda t: [c for x in _CLUSTERS.findall(t or "") for c in (cjk.findall(x) if x.isalnum() else [x])])
+
+
+def shortest(x: list[str], y: list[str], most: int = MOST_EDITS) -> list[tuple[str, list[str]]]:
+    """A shortest edit script (Myers): runs to keep, delete (first) and insert; past ``most`` edits the middle is replaced."""
+    a, m = 0, min(len(x), len(y))
+    while a < m and x[a] == y[a]:
+        a += 1
+    b = 0
+    while b < m - a and x[-1 - b] == y[-1 - b]:
+        b += 1
+    p, q = x[a : len(x) - b], y[a : len(y) - b]
+    n, m, reach, trail = len(p), len(q), {1: 0}, []
+    steps: list[tuple[str, str]] | None = None
+    for d in range(min(n + m, most) + 1):
+        trail.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            i = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
+            while i < n and i - k < m and p[i] == q[i - k]:
+                i += 1
+            reach[k] = i
+            if i >= n and i - k >= m:
+                break
+        else:
+            continue
+        steps, i, j = [], n, m
+        for e in range(d, -1, -1):
+            old, k = trail[e], i - j
+            k0 = k + 1 if k == -e or k != e and old[k - 1] < old[k + 1] else k - 1
+            i0 = old[k0] if e else 0
+            j0 = i0 - k0 if e else 0
+            while i > i0 and j > j0:
+                i, j = i - 1, j - 1
+                steps.append(("keep", p[i]))
+            if e:
+                steps.append(("insert", q[j0]) if k0 == k + 1 else ("delete", p[i0]))
+                i, j = i0, j0
+        steps.reverse()
+        break
+    if steps is None:
+        steps = [*(("delete", t) for t in p), *(("insert", t) for t in q)]
+    out: list[tuple[str, list[str]]] = [("keep", list(x[:a]))]
+    gap: dict[str, list[str]] = {"delete": [], "insert": []}
+    for kind, token in [*steps, *(("keep", t) for t in x[len(x) - b :])]:
+        if kind == "keep":
+            out += [(k, ts) for k, ts in gap.items() if ts]
+            gap = {"delete": [], "insert": []}
+            if out[-1][0] != "keep":
+                out.append(("keep", []))
+            out[-1][1].append(token)
+        else:
+            gap[kind].append(token)
+    return [(k, ts) for k, ts in [*out, *gap.items()] if ts]
+
+
 def script(old: Column, new: Column) -> Column:
     """Edit script between two token arrays: keep, delete (first), insert; neighbours of a kind are merged."""
 
     @F.pandas_udf(OPS)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = list(x if x is not None else []), list(y if y is not None else [])
-            ops = []
-            for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                if tag == "equal":
-                    ops.append({"type": "keep", "text": "".join(x[i:j])})
-                    continue
-                ops += [{"type": t, "text": s} for t, s in (("delete", "".join(x[i:j])), ("insert", "".join(y[k:m]))) if s]
-            out.append(ops)
-        return pd.Series(out)
+        sides = ((list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(a, b, strict=True))
+        return pd.Series([[{"type": k, "text": "".join(ts)} for k, ts in shortest(x, y)] for x, y in sides])
 
     return run(old, new)
 
 
+def structured(old: DataFrame, new: DataFrame, doc: str, key: str, place: str, text: str) -> DataFrame:
+    """Blocks of two versions of each document by key: inserted, deleted, moved (off the longest run in order), changed or unchanged."""
+    rows = blocks(old, new, [doc, key], place, text)
+
+    def spine(group: pd.DataFrame) -> pd.DataFrame:
+        both = group[group["old_place"].notna() & group["new_place"].notna()].sort_values("new_place")
+        tails: list[float] = []
+        ends: list[int] = []
+        before: dict[int, int | None] = {}
+        for i, at in both["old_place"].items():
+            k = bisect_left(tails, at)
+            before[i] = ends[k - 1] if k else None
+            tails[k:], ends[k:] = [at, *tails[k + 1 :]], [i, *ends[k + 1 :]]
+        kept, i = set(), ends[-1] if ends else None
+        while i is not None:
+            kept.add(i)
+            i = before[i]
+        moved = both.index.difference(list(kept))
+        group.loc[moved, "status"] = "moved"
+        return group
+
+    return rows.groupBy(doc).applyInPandas(spine, rows.schema)
+
+
 def side(ops: Column, dropped: str) -> Column:
     """One side of a script: all but the ``dropped`` kind, joined."""
     return F.array_join(F.transform(F.filter(ops, lambda o: o["type"] != dropped), lambda o: o["text"]), "")

@@ -47,9 +47,14 @@ def latest(df: DataFrame, key: str, state: str, version: list[str]) -> DataFrame
     return df.groupBy(key).agg(F.max_by(state, F.struct(*version)).alias(state), F.max(F.struct(*version)).alias("version")).select(key, state, *(F.col(f"version.{v}").alias(v) for v in version))
 
 
-def roster(df: DataFrame, user: str, status_rank: Column, here: Column) -> DataFrame:
-    """One row a user over all their tabs: tabs, here, status."""
-    return df.groupBy(user).agg(F.count(F.lit(1)).alias("tabs"), F.bool_or(here).alias("here"), F.max(status_rank).alias("status"))
+def roster(df: DataFrame, user: str, status_rank: Column, here: Column, image: Column | None = None, order: str | None = None, sessions_of: DataFrame | None = None) -> DataFrame:
+    """One row a user over all their tabs: tabs, here, status, (the first image); users of ``sessions_of`` without a presence follow with none."""
+    picked = [F.min_by(image, F.when(image.isNotNull(), F.col(order))).alias("image")] if image is not None else []
+    out = df.groupBy(user).agg(F.count(F.lit(1)).alias("tabs"), F.bool_or(here).alias("here"), F.max(status_rank).alias("status"), *picked)
+    if sessions_of is None:
+        return out
+    absent = sessions_of.select(user).distinct().join(out.select(user), user, "left_anti")
+    return out.unionByName(absent.withColumns({"tabs": F.lit(0).cast("long"), "here": F.lit(False)}), allowMissingColumns=True)
 
 
 def _spend(state: tuple[int, int], t: list[int], capacity: int, refill: int, interval: int) -> tuple[tuple[int, int], list[int]]:
@@ -188,11 +193,24 @@ def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int,
     return out.union(bare).toDF(key, order, "allowed", "tokens")
 
 
-def outbox(df: DataFrame, key: str, seq: str, rejected: Column) -> DataFrame:
-    """Queued writes with ``status``: a rejected one fails, and so do later ones of the same key."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.max(rejected.cast("int")).over(w), F.lit(0)) == 1
-    return df.withColumn("status", F.when(earlier, "dependency_failed").when(rejected, "rejected").otherwise("sent"))
+def outbox(df: DataFrame, key: str, seq: str, rejected: Column, again: Column | None = None, queue: str | None = None) -> DataFrame:
+    """Queued writes with ``status``: a rejected one fails, and so do later ones of the same key.
+
+    One to be tried ``again`` (it and all behind it in its ``queue``) waits.
+    """
+    before = lambda by: Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.max(rejected.cast("int")).over(before(key)), F.lit(0)) == 1
+    status = F.when(earlier, "dependency_failed").when(rejected, "rejected")
+    if again is not None:
+        blocked = F.coalesce(F.max(again.cast("int")).over(before(queue or key)), F.lit(0)) == 1
+        status = F.when(blocked | again, "waiting").otherwise(status.otherwise("sent"))
+        return df.withColumn("status", status)
+    return df.withColumn("status", status.otherwise("sent"))
+
+
+def jittered(wait: Column, key: Column) -> Column:
+    """A wait times a factor in [0.5, 1) that a hash of the key fixes, so reruns agree."""
+    return wait * (F.lit(0.5) + F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(2.0 * (1 << 20)))
 
 
 def debounced(df: DataFrame, key: str, stamp: str, wait: int, now: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import QueryError
+from quern.operators.where import where
 
 MOST_ROWS, MOST_SPARSE, MOST_OFFSET = 100, 5000, 100_000
 
@@ -25,7 +26,7 @@ def keys(df: DataFrame, order: list[tuple[str, str]], pk: str) -> list[Column]:
 
 def clamped(limit: int | None, offset: int | None, sparse: bool = True) -> tuple[int, int]:
     most, usual = (MOST_SPARSE, 100) if sparse else (MOST_ROWS, 10)
-    return min(max(limit or usual, 1), most), min(max(offset or 0, 0), MOST_OFFSET)
+    return min(max(usual if limit is None else limit, 1), most), min(max(offset or 0, 0), MOST_OFFSET)
 
 
 def page(df: DataFrame, order: list[tuple[str, str]], pk: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
@@ -48,8 +49,10 @@ def cursor(field: str, way: str, value, key) -> str:
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
 
-def after(df: DataFrame, pk: str, token: str) -> DataFrame:
-    """Rows behind a cursor's (value, key); ties on the value are not lost."""
+def after(df: DataFrame, pk: str, token: str, condition: dict | None = None) -> DataFrame:
+    """Rows behind a cursor's (value, key), of those that the caller's filter lets through; ties on the value are not lost."""
+    if condition:
+        df = where(df, condition)
     field, way, value, key = json.loads(base64.urlsafe_b64decode(token + "=" * (-len(token) % 4)))
     if field not in df.columns:
         raise QueryError("unknown_order_field", field)

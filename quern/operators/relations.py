@@ -27,12 +27,13 @@ def dependents(df: DataFrame, key: str, before: DataFrame, after: DataFrame, oth
     return df.join(changed, df[key] == F.col("_ref")).drop("_ref")
 
 
-def enforce(df: DataFrame, key: str, deleted: DataFrame, deleted_key: str, action: str) -> DataFrame:
-    """``df`` after rows it refers to went: ``cascade`` drops, ``set_null`` clears, ``restrict`` gives the offenders."""
+def enforce(df: DataFrame, key: str, deleted: DataFrame, deleted_key: str, action: str, default=None) -> DataFrame:
+    """``df`` after rows it refers to went: ``cascade`` drops, ``set_null`` clears, ``set_default`` puts ``default``; ``restrict`` and ``no_action`` give the offenders."""
     gone = deleted.select(F.col(deleted_key).alias("_ref")).distinct()
     if action == "cascade":
         return df.join(gone, df[key] == F.col("_ref"), "left_anti")
-    if action == "restrict":
+    if action in ("restrict", "no_action"):
         return df.join(gone, df[key] == F.col("_ref"), "left_semi")
     hit = df.join(gone, df[key] == F.col("_ref"), "left")
-    return hit.withColumn(key, F.when(F.col("_ref").isNull(), F.col(key))).drop("_ref")
+    instead = F.lit(default if action == "set_default" else None)
+    return hit.withColumn(key, F.when(F.col("_ref").isNull(), F.col(key)).otherwise(instead)).drop("_ref")

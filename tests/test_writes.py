@@ -9,7 +9,7 @@ from quern.operators import keyed, sync, writes
 from quern.plans import store
 from quern.sources.tables import execute_many, tagged
 
-AT = F.lit(9).cast("long")
+AT = 9
 
 
 @pytest.fixture(scope="module")
@@ -20,11 +20,11 @@ def rows(spark):
 def test_refusals_of_writes(spark, rows):
     for call, status in (
         (lambda: writes.get(rows, "id", 8), 404),
-        (lambda: writes.created(rows, rows.where("id = 1").select("id", "v"), "id", AT), 409),
-        (lambda: writes.created(rows, spark.createDataFrame([(7,), (7,)], "id long"), "id", AT), 409),
-        (lambda: writes.deleted(rows, spark.createDataFrame([(8,)], "id long"), "id", AT), 404),
-        (lambda: writes.transaction(rows, [("create", spark.range(5001))], "id", AT), 400),
-        (lambda: writes.transaction(rows, [("delete", rows.where("id = 1")), ("create", rows.where("id = 2").select("id", "v"))], "id", AT), 409),
+        (lambda: writes.created(rows, rows.where("id = 1").select("id", "v"), "id", F.lit(AT).cast("long")), 409),
+        (lambda: writes.created(rows, spark.createDataFrame([(7,), (7,)], "id long"), "id", F.lit(AT).cast("long")), 409),
+        (lambda: writes.deleted(rows, spark.createDataFrame([(8,)], "id long"), "id", F.lit(AT).cast("long")), 404),
+        (lambda: writes.transaction(rows, [("create", spark.range(5001))], "id", F.lit(AT).cast("long")), 400),
+        (lambda: writes.transaction(rows, [("delete", rows.where("id = 1")), ("create", rows.where("id = 2").select("id", "v"))], "id", F.lit(AT).cast("long")), 409),
     ):
         with pytest.raises(QueryError) as e:
             call()
@@ -34,9 +34,9 @@ def test_refusals_of_writes(spark, rows):
 
 def test_a_patch_that_changes_nothing_keeps_the_stamp(spark, rows):
     patch = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (9, "y")], "id long, v string")
-    got = {r["id"]: (r["v"], r["updated_at"]) for r in writes.patched(rows, patch, "id", AT).collect()}
+    got = {r["id"]: (r["v"], r["updated_at"]) for r in writes.patched(rows, patch, "id", F.lit(AT).cast("long")).collect()}
     assert got == {1: ("a", 1), 2: ("x", 9), 3: (None, 1)}
-    kept = writes.patched(rows, patch, "id", AT, readonly=("v",)).collect()
+    kept = writes.patched(rows, patch, "id", F.lit(AT).cast("long"), readonly=("v",)).collect()
     assert sorted(r["updated_at"] for r in kept) == [1, 1, 1]
 
 
@@ -139,3 +139,48 @@ def test_pages(spark, rows):
     assert n == 3 and {r["id"] for r in got.collect()} == {1, 2}
     with pytest.raises(QueryError):
         store.page(scores, rows, "id", [("created_at", "asc")], ("v",))
+
+
+def test_shortest_scripts():
+    import random
+
+    from quern.operators.diff import shortest
+
+    random.seed(3)
+    for _ in range(300):
+        x, y = ([random.choice("abc") for _ in range(random.randrange(9))] for _ in range(2))
+        ops = shortest(x, y)
+        assert [t for k, ts in ops if k != "insert" for t in ts] == x and [t for k, ts in ops if k != "delete" for t in ts] == y
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        assert sum(len(ts) for k, ts in ops if k == "keep") == best[-1][-1]
+        assert all(ops[i][0] != ops[i + 1][0] for i in range(len(ops) - 1))
+    assert shortest(list("abcd"), list("wxyz"), 2) == [("delete", list("abcd")), ("insert", list("wxyz"))]
+
+
+def test_clusters_and_moves(spark):
+    from quern.operators import diff
+
+    samples = ["Don't stop 你好 🇨🇭🇩🇪 👩‍👩‍👧 ok_1!", "", None]
+    got = spark.createDataFrame([(s,) for s in samples], "s string").select(diff.clusters("s").alias("t")).collect()
+    assert ["".join(r["t"]) for r in got] == [s or "" for s in samples]
+    assert got[0]["t"] == ["Don't", " ", "stop", " ", "你", "好", " ", "🇨🇭", "🇩🇪", " ", "👩‍👩‍👧", " ", "ok_1", "!"]
+    old = spark.createDataFrame([(1, k, float(i), k) for i, k in enumerate("abcde")], "doc long, k string, at double, text string")
+    new = spark.createDataFrame([(1, k, float(i), k.replace("d", "D")) for i, k in enumerate("bcaxd")], "doc long, k string, at double, text string")
+    assert {r["k"]: r["status"] for r in diff.structured(old, new, "doc", "k", "at", "text").collect()} == {"a": "moved", "b": "unchanged", "c": "unchanged", "d": "changed", "e": "deleted", "x": "inserted"}
+
+
+def test_migrations(spark, rows):
+    from quern.sources import migrations as m
+
+    steps = [m.Migration(1, "a", lambda t: {"r": m.drop_column(t["r"], "v")}), m.Migration(2, "b", lambda t: {"r": m.drop_column(t["r"], "v")}), m.Migration(3, "c", lambda t: {}), m.Migration(4, "d", lambda t: {}, True)]
+    tables, record = m.run({"r": rows}, steps, m.Record())
+    assert record.done == [1] and record.failed[0] == 2 and "v" not in tables["r"].columns
+    assert [s for *_, s in m.status(steps, record)] == ["done", "failed", "pending", "preflight"]
+    assert [n for n, e in m.check({"r": rows}, steps, m.Record()) if e] == [2]
+    assert m.run({"r": rows}, steps, m.Record(), fresh=True)[1].done == [1, 2, 3]
+    for bad in (lambda: m.rebuild_table(rows, {}, True), lambda: m.run({}, [steps[0], steps[0]], m.Record())):
+        with pytest.raises(QueryError):
+            bad()
