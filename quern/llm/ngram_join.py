@@ -371,11 +371,12 @@ def links(docs: DataFrame, column: str = "text", words: int = WORDS, share: tupl
     texts = keyed.join(beside(first), keyed["_id"].eqNullSafe(first["doc_id"]) & (keyed["_tie"] == first["tie"])).select("name", "text")
     known = members(texts, text_bytes, share, words).dropDuplicates(["name"])
     roots, out = written(known), None
+    total = roots.count()
     sets = roots
     left = roots.select("name", "mass", "marks")
     for k in range(ROUNDS):
         led = left.groupBy(F.col("marks")[k].alias("mark")).agg(F.max(F.struct("mass", "name"))["name"].alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        pairs = left.select(F.col("name").alias("a"), F.col("marks")[k].alias("mark")).join(led, "mark").where("a <> b").select("a", "b")
+        pairs = by_key(left.select(F.col("name").alias("a"), F.col("marks")[k].alias("mark")), written(led), "mark", "c", total).where("a <> b").select("a", "b")
         got = written(linked(pairs, sets, share))
         left = left.join(got, left["name"] == got["a"], "left_anti")
         out = got if out is None else out.union(got)
