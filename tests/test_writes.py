@@ -184,3 +184,33 @@ def test_migrations(spark, rows):
     for bad in (lambda: m.rebuild_table(rows, {}, True), lambda: m.run({}, [steps[0], steps[0]], m.Record())):
         with pytest.raises(QueryError):
             bad()
+
+
+def test_sort_keys(spark):
+    from quern.functions.keys import between, key_between
+
+    low, high = None, None
+    for k in range(200):
+        mid = between(low, high)
+        assert (low or "") < mid and (high is None or mid < high)
+        low, high = (mid, high) if k % 3 else (low, mid)
+    for bad in (("b", "a"), ("a", "a"), ("a0", None), ("é", None)):
+        with pytest.raises(QueryError):
+            between(*bad)
+    df = spark.createDataFrame([("A", "B"), (None, "A"), ("z", None)], "a string, b string").select("a", "b", key_between("a", "b").alias("m"))
+    assert all((r["a"] or "") < r["m"] and (r["b"] is None or r["m"] < r["b"]) for r in df.collect())
+
+
+def test_hooks_and_embedders(spark, rows):
+    from quern.operators.hooks import Hooks, embedded
+
+    hooks = Hooks()
+    hooks.add("before", "create", lambda d: d.withColumn("v", F.upper("v")))
+    hooks.add("after", "create", lambda d: d.where("v is not null"))
+    assert [r["v"] for r in hooks.run("create", rows, lambda d: d.orderBy("id")).collect()] == ["A", "B"]
+    with pytest.raises(QueryError):
+        hooks.add("around", "create", lambda d: d)
+    got = embedded(rows, "v", lambda ts: [[float(len(t)), 1.0] for t in ts], 2).orderBy("id").collect()
+    assert [r["embedding"] for r in got] == [[1.0, 1.0], [1.0, 1.0], None]
+    with pytest.raises(Exception, match="invalid_vector"):
+        embedded(rows, "v", lambda ts: [[float("inf"), 1.0] for _ in ts], 2).collect()
