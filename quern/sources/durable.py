@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,10 @@ BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch that Python tasks take, unless the session says otherwise.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Seconds between two such calls.
+TIDY_SECONDS = 4.0
 _kept: dict[str, SparkSession] = {}
+_tidied = 0.0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,14 +50,22 @@ def new_path(spark: SparkSession, kind: str = "part") -> str:
     return path
 
 
+def _tidy(spark: SparkSession) -> None:
+    """What led to earlier tables is garbage once they are written: let Spark's cleaner drop its shuffle files, now and then."""
+    global _tidied
+    if time.monotonic() - _tidied > TIDY_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     bounded(spark)
     path = new_path(spark)
     df.write.option("compression", codec).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # what led to earlier tables is garbage now: Spark's cleaner drops its shuffle files
+    _tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
