@@ -34,6 +34,7 @@ from quern.errors import QueryError
 from quern.llm import blocks
 from quern.llm.spark import octets, written
 from quern.llm.texts import carried, chunks, extended, mix, rows_of, spared, word_hashes
+from quern.sources.durable import BROADCAST_BYTES
 
 WINDOW = 20
 LEVELS = 2
@@ -232,7 +233,14 @@ def repeats(docs: DataFrame, column: str = "text", window: int = WINDOW) -> Data
         raise QueryError("window_too_small", f"at least {WINDOW} words")
     keyed, n_ranges = _keyed(docs, column), blocks.ranges(docs.sparkSession, octets(docs, column))
     marks = written(shared_names(keyed, n_ranges).groupBy("id", "tie").agg(F.max("marks").alias("marks")))
-    return written(later_windows(keyed.join(marks, ["id", "tie"]), n_ranges, window))
+    few = _few(marks)
+    some = keyed if few is None else keyed.join(few, ["id", "tie"], "left_semi")  # texts that cannot repeat stay where they are
+    return written(later_windows(some.join(marks, ["id", "tie"]), n_ranges, window))
+
+
+def _few(table: DataFrame) -> DataFrame | None:
+    """The keys of a table for a broadcast, if they are small enough for one."""
+    return F.broadcast(table.select("id", "tie")) if table.count() * 16 <= BROADCAST_BYTES else None
 
 
 def dedup_text(docs: DataFrame, column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -260,4 +268,10 @@ def dedup_text(docs: DataFrame, column: str = "text", window: int = WINDOW) -> D
 
     other = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col("_id")) & (F.xxhash64(rows[at]) == F.col("_tie"))
-    return rows.join(other, same, "left").select(*rows.columns, "_starts").mapInArrow(spared(cut), schema)
+    few = _few(found)
+    if few is None:
+        return rows.join(other, same, "left").select(*rows.columns, "_starts").mapInArrow(spared(cut), schema)
+    keys = few.withColumnsRenamed({"id": "_id", "tie": "_tie"})
+    hit = rows.join(F.broadcast(keys), same, "left_semi").join(other, same).select(*rows.columns, "_starts")
+    whole = rows.join(F.broadcast(keys), same, "left_anti").withColumn("_starts", F.lit(None).cast("binary"))
+    return hit.unionByName(whole).mapInArrow(spared(cut), schema)

@@ -464,3 +464,9 @@ def test_mixture_against_plain_em(spark):
         r = pi * word
         pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
     assert size[0] == 2 and set(np.flatnonzero(share[0])) == set(two.tolist()) and np.allclose(share[0], pi, atol=0.02)
+
+
+def test_substring_dedup_without_broadcasts(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
+    got = substring_dedup.dedup_text(make(spark, rows))
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == brute_windows(rows)
