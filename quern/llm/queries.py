@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ball_tree, bpe_codec, html_extract, language_id, mixing, ngram_join, projections, quality, substring_dedup, token_files
+from quern.llm import alignment, ball_tree, bpe_codec, divergence, fingerprints, html_extract, language_id, mixing, ngram_join, projections, quality, substring_dedup, token_files
 from quern.llm.spark import new_path
 
 
@@ -88,5 +90,38 @@ def op10_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op5_ball_tree": op5_ball_tree, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op8_language_id": op8_language_id, "op9_html_extract": op9_html_extract, "op10_projections": op10_projections}
-ORACLES: dict[str, str] = {}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two tokenizers end together in every document, and how usual its linked pairs of ids are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.summary(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of an edit of it, and how alike they are."""
+    return fingerprints.with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language diverge from each other, and their leading terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_bpe_codec": op2_bpe_codec, "op3_ngram_join": op3_ngram_join, "op4_substring_dedup": op4_substring_dedup, "op5_ball_tree": op5_ball_tree, "op6_token_files": op6_token_files, "op7_mixing": op7_mixing, "op8_language_id": op8_language_id, "op9_html_extract": op9_html_extract, "op10_projections": op10_projections, "op11_alignment": op11_alignment, "op12_fingerprints": op12_fingerprints, "op13_divergence": op13_divergence}
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+ORACLES: dict[str, str] = {
+    "op13_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+t AS (SELECT r, lang, source, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM t GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (v.n + v.v) AS q
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 200""",
+}
