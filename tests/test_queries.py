@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quern import log_queries, queries, search_queries  # noqa: F401  (they register their queries)
+from quern import log_queries, queries, search_queries, write_queries  # noqa: F401  (they register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
