@@ -57,7 +57,7 @@ def roster(df: DataFrame, user: str, status_rank: Column, here: Column, image: C
     return out.unionByName(absent.withColumns({"tabs": F.lit(0).cast("long"), "here": F.lit(False)}), allowMissingColumns=True)
 
 
-def _spend(state: tuple[int, int], t: list[int], capacity: int, refill: int, interval: int) -> tuple[tuple[int, int], list[int]]:
+def _spend(state: tuple[int, int], t: list[int], capacity: int, refill: int, interval: int, cost: int = 1) -> tuple[tuple[int, int], list[int]]:
     """A bucket (tokens, start of the open interval) after events at ``t``, and what each found in it."""
     (have, at), found = state, []
     for now in t:
@@ -67,11 +67,11 @@ def _spend(state: tuple[int, int], t: list[int], capacity: int, refill: int, int
         if have >= capacity:
             have, at = capacity, now
         found.append(have)
-        have -= have >= 1
+        have -= cost * (have >= cost)
     return (have, at), found
 
 
-def _map_of(t: np.ndarray, capacity: int, refill: int, interval: int) -> list[np.ndarray]:
+def _map_of(t: np.ndarray, capacity: int, refill: int, interval: int, cost: int = 1) -> list[np.ndarray]:
     """What a piece of events does to any bucket, as sorted rows (tokens, low, at, left, fixed).
 
     Way in, seen at the first event: so many tokens, and an open interval that began ``low`` or more (up to the next
@@ -86,7 +86,7 @@ def _map_of(t: np.ndarray, capacity: int, refill: int, interval: int) -> list[np
         have = have + ticks * refill
         full = have >= capacity
         at, have, fixed = np.where(full, now, at + ticks * interval), np.minimum(have, capacity), fixed | full
-        have = have - (have >= 1)
+        have = have - cost * (have >= cost)
         if k % 32 == 31 and len(at) > 1:  # states that have become equal are followed once
             order = np.lexsort((fixed, have, at))
             new = np.append(True, (np.diff(at[order]) != 0) | (np.diff(have[order]) != 0) | (fixed[order][1:] != fixed[order][:-1]))
@@ -100,16 +100,18 @@ def _map_of(t: np.ndarray, capacity: int, refill: int, interval: int) -> list[np
     return [x[keep].astype(np.int64) for x in (tokens, low, at, have, fixed)]
 
 
-def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int, refill: int, interval: int) -> DataFrame:
+def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int, refill: int, interval: int, cost: int = 1) -> DataFrame:
     """Every event with ``allowed`` and ``tokens`` left: whole tokens refill each interval, the remainder of time is kept.
 
+    An event spends ``cost`` tokens, or none if there are fewer.
+
     A bucket that is full again is forgotten, so the next event starts a fresh one.
 
     Events are dealt by ranges of (key, time, order), so a hot key goes to many tasks, and cut into pieces of one key
     and bounded size. Only the first key of a range may have begun before: its pieces, until the bucket is known
     whatever it was, are described by maps. These are chained by key, then every piece is filled in on its own.
     """
-    rule = (capacity, refill, interval)
+    rule = (capacity, refill, interval, cost)
     size = max(32, min(PIECE, (1 << 16) // max(capacity, 1)))
     names = ("_tokens", "_low", "_at", "_left", "_fixed")
 
@@ -174,7 +176,7 @@ def token_bucket(df: DataFrame, key: str, stamp: str, order: str, capacity: int,
             found = [_spend(s, x, *rule)[1] for s, x in zip(zip(have.to_pylist(), since.to_pylist(), strict=True), t.to_pylist(), strict=True)]
             each = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             flat = np.array([h for f in found for h in f], np.int64)
-            yield pa.RecordBatch.from_arrays([k.take(each), o.flatten(), pa.array(flat >= 1), pa.array(flat - (flat >= 1))], ["_k", "_o", "allowed", "tokens"])
+            yield pa.RecordBatch.from_arrays([k.take(each), o.flatten(), pa.array(flat >= cost), pa.array(flat - cost * (flat >= cost))], ["_k", "_o", "allowed", "tokens"])
 
     timed = df.where(F.col(stamp).isNotNull()).select(F.col(key).alias("_k"), F.col(stamp).cast("long").alias("_t"), F.col(order).cast("long").alias("_o"))
     kind = timed.schema["_k"].dataType.simpleString()
@@ -218,6 +220,18 @@ def debounced(df: DataFrame, key: str, stamp: str, wait: int, now: int) -> DataF
     return df.groupBy(key).agg((F.max(stamp) + wait).alias("due_at")).where(F.col("due_at") <= now)
 
 
+def debounce_log(df: DataFrame, key: str, stamp: str, order: str, text: str, wait: int) -> DataFrame:
+    """key, due, text: every time that a key's text had been left as it was for ``wait`` after a change.
+
+    An event that does not change the text does not start the wait anew; a first text that is empty waits for nothing.
+    """
+    w = Window.partitionBy(key).orderBy(stamp, order)
+    now = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(key, stamp, order, now.alias("text")).withColumn("_was", F.coalesce(F.lag("text").over(w), F.lit("")))
+    rows = rows.where("text <> _was").withColumn("_next", F.lead(stamp).over(w))
+    return rows.where(F.col("_next").isNull() | (F.col("_next") >= F.col(stamp) + wait)).select(key, (F.col(stamp) + wait).alias("due"), "text")
+
+
 def live(df: DataFrame, stamp: str, now: int, ttl: int) -> DataFrame:
     """Presences that were heard of within ``ttl`` of ``now``."""
     return df.where(F.lit(now) - F.col(stamp) <= ttl)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern import queries as core
 from quern.errors import QueryError
-from quern.operators import writes
+from quern.operators import keyed, writes
 from quern.queries import query
 from quern.sources.durable import new_path
 from quern.sources.tables import table
 from quern.sources.versions import VersionedTable
+from quern.streaming import stateful
 
 
 @query(
@@ -47,3 +49,63 @@ def patch_clear(spark, sf):
     patches = rows.withColumn("patch", patch).where("patch is not null").select("c_custkey", "patch")
     out = writes.merged_json(rows, patches, "c_custkey", "patch", F.lit(2))
     return out.select("c_custkey", "segment", "contact.phone", "contact.name", F.col("contact").isNull().alias("bare"), "updated_at")
+
+
+def _streamed(spark, sf, processor, *rule, body=()):
+    """Events as a stream of files out of order, stopped half way and started again from its checkpoint."""
+    rows = core._events(spark, sf).withColumns({"rejected": F.col("event_type") == "error", "text": F.when(F.col("event_type") != "view", F.col("event_type"))})
+    rows = rows.select("user_id", "event_id", "ms", "rejected", "text")
+    end = rows.agg(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.max("ms") + 400 * 86_400_000).alias("ms"), F.lit(False).alias("rejected"), F.lit("").alias("text"))
+    source, out, checkpoint = (new_path(spark, f"stream-{x}") for x in ("in", "out", "log"))
+
+    def run() -> None:
+        events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(source)
+        found = stateful.keyed_stream(events, "user_id", "ms", "event_id", processor, *rule, body=body, late="370 days")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    for part in (rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0")):
+        part.write.mode("append").parquet(source)
+        run()
+    end.write.mode("append").parquet(source)  # lets the watermark pass all
+    run()
+    return spark.read.parquet(out).where("user_id >= 0")
+
+
+@query(core.ORACLES["token_bucket"])
+def stream_token_bucket(spark, sf):
+    """The token bucket as a stream with state and timers: the rows of the batch operator."""
+    return _streamed(spark, sf, stateful.TokenBucket, 3, 1, 7_200_000).withColumnRenamed("event", "event_id")
+
+
+@query(core.ORACLES["edit_sessions"])
+def stream_sessions(spark, sf):
+    return _streamed(spark, sf, stateful.Sessions, 86_400_000)
+
+
+@query(core.ORACLES["outbox_fail"])
+def stream_outbox(spark, sf):
+    return _streamed(spark, sf, stateful.Outbox, body=("rejected",)).select(F.col("event").alias("event_id"), "status")
+
+
+_TEXTS = f"SELECT user_id, ms, event_id, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS text FROM ({core._MS})"
+_CHANGED = f"SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY user_id ORDER BY ms, event_id), '') AS was FROM ({_TEXTS})) WHERE text <> was"
+_DEBOUNCED = f"SELECT user_id, ms + 36000000 AS due, text FROM ({_CHANGED}) WHERE next IS NULL OR next >= ms + 36000000"
+
+
+@query(_DEBOUNCED)
+def stream_debounce(spark, sf):
+    """Texts that were left as they were for ten hours after a change, as a stream whose timers fire."""
+    return _streamed(spark, sf, stateful.Debounce, 36_000_000, body=("text",))
+
+
+@query(_DEBOUNCED)
+def debounce_texts(spark, sf):
+    """The same from the whole log."""
+    rows = core._events(spark, sf).withColumn("text", F.when(F.col("event_type") != "view", F.col("event_type")))
+    return keyed.debounce_log(rows, "user_id", "ms", "event_id", "text", 36_000_000)
+
+
+@query(core.ORACLES["token_bucket"].replace("have >= 1", "have >= 2").replace("have - 1", "have - 2"))
+def token_bucket_cost(spark, sf):
+    """Every event costs two tokens."""
+    return keyed.token_bucket(core._events(spark, sf), "user_id", "ms", "event_id", capacity=3, refill=1, interval=7_200_000, cost=2)
