@@ -60,3 +60,14 @@ def after(df: DataFrame, pk: str, token: str, condition: dict | None = None) ->
     if value is None:
         return df.where(c.isNull() & (F.col(pk) > key))
     return df.where((c > value if way == "asc" else c < value) | c.isNull() | (c == value) & (F.col(pk) > key))
+
+
+def behind(df: DataFrame, order: list[tuple[str, str]], pk: str, row: dict) -> DataFrame:
+    """Rows that stand behind ``row`` in an order of several fields: a condition on the columns alone, which reaches the scan."""
+    beyond, same = F.lit(False), F.lit(True)
+    for name, way in [*order, (pk, "asc")]:
+        c, value = F.col(name), row[name]
+        if value is not None:  # behind a null stands nothing
+            beyond |= same & ((c > value if way == "asc" else c < value) | c.isNull())
+        same &= c.isNull() if value is None else c == value
+    return df.where(beyond)

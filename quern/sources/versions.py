@@ -158,6 +158,15 @@ class VersionedTable:
         """Keys that went, with ``deleted_at``, since a version."""
         return self._logs("tombstones", after, f"{self._key_ddl()}, deleted_at long")
 
+    def changed(self, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+        """Rows as of ``low`` that are gone or others as of ``high``, and rows of ``high`` that are new or others; only touched buckets are read."""
+        a, b = self._manifest(low), self._manifest(high)
+        moved = {int(k) for k in a["buckets"].keys() | b["buckets"].keys() if a["buckets"].get(k) != b["buckets"].get(k)}
+        before, after = self._rows(a, moved), self._rows(b, moved)
+        packed = lambda df: df.select(F.col(self.pk).alias("_pk"), F.struct(*(c for c in before.columns if c != "updated_at")).alias("_row"))
+        other = lambda x, y: x.join(packed(y), F.col(self.pk) == F.col("_pk"), "left").where(~F.coalesce(F.struct(*(c for c in before.columns if c != "updated_at")).eqNullSafe(F.col("_row")), F.lit(False))).select(*x.columns)
+        return other(before, after), other(after, before)
+
     def history(self) -> list[dict]:
         """version, operation, clock, touched buckets of every commit."""
         return [{k: m[k] for k in ("version", "operation", "clock", "touched")} for m in map(self._manifest, self._versions())]

@@ -12,6 +12,7 @@ from quern.sources.durable import new_path
 from quern.sources.tables import table
 from quern.sources.versions import VersionedTable
 from quern.streaming import stateful
+from quern.streaming.live import LiveQuery
 
 
 @query(
@@ -109,3 +110,28 @@ def debounce_texts(spark, sf):
 def token_bucket_cost(spark, sf):
     """Every event costs two tokens."""
     return keyed.token_bucket(core._events(spark, sf), "user_id", "ms", "event_id", capacity=3, refill=1, interval=7_200_000, cost=2)
+
+
+_LIVE = """WITH v0 AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
+v1 AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM v0),
+v2 AS (SELECT * FROM v1 WHERE o_orderkey % 11 <> 3),
+v3 AS (SELECT * FROM v2 UNION ALL SELECT o_orderkey + 100000000, o_orderstatus, o_totalprice FROM v0 WHERE o_orderkey % 13 = 5),
+p0 AS (SELECT o_orderkey, o_totalprice FROM v0 WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 60), p1 AS (SELECT o_orderkey, o_totalprice FROM v1 WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 60),
+p2 AS (SELECT o_orderkey, o_totalprice FROM v2 WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 60), p3 AS (SELECT o_orderkey, o_totalprice FROM v3 WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 60) """
+_STEP = "SELECT {n} AS step, CASE WHEN a.o_orderkey IS NULL THEN 'enter' WHEN b.o_orderkey IS NULL THEN 'leave' ELSE 'change' END AS delta, coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice FROM {a} a FULL JOIN {b} b ON a.o_orderkey = b.o_orderkey WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice"
+
+
+@query(_LIVE + "SELECT 0 AS step, 'enter' AS delta, * FROM p0 UNION ALL " + " UNION ALL ".join(_STEP.format(n=n, a=f"p{n - 1}", b=f"p{n}") for n in (1, 2, 3)))
+def live_page_deltas(spark, sf):
+    """What three commits do to the sixty dearest orders of a status, found from the changed rows."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    t = VersionedTable.create(spark, new_path(spark, "versions"), rows, "o_orderkey", buckets=16)
+    live = LiveQuery(t, new_path(spark, "live"), {"o_orderstatus": "F"}, [("o_totalprice", "desc")], 60, ["o_orderkey", "o_totalprice"])
+    out = live.advance().withColumn("step", F.lit(0))
+    dearer = rows.where("o_orderkey % 7 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    gone = rows.where("o_orderkey % 11 = 3").select("o_orderkey")
+    new = rows.where("o_orderkey % 13 = 5").withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000)
+    for step, make in enumerate((lambda x: x.update(dearer), lambda x: x.delete(gone), lambda x: x.create(new)), 1):
+        make(t.begin()).commit(most=None)
+        out = out.unionByName(live.advance().withColumn("step", F.lit(step)))
+    return out
