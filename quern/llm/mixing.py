@@ -57,7 +57,7 @@ def route(patterns: dict[tuple, int], quotas: dict, passes: int = MAX_PASSES) ->
     """Words taken of each pattern: a min-cost flow by successive shortest paths.
 
     Arcs: source of flow -> pattern, once per pass, with the pattern's size and cost 2r - 1; pattern
-    -> its sources, free; source -> sink, with its quota.
+    -> its sources, free; source -> sink, with its quota. A source without a quota takes nothing.
     """
     names = [("flow",), *(("pattern", p) for p in patterns), *(("source", s) for s in quotas), ("sink",)]
     node = {x: i for i, x in enumerate(names)}
@@ -75,7 +75,7 @@ def route(patterns: dict[tuple, int], quotas: dict, passes: int = MAX_PASSES) ->
 
     used = {p: [arc(start, node["pattern", p], size, 2 * r - 1) for r in range(1, passes + 1)] for p, size in patterns.items()}
     for p, size in patterns.items():
-        for s in p:
+        for s in filter(quotas.__contains__, p):
             arc(node["pattern", p], node["source", s], passes * size, 0)
     for s, quota in quotas.items():
         arc(node["source", s], sink, quota, 0)

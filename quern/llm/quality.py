@@ -6,10 +6,12 @@ become one sign, all else stays) and pairs of shapes, and whether a word equals
 of one sparse dot product with the weights. Training takes a bounded sample of the labelled rows
 (``TRAIN_ROWS``, those with the smallest hash); shards of it run the updates of
 follow-the-regularised-leader side by side; after each pass their weights and their sums of squared
-gradients (the per-coordinate rates) are averaged, and the next pass goes on from these.
+gradients (the per-coordinate rates) are averaged, and the next pass goes on from these. Two more models,
+each of half of the shards, score the other half; a slope and an intercept fitted to these scores (rows
+that the model has not seen) are put into the final weights.
 
 Null and empty texts have no feature and score the logistic of the bias. Without any labelled row all
-scores are 0.5. Null labels are ignored; of several labels of one doc_id the mean decides (a tie
+scores are 0.5; with labels of one kind only nothing is stretched. Null labels are ignored; of several labels of one doc_id the mean decides (a tie
 counts as 1). Repeated rows score alike; a null doc_id has no label and is not held out. An empty
 table gives an empty result; other columns take no part.
 """
@@ -126,25 +128,71 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
     drawn = drawn.withColumn("shard", F.pmod("draw", F.lit(SHARDS)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(column, F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), "_id").select("text", "y", "shard", "draw")
+    spark = docs.sparkSession
     sample = written(rows.mapInArrow(spared(count), "i binary, x binary, y double, shard int, draw long"))
-    weights, squares = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    # Three models side by side: without the even shards, without the odd ones, and of all.
+    state = np.zeros((3, 2, (1 << BITS) + 1), np.float32)
     for _ in range(PASSES):
+        sent = spark.sparkContext.broadcast(state)  # fixed size
 
         def fit(group: pa.Table) -> pa.Table:
-            model = Ftrl(weights, squares)  # noqa: B023  (sent with this pass's job)
             order = np.lexsort((group.column("x").to_numpy(), group.column("draw").to_numpy()))
             i, x, y = group.column("i").to_pylist(), group.column("x").to_pylist(), group.column("y").to_pylist()
-            for k in order.tolist():
-                model.step(np.frombuffer(i[k], "<u4"), np.frombuffer(x[k], "<f4"), y[k])
-            w = model.weights(np.arange((1 << BITS) + 1))
-            return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "s": pa.array([model.n.astype("<f4").tobytes()], pa.binary()), "n": pa.array([len(y)], pa.int64())})
-
-        got = sorted(sample.groupBy("shard").applyInArrow(fit, "w binary, s binary, n long").collect(), key=lambda r: bytes(r["w"]))  # two vectors a shard
-        if not got:
+            out = []
+            for k in {0, 1, 2} - {group.column("shard")[0].as_py() % 2}:
+                model = Ftrl(*sent.value[k].astype(float))  # noqa: B023  (this pass's)
+                for r in order.tolist():
+                    model.step(np.frombuffer(i[r], "<u4"), np.frombuffer(x[r], "<f4"), y[r])
+                out.append((k, model.weights(np.arange((1 << BITS) + 1)).astype("<f4").tobytes(), model.n.astype("<f4").tobytes(), len(y)))
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["model", "w", "s", "n"])
+
+        got = sorted(sample.groupBy("shard").applyInArrow(fit, "model int, w binary, s binary, n long").collect(), key=lambda r: (r["model"], bytes(r["w"])))  # two vectors a shard and model
+        sent.destroy()
+        for k in {r["model"] for r in got}:
+            mine = [r for r in got if r["model"] == k]
+            for j, c in enumerate("ws"):
+                state[k, j] = sum(np.frombuffer(r[c], "<f4").astype(float) * r["n"] for r in mine) / sum(r["n"] for r in mine)
+    return calibrated(sample, state[:, 0].astype(float))
+
+
+def calibrated(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """The third model's weights, stretched and moved so that scores are shares: fitted on each row's total under the model that has not seen it."""
+    sent = sample.sparkSession.sparkContext.broadcast(weights[:2])  # fixed size
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sent.value[s % 2][np.frombuffer(i, "<u4")] @ np.frombuffer(x, "<f4") for i, x, s in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(3)], ["m", "y"])
+
+    rows = sample.select("i", "x", "shard", "y").mapInArrow(totals, "m double, y double").orderBy("m", "y").collect()  # of the bounded sample
+    m, y = np.array([r["m"] for r in rows]), np.array([r["y"] for r in rows])
+    out = weights[2].copy()
+    if len(np.unique(y)) == 2:
+        a, b = platt(m, y)
+        out *= a
+        out[-1] += b
+    return out
+
+
+def platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (positive) and intercept of the logistic from totals to labels, by Newton steps; labels are drawn in by a row of each kind."""
+    up = y.sum()
+    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (len(y) - up + 2))
+    a, b = 1.0, 0.0
+    loss = lambda a, b: np.logaddexp(0, a * m + b).sum() - (target * (a * m + b)).sum()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
+        g = np.array([((p - target) * m).sum(), (p - target).sum()])
+        w = p * (1 - p)
+        h = np.array([[(w * m * m).sum(), (w * m).sum()], [(w * m).sum(), w.sum()]]) + 1e-9 * np.eye(2)
+        da, db = np.linalg.solve(h, g)
+        t = 1.0
+        while t > 1e-6 and loss(a - t * da, b - t * db) > loss(a, b):
+            t /= 2
+        a, b = a - t * da, b - t * db
+        if abs(t * da) + abs(t * db) < 1e-9:
             break
-        mean = lambda c: sum(np.frombuffer(r[c], "<f4").astype(float) * r["n"] for r in got) / sum(r["n"] for r in got)  # noqa: B023, E731
-        weights, squares = mean("w"), mean("s")
-    return weights
+    return (a, b) if a > 0 else (1.0, 0.0)
 
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ as the sequence of its symbol.
 
 The names of phrases, the highest symbols, are exchanged: a window whose first phrase occurs once in the
 corpus cannot repeat. The windows of shared phrases are then verified by fingerprints of all their words
-(80 bits), and every occurrence but the earliest (smallest doc_id, then start) is removed, wherever it
+(80 bits, of two independent hashes a word), and every occurrence but the earliest (smallest doc_id, then start) is removed, wherever it
 stands.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null, empty and short texts (under one window) lose
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.errors import QueryError
 from quern.llm import blocks
 from quern.llm.spark import octets, written
-from quern.llm.texts import carried, chunks, extended, mix, rows_of, spared, word_hashes
+from quern.llm.texts import carried, chunks, extended, mix, rows_of, spared, word_digests, word_hashes
 from quern.sources.durable import BROADCAST_BYTES
 
 WINDOW = 20
@@ -172,7 +172,8 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
             return blocks.blobs(rows)
 
         for batch in chunks(batches, "text"):
-            words, first = word_hashes(batch.column(2))
+            digests, first = word_digests(batch.column(2))
+            words, other = digests[:, 0], digests[:, 1]
             start, name = phrases(words, first)
             row = np.searchsorted(first, start, side="right") - 1
             marks = [np.frombuffer(m, "<u2").astype(np.uint64) | np.uint64(i << 16) for i, m in enumerate(batch.column(3).to_pylist()) if m]
@@ -185,7 +186,7 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
             s = s[known[at]] if len(s) else s
             where = np.searchsorted(first, s, side="right") - 1
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            more = (around(mix(words), s, window) >> np.uint64(48)).astype(np.uint16)
+            more = (around(other, s, window) >> np.uint64(48)).astype(np.uint16)
             parts.append((around(words, s, window), more, ids[where], ties[where], (s - first[where]).astype(np.uint32)))
             total += len(s)
             if total > blocks.BLOCK_HASHES:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from quern.llm.spark import bounded
 
 CHUNK_BYTES = 2 << 20
-#: Bytes that fingerprints are summed over at once, and for which a worker keeps the powers of the base.
-PIECE_BYTES = 1 << 18
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes whose spans are told apart at once; spans longer than ``LONG_BYTES`` stand alone.
+PIECE_BYTES, LONG_BYTES = 1 << 18, 1 << 12
+#: Words, and bytes of a word, that a worker remembers the fingerprints of.
+KNOWN, KNOWN_BYTES = 1 << 16, 64
+_BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -39,21 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    found = _powers.get(base)
-    if found is None or len(found) < n:
-        steps = np.full(max(n, PIECE_BYTES + (1 << 12)), base, dtype=np.uint64)
-        steps[0] = 1
-        found = np.multiply.accumulate(steps)
-        if base not in _powers:  # what only a very long word needs isn't kept
-            _powers[base] = found
-    return found[:n]
-
-
 def chunks(batches: Iterable[pa.RecordBatch], column: str | int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds at most ``most`` bytes (one longer row stands alone)."""
     for batch in batches:
@@ -140,27 +126,59 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of byte spans in ascending order, a piece at a time."""
-    out = np.empty(len(starts), np.uint64)
+_known: dict[bytes, bytes] = {}
+
+
+def _digest(word: bytes) -> bytes:
+    """128 bits of BLAKE2; a worker remembers some of the short words."""
+    found = _known.get(word)
+    if found is None:
+        found = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= KNOWN_BYTES:
+            if len(_known) >= KNOWN:
+                _known.clear()
+            _known[word] = found
+    return found
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit fingerprints of every byte span (in ascending order): distinct spans are hashed once a piece."""
+    sizes = ends - starts
+    out = np.empty((len(starts), 2), np.uint64)
+    long = np.flatnonzero(sizes > LONG_BYTES)
+    for i in long.tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=16).digest(), "<u8")
+    rest = np.flatnonzero(sizes <= LONG_BYTES) if len(long) else np.arange(len(starts))
     w = 0
-    while w < len(starts):
-        base = starts[w]
-        v = max(w + 1, int(np.searchsorted(starts, base + PIECE_BYTES)))
-        piece = data[base : ends[v - 1]]
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_LETTER[piece] * _power(_BASE, len(piece)), out=total[1:])
-        s, e = starts[w:v] - base, ends[w:v] - base
-        out[w:v] = (total[e] - total[s]) * _power(_INVERSE, len(piece) + 1)[s] + (e - s).astype(np.uint64)
+    while w < len(rest):
+        v = max(w + 1, int(np.searchsorted(starts[rest[w:]], starts[rest[w]] + PIECE_BYTES)) + w)
+        some = rest[w:v]
+        s, e, base = starts[some], ends[some], starts[some[0]]
+        flat = data[ragged(s, sizes[some])] if (s[1:] != e[:-1]).any() else data[base : e[-1]]
+        at = np.append(0, np.cumsum(sizes[some])).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+        found = np.frombuffer(b"".join(map(_digest, coded.dictionary.to_pylist())), "<u8").reshape(-1, 2)
+        out[some] = found[coded.indices.to_numpy()]
         w = v
-    return mix(out)
+    return out
 
 
-def word_hashes(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word fingerprints of a text column and the index of each row's first word (one more at the end)."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of byte spans in ascending order."""
+    return span_digests(data, starts, ends)[:, 0]
+
+
+def word_digests(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Both fingerprints of the words of a text column, and the index of each row's first word (one more at the end)."""
     data, offsets = buffers(array)
     starts, ends, first = word_spans(data, offsets)
-    return span_hashes(LOWER[data] if lower else data, starts, ends), first
+    return span_digests(LOWER[data] if lower else data, starts, ends), first
+
+
+def word_hashes(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word fingerprints of a text column and the index of each row's first word (one more at the end)."""
+    words, first = word_digests(array, lower)
+    return words[:, 0], first
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

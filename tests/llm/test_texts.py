@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quern.errors import QueryError
-from quern.llm import bpe_codec, language_id, mixing, ngram_join, quality, queries, substring_dedup, token_files
+from quern.llm import bpe_codec, language_id, mixing, ngram_join, quality, queries, substring_dedup, texts, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, n string"
 
@@ -470,3 +471,52 @@ def test_substring_dedup_without_broadcasts(spark, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
     got = substring_dedup.dedup_text(make(spark, rows))
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == brute_windows(rows)
+
+
+def thue_morse(n):
+    """Two complementary words whose polynomial sums modulo 2^64 are equal from 1,024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_fingerprints_of_complementary_words(n):
+    a, b = thue_morse(n)
+    digests, first = texts.word_digests(pa.array([f"{a} {b} {a}", "x" * n, f"{b}"]))
+    assert first.tolist() == [0, 3, 4, 5] and (digests[0] == digests[2]).all() and (digests[1] == digests[4]).all()
+    assert len({tuple(d) for d in digests.tolist()}) == 3 and digests[0, 0] != digests[1, 0]
+
+
+def test_fingerprints_of_spans(monkeypatch):
+    text = "one two  one été " + "y" * 50 + " z one"
+    plain, _ = texts.word_digests(pa.array([text]))
+    monkeypatch.setattr(texts, "PIECE_BYTES", 5)
+    monkeypatch.setattr(texts, "LONG_BYTES", 20)
+    monkeypatch.setattr(texts, "KNOWN", 2)
+    again, _ = texts.word_digests(pa.array([text]))
+    want = [np.frombuffer(hashlib.blake2b(w, digest_size=16).digest(), "<u8") for w in text.encode().split()]
+    assert (plain == again).all() and (plain == np.array(want)).all()
+    data = np.frombuffer(b"abab", np.uint8)
+    assert texts.span_hashes(data, np.array([0, 0, 2, 4]), np.array([0, 2, 4, 4])).tolist() == [int.from_bytes(hashlib.blake2b(w, digest_size=16).digest()[:8], "little") for w in (b"", b"ab", b"ab", b"")]
+
+
+def test_complementary_words_are_no_copies(spark):
+    a, b = thue_morse(2048)
+    fill = " ".join(f"w{i}" for i in range(19))
+    docs = make(spark, [(1, f"{fill} {a}", "en", "a", 1), (2, f"{fill} {b}", "en", "a", 1), (3, a, "en", "a", 1), (4, b, "en", "a", 1)])
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_text(docs).collect()}
+    assert all(r["n_removed"] == 0 for r in got.values())
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs.where("doc_id > 2")).collect()} == {3: 3, 4: 4}
+
+
+def test_flow_without_a_quota():
+    assert mixing.route({("a",): 5, ("a", "b"): 4}, {"b": 3}) == {("a",): 0, ("a", "b"): 3}
+
+
+def test_platt_scaling():
+    rng = np.random.default_rng(1)
+    m = rng.normal(0, 1, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(3 * m - 1)))).astype(float)
+    a, b = quality.platt(m, y)
+    assert abs(a - 3) < 0.3 and abs(b + 1) < 0.2
+    assert quality.platt(-m, y) == (1.0, 0.0) and quality.platt(np.array([-1.0, 1.0]), np.array([0.0, 1.0]))[0] > 0
