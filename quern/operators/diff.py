@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: Edits after which a gap is replaced as a whole.
-MOST_EDITS = 1000
+#: Edits after which a stretch is replaced as a whole.
+MOST_EDITS = 8192
 OPS = "array<struct<type:string,text:string>>"
 
 
@@ -40,56 +41,89 @@ def clusters(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [c for x in _CLUSTERS.findall(t or "") for c in (cjk.findall(x) if x.isalnum() else [x])])
 
 
+_NONE = -(1 << 40)
+
+
+def _frontier(x: np.ndarray, y: np.ndarray, old: np.ndarray, zero: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All furthest points of ``d`` edits: their diagonals, where they begin to run along equal tokens, and where they end."""
+    n, m = len(x), len(y)
+    low, high = max(-d, -m + (d + m) % 2), min(d, n - (d + n) % 2)
+    k = np.arange(low, high + 1, 2)
+    up, left = old[zero + k + 1], old[zero + k - 1] + 1
+    begin = np.maximum(up, left) if d else np.zeros(1, np.int64)
+    begin = np.where((begin > n) & (up >= 0), up, begin)
+    begin = np.where((begin < 0) | (begin > n) | (begin - k > m) | (begin - k < 0), _NONE, begin)
+    end = begin.copy()
+    going = np.flatnonzero((end >= 0) & (end < n) & (end - k < m))
+    while len(going):
+        same = x[end[going]] == y[end[going] - k[going]]
+        going = going[same]
+        end[going] += 1
+        going = going[(end[going] < n) & (end[going] - k[going] < m)]
+    return k, begin, end
+
+
+def _middle(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int, int, int] | None:
+    """A run of equal tokens (maybe none) half way of a shortest script: its start and end in both; None past ``most`` edits.
+
+    Furthest points are followed from both ends until two of them meet on a diagonal; memory is linear in the edits.
+    """
+    n, m = len(x), len(y)
+    delta, rx, ry = n - m, x[::-1], y[::-1]
+    reach = min((n + m + 1) // 2, most // 2 + 1)
+    zero = reach + abs(delta) + 2
+    ahead, back = np.full(2 * zero + 1, _NONE), np.full(2 * zero + 1, _NONE)
+    for d in range(reach + 1):
+        for own, other, backward in ((ahead, back, False), (back, ahead, True)):
+            a, b = (rx, ry) if backward else (x, y)
+            k, begin, end = _frontier(a, b, own, zero, d)
+            if (delta % 2 == 1) != backward and (2 * d - (not backward)) <= most:
+                facing = delta - k
+                inside = np.abs(facing) <= zero
+                far = np.where(inside, other[zero + np.where(inside, facing, 0)], _NONE)
+                met = np.flatnonzero((end >= 0) & (far >= 0) & (end + far >= n))
+                if len(met):
+                    i = met[0]
+                    p, q, c = int(begin[i]), int(end[i]), int(k[i])
+                    return (n - q, m - (q - c), n - p, m - (p - c)) if backward else (p, p - c, q, q - c)
+            own[zero + k] = end
+    return None
+
+
+def matches(x: np.ndarray, y: np.ndarray, most: int = MOST_EDITS) -> list[tuple[int, int, int]]:
+    """Runs (start in x, start in y, length) that a shortest script keeps, in order; a stretch past ``most`` edits keeps none."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        p, q = x[a0:a1], y[b0:b1]
+        w = min(len(p), len(q))
+        differ = np.flatnonzero(p[:w] != q[:w])
+        head = int(differ[0]) if len(differ) else w
+        differ = np.flatnonzero(p[head:][::-1][: w - head] != q[head:][::-1][: w - head])
+        tail = int(differ[0]) if len(differ) else w - head
+        out += [(a0, b0, head)] * (head > 0) + [(a1 - tail, b1 - tail, tail)] * (tail > 0)
+        a0, a1, b0, b1 = a0 + head, a1 - tail, b0 + head, b1 - tail
+        if a0 < a1 and b0 < b1 and (found := _middle(x[a0:a1], y[b0:b1], most)):
+            i, j, u, v = found
+            out += [(a0 + i, b0 + j, u - i)] * (u > i)
+            todo += [(a0, a0 + i, b0, b0 + j), (a0 + u, a1, b0 + v, b1)]
+    return sorted(out)
+
+
 def shortest(x: list[str], y: list[str], most: int = MOST_EDITS) -> list[tuple[str, list[str]]]:
-    """A shortest edit script (Myers): runs to keep, delete (first) and insert; past ``most`` edits the middle is replaced."""
-    a, m = 0, min(len(x), len(y))
-    while a < m and x[a] == y[a]:
-        a += 1
-    b = 0
-    while b < m - a and x[-1 - b] == y[-1 - b]:
-        b += 1
-    p, q = x[a : len(x) - b], y[a : len(y) - b]
-    n, m, reach, trail = len(p), len(q), {1: 0}, []
-    steps: list[tuple[str, str]] | None = None
-    for d in range(min(n + m, most) + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
-            while i < n and i - k < m and p[i] == q[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= n and i - k >= m:
-                break
-        else:
-            continue
-        steps, i, j = [], n, m
-        for e in range(d, -1, -1):
-            old, k = trail[e], i - j
-            k0 = k + 1 if k == -e or k != e and old[k - 1] < old[k + 1] else k - 1
-            i0 = old[k0] if e else 0
-            j0 = i0 - k0 if e else 0
-            while i > i0 and j > j0:
-                i, j = i - 1, j - 1
-                steps.append(("keep", p[i]))
-            if e:
-                steps.append(("insert", q[j0]) if k0 == k + 1 else ("delete", p[i0]))
-                i, j = i0, j0
-        steps.reverse()
-        break
-    if steps is None:
-        steps = [*(("delete", t) for t in p), *(("insert", t) for t in q)]
-    out: list[tuple[str, list[str]]] = [("keep", list(x[:a]))]
-    gap: dict[str, list[str]] = {"delete": [], "insert": []}
-    for kind, token in [*steps, *(("keep", t) for t in x[len(x) - b :])]:
-        if kind == "keep":
-            out += [(k, ts) for k, ts in gap.items() if ts]
-            gap = {"delete": [], "insert": []}
-            if out[-1][0] != "keep":
-                out.append(("keep", []))
-            out[-1][1].append(token)
-        else:
-            gap[kind].append(token)
-    return [(k, ts) for k, ts in [*out, *gap.items()] if ts]
+    """A shortest edit script (Myers, in linear space): runs to keep, delete (first) and insert; a stretch past ``most`` edits is replaced."""
+    codes: dict[str, int] = {}
+    number = lambda ts: np.array([codes.setdefault(t, len(codes)) for t in ts], np.int64)
+    out: list[tuple[str, list[str]]] = []
+    i = j = 0
+    for a, b, n in [*matches(number(x), number(y), most), (len(x), len(y), 0)]:
+        for kind, tokens in (("delete", x[i:a]), ("insert", y[j:b]), ("keep", x[a : a + n])):
+            if tokens and out and out[-1][0] == kind:
+                out[-1][1].extend(tokens)
+            elif tokens:
+                out.append((kind, list(tokens)))
+        i, j = a + n, b + n
+    return out
 
 
 def script(old: Column, new: Column) -> Column:
@@ -103,6 +137,17 @@ def script(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
+def token_script(old: Column, new: Column) -> Column:
+    """The same with the tokens of each run."""
+
+    @F.pandas_udf("array<struct<type:string,tokens:array<string>>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        sides = ((list(x if x is not None else []), list(y if y is not None else [])) for x, y in zip(a, b, strict=True))
+        return pd.Series([[{"type": k, "tokens": ts} for k, ts in shortest(x, y)] for x, y in sides])
+
+    return run(old, new)
+
+
 def structured(old: DataFrame, new: DataFrame, doc: str, key: str, place: str, text: str) -> DataFrame:
     """Blocks of two versions of each document by key: inserted, deleted, moved (off the longest run in order), changed or unchanged."""
     rows = blocks(old, new, [doc, key], place, text)

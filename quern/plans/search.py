@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ QUERY_TOKENS = 32
 DICTIONARY_GUARD = 200_000
 
 
+@dataclass(frozen=True)
+class Term:
+    """A query term and what it may stand for: edits allowed, other forms, longer words."""
+
+    text: str
+    edits: int = 0
+    forms: list[str] = field(default_factory=list)
+    prefix: bool = True
+
+
 class Index:
     """Postings, dictionary and field statistics of some text fields, as DataFrames."""
 
@@ -39,6 +51,23 @@ class Index:
         self.dictionary = self.postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
         self.stats = self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"))
 
+    def placed(self) -> DataFrame:
+        """Postings with the places of every token in its field's list of tokens."""
+        each = self.words.select(self.pk, "field", F.posexplode("words").alias("place", "token"))
+        return each.groupBy("field", "token", self.pk).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+
+    def places(self, tokens: DataFrame, keys: DataFrame) -> DataFrame:
+        """pk, field, term, at: where the tokens of each term stand in the documents of ``keys`` (a page at most)."""
+        own = self.words.join(F.broadcast(keys), self.pk).select(self.pk, "field", F.posexplode("words").alias("place", "token"))
+        return gathered(own.join(F.broadcast(tokens.select("field", "term", "token")), ["field", "token"]), self.pk, F.collect_list("place"))
+
+    def slice(self, terms: list[Term]) -> DataFrame:
+        """The part of the dictionary in which the terms are looked up: here all of it."""
+        return self.dictionary
+
+    def crowded(self) -> bool:
+        return not self.dictionary.groupBy("field").count().where(F.col("count") > DICTIONARY_GUARD).isEmpty()
+
     def hits(self, tokens: DataFrame) -> DataFrame:
         """Postings of the tokens (field, token, term, weight, df) with lengths; other tokens are dropped before any shuffle."""
         met = self.tokens.join(F.broadcast(tokens), ["field", "token"])  # capped per term
@@ -61,18 +90,19 @@ def expanded(index: Index, terms: list[str], exact: bool = False, tolerance: int
     The query is small; the dictionary is scanned once with one condition per term, then capped per
     (field, term, class) by document frequency. ``guard``: no typos, for dictionaries past the guard.
     """
-    d, parts = index.dictionary, []
-    t = F.col("token")
+    planned = []
     for term in terms:
         edits = 0 if exact or guard and tolerance is None else T.tolerance(term) if tolerance is None else min(max(tolerance, 0), 3)
-        distance = F.levenshtein(t, F.lit(term), edits) if edits else F.lit(-1)
-        kind = F.when(t == term, F.lit(0))
-        if not exact:
-            forms = T.variants(term)
-            kind = kind.when(t.isin(*forms), F.lit(1)) if forms else kind
-            kind = kind.when(t.startswith(term), F.lit(2))
-            kind = kind.when(distance >= 1, F.lit(3)) if edits else kind
-        parts.append(F.struct(F.lit(term).alias("term"), kind.alias("kind"), distance.alias("distance")))
+        planned.append(Term(term, edits, [] if exact else T.variants(term), not exact))
+    d, parts = index.slice(planned) if planned else index.dictionary, []
+    t = F.col("token")
+    for p in planned:
+        distance = F.levenshtein(t, F.lit(p.text), p.edits) if p.edits else F.lit(-1)
+        kind = F.when(t == p.text, F.lit(0))
+        kind = kind.when(t.isin(*p.forms), F.lit(1)) if p.forms else kind
+        kind = kind.when(t.startswith(p.text), F.lit(2)) if p.prefix else kind
+        kind = kind.when(distance >= 1, F.lit(3)) if p.edits else kind
+        parts.append(F.struct(F.lit(p.text).alias("term"), kind.alias("kind"), distance.alias("distance")))
     if not parts:
         return d.limit(0).select("field", F.lit("").alias("term"), "token", F.lit(0.0).alias("weight"))
     hits = d.select("field", "token", "df", F.inline(F.filter(F.array(*parts), lambda p: p["kind"].isNotNull())))
@@ -116,23 +146,38 @@ def passing(scores: DataFrame, pk: str, n_terms: int, threshold: float = 1.0) ->
     return every.unionByName(rest.orderBy(F.desc("score"), pk).limit(take))
 
 
-def near(index: Index, scores: DataFrame, words: list[str], top: int = 100) -> DataFrame:
-    """The ``top`` documents re-ranked: score * (1 + half the best field's share of adjacent query pairs)."""
-    pk = index.pk
+def gathered(rows: DataFrame, pk: str, at: Column) -> DataFrame:
+    return rows.groupBy(pk, "field", "term").agg(at.alias("at"))
+
+
+def near(index, scores: DataFrame, words: list[str], top: int = 100, **how) -> DataFrame:
+    """The ``top`` documents re-ranked: score * (1 + half the best field's share of adjacent query pairs).
+
+    A pair is adjacent where any token that its first word matched (itself, a variant, a longer word, a typo) stands right
+    before one that the second matched. Positions are looked up for the ``top`` documents only.
+    """
+    pk, words = index.pk, list(dict.fromkeys(words))
+    best = written(scores.orderBy(F.desc("score"), pk).limit(top))
     pairs = list(zip(words, words[1:], strict=False))
-    best = scores.orderBy(F.desc("score"), pk).limit(top)
-    text = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))
-    share = sum((F.contains(text, F.lit(f" {a}  {b} ")).cast("int") for a, b in pairs), F.lit(0)) / max(len(pairs), 1)
-    shares = index.words.join(F.broadcast(best.select(pk)), pk).groupBy(pk).agg(F.max(share).alias("share"))  # top-k rows
-    return best.join(shares, pk, "left").select(pk, (F.col("score") * (1 + 0.5 * F.when(F.col("hits") >= 2, F.coalesce("share", F.lit(0.0))).otherwise(0.0))).alias("score"))
+    if not pairs:
+        return best.select(pk, "score")
+    places = index.places(expanded(index, words, **how), best.where("hits >= 2").select(pk))
+    each = places.groupBy(pk, "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("at"))
+    of = lambda w: F.try_element_at("at", F.lit(w))
+    meets = lambda a, b: F.coalesce(F.arrays_overlap(F.transform(of(a), lambda x: x + 1), of(b)), F.lit(False)).cast("int")
+    share = sum((meets(a, b) for a, b in pairs), F.lit(0)) / len(pairs)
+    shares = each.groupBy(pk).agg(F.max(share).alias("share"))
+    return best.join(F.broadcast(shares), pk, "left").select(pk, (F.col("score") * (1 + 0.5 * F.coalesce("share", F.lit(0.0)))).alias("score"))  # top rows
 
 
 def guarded(index, tolerance: int | None) -> bool:
     """Whether a field's dictionary is past the size at which typos are matched unasked."""
-    return tolerance is None and not index.dictionary.groupBy("field").count().where(F.col("count") > DICTIONARY_GUARD).isEmpty()
+    return tolerance is None and index.crowded()
 
 
 def search(docs: DataFrame, pk: str, query: str, fields: list[str], boosts: dict[str, float] | None = None, threshold: float = 1.0, tokenize=T.tokens, **how) -> DataFrame:
     """pk and score of the documents that match."""
-    terms = query_terms(query)
-    return passing(scored(Index(docs, pk, fields, tokenize), terms, boosts, **how), pk, len(terms), threshold).select(pk, "score")
+    terms, index = query_terms(query), Index(docs, pk, fields, tokenize)
+    if not how.get("exact"):
+        how.setdefault("guard", guarded(index, how.get("tolerance")))
+    return passing(scored(index, terms, boosts, **how), pk, len(terms), threshold).select(pk, "score")

@@ -214,7 +214,26 @@ def search_threshold(spark, sf, tokenize=text.simple_tokens):
 def proximity_rerank(spark, sf, tokenize=text.simple_tokens):
     index = _index(spark, sf, tokenize)
     scores = plan.scored(index, plan.query_terms("the thing was"), exact=True).withColumn("score", F.round("score", 9))
-    return plan.near(index, scores, ["the", "thing", "was"]).select("doc_id", F.round("score", 6).alias("score"))
+    return plan.near(index, scores, ["the", "thing", "was"], exact=True).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _expansion_sql(terms: list[str], forms: list[list[str]], edits: list[int]) -> str:
+    kinds = f"SELECT field, term, token, df, distance, CASE WHEN token = term THEN 0 WHEN list_contains(forms, token) THEN 1 WHEN starts_with(token, term) THEN 2 WHEN edits > 0 AND distance <= edits THEN 3 END AS kind FROM (SELECT d.*, q.*, levenshtein(d.token, q.term) AS distance FROM dictionary d, (SELECT unnest({terms}) AS term, unnest({forms}::VARCHAR[][]) AS forms, unnest({edits}) AS edits) q)"
+    return f"SELECT field, term, token, CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.75 ELSE 0.6 END AS weight FROM (SELECT *, row_number() OVER w AS rn, sum(df) OVER w AS cum FROM ({kinds}) WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY field, term, kind ORDER BY CASE WHEN kind = 3 THEN distance ELSE 0 END, df DESC, token ROWS UNBOUNDED PRECEDING)) WHERE kind < 2 OR (rn <= CASE WHEN kind = 3 THEN 20 WHEN length(term) <= 2 THEN 10 ELSE 50 END AND (rn = 1 OR cum <= CASE WHEN kind = 3 THEN 1000 ELSE 2000 END))"
+
+
+_MATCHED = (
+    _bm25_sql(_expansion_sql(["the", "thing", "wa"], [["thes"], ["things"], []], [0, 1, 0]))
+    + f", best AS (SELECT *, round(score, 9) AS s FROM scores ORDER BY s DESC, doc_id LIMIT 100), places AS (SELECT doc_id, term, place FROM (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS place FROM ({_WORDS})) JOIN expansion USING (token)), shares AS (SELECT a.doc_id, count(DISTINCT a.term) / 2.0 AS share FROM places a JOIN places b ON a.doc_id = b.doc_id AND b.place = a.place + 1 AND (a.term, b.term) IN (('the', 'thing'), ('thing', 'wa')) GROUP BY 1) SELECT doc_id, round(s * (1 + 0.5 * CASE WHEN hits >= 2 THEN coalesce(share, 0) ELSE 0 END), 6) AS score FROM best LEFT JOIN shares USING (doc_id)"
+)
+
+
+@query(_MATCHED)
+def proximity_matched(spark, sf, tokenize=text.simple_tokens):
+    """Adjacent pairs of whatever the words matched: the last one is only the beginning of a word."""
+    index = _index(spark, sf, tokenize)
+    scores = plan.scored(index, plan.query_terms("the thing wa")).withColumn("score", F.round("score", 9))
+    return plan.near(index, scores, ["the", "thing", "wa"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT lang AS value, count(*) AS count FROM documents WHERE len(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x = 'the')) > 0 AND lang IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quern import queries as core
 from quern.errors import QueryError
-from quern.operators import keyed, writes
+from quern.functions import json_schema
+from quern.operators import diff, keyed, writes
 from quern.queries import query
 from quern.sources.durable import new_path
 from quern.sources.tables import table
@@ -135,3 +136,48 @@ def live_page_deltas(spark, sf):
         make(t.begin()).commit(most=None)
         out = out.unionByName(live.advance().withColumn("step", F.lit(step)))
     return out
+
+
+_ARGUMENTS = {
+    "user": {"type": "integer", "minimum": 0, "maximum": 120},
+    "kind": {"type": "string", "enum": ["click", "view", "error"]},
+    "value": {"type": "number", "maximum": 40},
+    "tags": {"type": "array", "items": {"type": "string", "max_length": 5}, "min_items": 2},
+    "at": {"type": "object", "properties": {"k": {"type": "integer"}, "page": {"type": "string", "optional": True}}},
+}
+_MEMBERS = "SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events"
+
+
+@query(
+    f"SELECT event_id, path, code FROM (SELECT event_id, unnest([CASE WHEN event_id % 7 = 0 THEN ['user', 'type'] WHEN user_id > 120 THEN ['user', 'maximum'] END, CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN ['kind', 'enum'] END, CASE WHEN value IS NULL THEN ['value', 'required'] WHEN value > 40 THEN ['value', 'maximum'] END, "
+    f"CASE WHEN event_id % 3 = 0 THEN ['tags', 'min_items'] END, CASE WHEN length(event_type) > 5 THEN ['tags.0', 'max_length'] END, CASE WHEN event_id % 3 > 0 THEN ['tags.1', 'type'] END, CASE WHEN event_id % 2 = 0 THEN ['at.k', 'integer'] END, CASE WHEN event_id % 11 = 0 THEN ['at.x', 'unknown'] END, CASE WHEN event_id % 13 = 0 THEN ['extra', 'unknown'] END]) AS issue, issue[1] AS path, issue[2] AS code FROM ({_MEMBERS})) WHERE issue IS NOT NULL"
+)
+def json_schema_issues(spark, sf):
+    """Every issue of JSON arguments against a schema, by path."""
+    e, text = F.col("event_id"), lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    value = F.when(e % 5 != 0, F.col("value"))
+    args = F.concat(
+        F.lit('{"user": '), F.when(e % 7 == 0, F.concat(F.lit('"'), "user_id", F.lit('"'))).otherwise(F.col("user_id").cast("string")),
+        F.lit(', "kind": '), text(F.col("event_type")), F.lit(', "value": '), F.coalesce(value.cast("string"), F.lit("null")),
+        F.lit(', "tags": ['), text(F.col("event_type")), F.when(e % 3 == 0, "").otherwise(", 5"), F.lit('], "at": {"k": '), F.when(e % 2 == 0, "1.5").otherwise("1.0"),
+        F.when(e % 11 == 0, ', "x": {}').otherwise(""), F.lit("}"), F.when(e % 13 == 0, ', "extra": [1]').otherwise(""), F.lit("}"),
+    )
+    found = json_schema.issues(args, _ARGUMENTS)
+    return table(spark, sf, "events").select("event_id", F.inline(found)).select("event_id", "path", "code")
+
+
+_EDITED = "SELECT doc_id, words, list_filter(words, lambda w, i: i % 17 <> 0) AS rest FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, len(words) // 17 AS deleted, len(rest) // 23 AS inserted, len(rest) AS kept, true AS lossless FROM ({_EDITED})")
+def diff_shortest(spark, sf):
+    """Shortest scripts from every document's words to an edit of them: as many tokens go and come as the edit took and put in."""
+    words = F.filter(F.split(F.regexp_replace("text", r"[ \t-\r]+", " "), " "), lambda w: w != "")
+    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", words.alias("old"))
+    rest = F.filter("old", lambda w, i: (i + 1) % 17 != 0)
+    new = F.flatten(F.transform(rest, lambda w, i: F.when((i + 1) % 23 == 0, F.array(w, F.concat(F.lit("\u0001new"), i.cast("string")))).otherwise(F.array(w))))
+    rows = rows.withColumn("new", new).withColumn("ops", diff.token_script(F.col("old"), F.col("new")))
+    side = lambda drop: F.flatten(F.transform(F.filter("ops", lambda o: o["type"] != drop), lambda o: o["tokens"]))
+    count = lambda kind: F.size(F.flatten(F.transform(F.filter("ops", lambda o: o["type"] == kind), lambda o: o["tokens"])))
+    same = (side("insert") == F.col("old")) & (side("delete") == F.col("new"))
+    return rows.select("doc_id", count("delete").alias("deleted"), count("insert").alias("inserted"), count("keep").alias("kept"), same.alias("lossless"))
