@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.errors import QueryError
+
 CHANGES = "entity_id long, field string, op string, previous string, value string, operation_id string, created_at long"
 
 
@@ -44,19 +46,35 @@ def changes(before: DataFrame, after: DataFrame, pk: str, skip: tuple[str, ...]
     return rows
 
 
-def history(log: DataFrame, entity: int, limit: int = 50) -> DataFrame:
-    """Changes of one entity, newest first."""
-    return log.where(F.col("entity_id") == entity).orderBy(F.desc("created_at"), F.desc("field")).limit(min(limit, 1000))
+def history(log: DataFrame, entity: int, limit: int = 50, before: int | None = None) -> DataFrame:
+    """Changes of one entity (``before`` a time), newest first."""
+    own = log.where(F.col("entity_id") == entity)
+    own = own if before is None else own.where(F.col("created_at") < before)
+    return own.orderBy(F.desc("created_at"), F.desc("field")).limit(max(1, min(limit, 1000)))
+
 
+def since(log: DataFrame, at: int, limit: int = 500, table: str | None = None, operation: str | None = None) -> DataFrame:
+    """Changes at or after a time, oldest first; of one ``table`` (a column of the log), of one operation."""
+    rows = log.where(F.col("created_at") >= max(at, 0))
+    rows = rows.where(F.col("table") == table) if table is not None else rows
+    rows = rows.where(F.col("operation_id") == operation.strip()) if operation and operation.strip() else rows
+    return rows.orderBy("created_at", "entity_id", "field").limit(max(1, min(limit, 5000)))
 
-def since(log: DataFrame, at: int, limit: int = 500) -> DataFrame:
-    """Changes at or after a time, oldest first."""
-    return log.where(F.col("created_at") >= at).orderBy("created_at", "entity_id", "field").limit(min(limit, 5000))
 
+def undo(log: DataFrame, operation: str, blobs: tuple[str, ...] = (), most: int = 5000) -> DataFrame:
+    """What restores the state before an operation: entity_id, action (delete, recreate, restore), field, value.
 
-def undo(log: DataFrame, operation: str) -> DataFrame:
-    """What restores the state before an operation: entity_id, action (delete, recreate, restore), field, value."""
+    Refused where the operation changed one of ``blobs`` (fields whose contents the log does not hold) or more than ``most``
+    entities; an operation that the log does not know gives 404.
+    """
     own = log.where(F.col("operation_id") == operation)
+    found = own.agg(F.count_distinct("entity_id").alias("n"), F.coalesce(F.bool_or(F.col("field").isin(list(blobs))), F.lit(False)).alias("blob")).first()
+    if not found["n"]:
+        raise QueryError("operation_not_found", operation, 404)
+    if found["blob"]:
+        raise QueryError("revert_blob_unsupported", operation)
+    if found["n"] > most:
+        raise QueryError("operation_too_large", f"at most {most} entities")
     first = F.min_by(F.struct("previous", "op"), "created_at")
     per_field = own.groupBy("entity_id", "field").agg(first.alias("f"))
     ops = own.groupBy("entity_id").agg(F.min_by("op", "created_at").alias("first_op"))
@@ -82,8 +100,13 @@ def feed(rows: DataFrame, tombstones: DataFrame, pk: str) -> DataFrame:
 
 
 def coalesced(captured: DataFrame) -> DataFrame:
-    """Captured changes (seq, entity_id, op, before) folded to one row an entity: created, existed, before, changes."""
+    """Captured changes (seq, entity_id, op, before) folded to one row an entity: created, existed, before, changes.
+
+    With a column ``stamped`` also ``last_before`` and ``stamped``, as the last change left them.
+    """
+    last = [F.max_by(F.struct(F.col("before").alias("v")), "seq")["v"].alias("last_before"), F.max_by("stamped", "seq").alias("stamped")] if "stamped" in captured.columns else []
     return captured.groupBy("entity_id").agg(
+        *last,
         F.bool_or(F.col("op") == "insert").alias("created"),
         (F.min_by("op", "seq") != "insert").alias("existed"),
         F.min_by("before", "seq").alias("before"),

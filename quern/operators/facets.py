@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import QueryError
+from quern.operators.where import refuse_marked
 
 
 def _column(df: DataFrame, field: str):
     if field not in df.columns:
         raise QueryError("unknown_facet_field", field)
+    refuse_marked(df.schema, field, "invalid_facet_field")
     kind = df.schema[field].dataType
     if isinstance(kind, T.StructType | T.MapType | T.BinaryType):
         raise QueryError("invalid_facet_field", field)
-    return F.explode(field) if isinstance(kind, T.ArrayType) else F.col(field)
+    if isinstance(kind, T.ArrayType):
+        return F.explode(field)
+    return F.when(~F.isnan(field), F.col(field)) if isinstance(kind, T.DoubleType | T.FloatType) else F.col(field)
 
 
 def values(df: DataFrame, field: str, limit: int = 10, offset: int = 0, by: str = "desc") -> DataFrame:

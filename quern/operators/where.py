@@ -3,7 +3,7 @@
 ``{"price": {"gte": 10}, "or": [{"status": ["F", "O"]}, {"not": {"tags": {"contains_all": ["x"]}}}]}``:
 siblings are joined by and. A bare value means eq, a bare list means in, a bare null matches nothing.
 Empty ``and``, ``or`` and ``in`` match nothing; ``not_in`` needs a value; ``not`` also passes rows
-that lack the field. Predicates stay bare where a null filters a row out anyway, so that they reach
+that lack the field. NaN is absent: it matches nothing but ``not``. Predicates stay bare where a null filters a row out anyway, so that they reach
 the Parquet scan; only under an odd number of ``not`` is a null made false.
 """
 
@@ -34,6 +34,20 @@ def _field(schema: T.StructType, path: str) -> T.DataType:
     return kind
 
 
+def marked(df: DataFrame, column: str, **marks) -> DataFrame:
+    """``df`` with marks in a column's metadata: ``vector`` (its dimension) or ``carried`` (kept beside the rows, not to be queried)."""
+    return df.withMetadata(column, df.schema[column].metadata | marks)
+
+
+def refuse_marked(schema: T.StructType, path: str, code: str) -> None:
+    """Carried fields may not be queried at all; vectors have no order, no equality and no facets."""
+    marks = schema[name].metadata if (name := path.split(".")[0]) in schema.names else {}
+    if marks.get("carried"):
+        raise QueryError("carried_field_not_queryable", path)
+    if marks.get("vector"):
+        raise QueryError(code, f"{path} is a vector")
+
+
 def _fits(kind: T.DataType, value) -> bool:
     if isinstance(kind, T.StringType):
         return isinstance(value, str)
@@ -82,16 +96,21 @@ def _leaf(path: str, kind: T.DataType, op: str, value) -> Column:
         return F.exists(c, lambda x: F.coalesce(test(x), F.lit(False))) if array else test(c)
 
     known = [v for v in value if v is not None] if listed else value
+    # NaN is greater than any number for Spark; the bare comparison still reaches the scan.
+    number = (lambda x: ~F.isnan(x)) if isinstance(element, T.DoubleType | T.FloatType) else None
     if op == "eq":
         return each(lambda x: x == known)
     if op in ("in", "contains_any"):
         return each(lambda x: x.isin(*known)) if known else F.lit(False)
     if op == "not_in":
-        return c.isNotNull() & ~each(lambda x: x.isin(*known)) if known else c.isNotNull()
+        there = c.isNotNull() & number(c) if number and not array else c.isNotNull()
+        return there & ~each(lambda x: x.isin(*known)) if known else there
     if op == "contains_all":
         return all_of([each(lambda x, v=v: x == v) for v in known]) if known else c.isNotNull()
     if op == "between":
         return each(lambda x: x.between(*value))
+    if number and op in ("gt", "gte"):
+        return each(lambda x: getattr(x, ORDERED[op])(known) & number(x))
     return each(lambda x: getattr(x, ORDERED[op])(known))
 
 
@@ -110,6 +129,7 @@ def compiled(where: dict, schema: T.StructType, negated: bool = False, depth: in
             parts.append(~F.coalesce(inner, F.lit(False)))
         else:
             kind = _field(schema, key)
+            refuse_marked(schema, key, "invalid_filter_operation")
             spec = value if isinstance(value, dict) else {"in": list(value)} if isinstance(value, list | tuple) else {"eq": value}
             for op in sorted(spec):
                 leaf = _leaf(key, kind, op, spec[op])

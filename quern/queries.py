@@ -12,7 +12,7 @@ from quern.functions import geo, scalars, text
 from quern.operators import diff, entity, facets, keyed, order, relations, similarity
 from quern.operators.where import where
 from quern.plans import search as plan
-from quern.sources.tables import execute, execute_many, table
+from quern.sources.tables import execute, execute_many, scan, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,7 @@ def _filtered(name: str, source: str, condition: dict, sql: str, pk: str, *more:
     """A filter query: keys (and some columns) of the rows that match."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return where(table(spark, sf, source), condition).select(pk, *more)
+        return where(scan(spark, sf, source), condition).select(pk, *more)
 
     run.__name__ = name
     query(f"SELECT {', '.join((pk, *more))} FROM {source} WHERE {sql}")(run)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quern import queries as core
 from quern.errors import QueryError
-from quern.functions import json_schema
-from quern.operators import diff, keyed, writes
+from quern.functions import json_schema, random
+from quern.operators import diff, facets, keyed, order, writes
 from quern.queries import query
 from quern.sources.durable import new_path
 from quern.sources.tables import table
@@ -181,3 +181,28 @@ def diff_shortest(spark, sf):
     count = lambda kind: F.size(F.flatten(F.transform(F.filter("ops", lambda o: o["type"] == kind), lambda o: o["tokens"])))
     same = (side("insert") == F.col("old")) & (side("delete") == F.col("new"))
     return rows.select("doc_id", count("delete").alias("deleted"), count("insert").alias("inserted"), count("keep").alias("kept"), same.alias("lossless"))
+
+
+def _times_sql(x: str, y: str) -> str:
+    return f"((({x})::HUGEINT * ({y})::HUGEINT) % 4294967296)::BIGINT"
+
+
+_SM = "((c_custkey + 2654435769 * 3) % 4294967296)"
+_SM1 = _times_sql(f"xor({_SM}, {_SM} >> 16)", "569420461")
+_SM2 = _times_sql("xor(x, x >> 15)", "1935289751")
+_M1 = _times_sql("xor(a, a >> 15)", "a | 1")
+_M2 = f"xor((t + {_times_sql('xor(t, t >> 7)', 't | 61')}) % 4294967296, t)"
+
+
+@query(f"SELECT c_custkey, xor(y, y >> 15) AS split, xor(u, u >> 14) / 4294967296.0::DOUBLE AS mul FROM (SELECT c_custkey, {_SM2} AS y, {_M2} AS u FROM (SELECT c_custkey, x, {_M1} AS t FROM (SELECT c_custkey, {_SM1} AS x, (c_custkey + 1831565813::BIGINT * 2) % 4294967296 AS a FROM customer)))")
+def seeded_numbers(spark, sf):
+    """The third splitmix number and the second mulberry number of every customer's key as seed."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", random.splitmix(k, 3).alias("split"), random.mulberry(k, 2).alias("mul"))
+
+
+@query("SELECT lang AS value, count(*) AS count FROM (SELECT lang FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1) WHERE lang IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def facet_after_distinct(spark, sf):
+    """Counts over the longest document of every source."""
+    rows = order.first_of(table(spark, sf, "documents").where("source is not null"), "source", [("n_chars", "desc")], "doc_id")
+    return facets.values(rows, "lang")
