@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import QueryError
+from quern.sources.durable import written
 
 CHANGES = "entity_id long, field string, op string, previous string, value string, operation_id string, created_at long"
 
@@ -17,6 +18,27 @@ def clock(df: DataFrame, proposed: str, order: str, partition: str | None = None
     return F.max(F.col(proposed) - place).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + place
 
 
+def clocked(df: DataFrame, proposed: str, order: list[str], out: str = "stamp") -> DataFrame:
+    """``df`` with the stamps of one clock over all rows, in no single task: rows are dealt by ranges of ``order`` (distinct, not null).
+
+    Within a range a row's stamp less its place is the running maximum of what is proposed less the place. Ranges pass on how
+    many rows they hold and their maximum, two numbers each.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*order)
+    rows = dealt.withColumn("_place", F.row_number().over(w))
+    lead, before, floor = [], 0, None
+    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.max(F.col(proposed) - F.col("_place")).alias("most")).orderBy("_part").collect():  # one row a range
+        lead.append((r["_part"], before, floor))
+        floor = r["most"] - before if floor is None else max(floor, r["most"] - before)
+        before += r["n"]
+    known = df.sparkSession.createDataFrame(lead, "_part int, _before long, _floor long")
+    own = F.max(F.col(proposed) - F.col("_place")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_own", own).join(F.broadcast(known), "_part")  # one row a range
+    stamp = F.greatest(F.col("_own") - F.col("_before"), F.col("_floor")) + F.col("_place") + F.col("_before")
+    return rows.select(*df.columns, stamp.cast("long").alias(out))
+
+
 def merge(table: DataFrame, patch: DataFrame, pk: str, cleared: str | None = None) -> DataFrame:
     """``table`` with the non-null fields of ``patch``; fields named in the array ``cleared`` become null; new keys are added."""
     fields = [c for c in table.columns if c != pk]

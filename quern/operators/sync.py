@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.durable import written
+
 MOST_TOMBSTONES = 10_000
 
 
@@ -33,9 +35,16 @@ def capped(tombstones: DataFrame, pk: str, stamp: str, most: int = MOST_TOMBSTON
     if tombstones.limit(most + 1).count() <= most:
         return tombstones, False
     n = tombstones.count()
-    # The stamp in the middle, from counts a stamp: no window over all rows.
-    by = tombstones.groupBy(stamp).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(stamp).sortWithinPartitions(stamp)
-    edge = by.withColumn("_upto", F.sum("_n").over(Window.orderBy(stamp))).where(F.col("_upto") >= n // 2).agg(F.min(stamp)).first()[0]  # one row a stamp
+    # The stamp in the middle, from counts a stamp: first the range of stamps that holds it, then a window over that range.
+    by = written(tombstones.groupBy(stamp).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(stamp).withColumn("_part", F.spark_partition_id()))
+    rest = n // 2
+    for r in by.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect():  # one row a range
+        part = r["_part"]
+        if r["n"] >= rest:
+            break
+        rest -= r["n"]
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(stamp))
+    edge = by.where(F.col("_part") == part).withColumn("_upto", upto).where(F.col("_upto") >= rest).agg(F.min(stamp)).first()[0]
     older = tombstones.where(F.col(stamp) < edge).count()
     rest = n // 2 - older
     tied = tombstones.where(F.col(stamp) == edge).orderBy(pk).limit(rest).select(F.col(pk).alias("_gone"))

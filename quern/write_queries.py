@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern import queries as core
 from quern.errors import QueryError
 from quern.functions import json_schema, random
-from quern.operators import diff, facets, keyed, order, writes
+from quern.operators import diff, entity, facets, keyed, order, writes
 from quern.queries import query
 from quern.sources.durable import new_path
 from quern.sources.tables import table
@@ -206,3 +206,10 @@ def facet_after_distinct(spark, sf):
     """Counts over the longest document of every source."""
     rows = order.first_of(table(spark, sf, "documents").where("source is not null"), "source", [("n_chars", "desc")], "doc_id")
     return facets.values(rows, "lang")
+
+
+@query(f"SELECT event_id, max(minute - place) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) + place AS stamp FROM (SELECT event_id, ms // 3600000 AS minute, row_number() OVER (ORDER BY event_id) AS place FROM ({core._MS}))")
+def global_clock(spark, sf):
+    """One strictly rising clock over all events, dealt by ranges."""
+    rows = core._events(spark, sf).select("event_id", F.expr("ms div 3600000").alias("minute"))
+    return entity.clocked(rows, "minute", ["event_id"]).select("event_id", "stamp")

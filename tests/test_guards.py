@@ -8,6 +8,7 @@ from quern.functions import random
 from quern.functions.text import tokens_of
 from quern.operators import entity, facets, order
 from quern.operators.where import marked, where
+from quern.sources import objects
 from quern.sources.tables import scan
 
 NAN = float("nan")
@@ -87,3 +88,27 @@ def test_seeded_numbers(spark):
     assert all(r[f"m{n}"] == plain_mulberry(r["s"], n) for r in got for n in (1, 5))
     words = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(random.fnv1a(F.col("t")).alias("h")).collect()
     assert [r["h"] for r in words] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+
+
+def test_external_objects(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "two é.txt").write_text("two")
+    found = objects.stored(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([(1, "a/one.bin"), (2, "two é.txt"), (3, "none"), (4, None)], "id long, ref string")
+    got = {r["id"]: r["object"] for r in objects.resolved(rows, "ref", found).collect()}
+    assert bytes(got[1]["content"]) == b"\x00\x01" and got[2]["length"] == 3 and got[3] is None and got[4] is None
+    plan = objects.resolved(rows, "ref", found, content=False)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1] or "content" not in plan
+
+
+def test_one_clock_over_ranges(spark):
+    rows = [(i, [5, 5, 900, 3, 40][i % 5] + i // 60 * 700) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = [r["stamp"] for r in entity.clocked(spark.createDataFrame(rows, "id long, at long"), "at", ["id"]).orderBy("id").collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = [], -(1 << 60)
+    for _, at in rows:
+        last = max(at, last + 1)
+        want.append(last)
+    assert got == want
