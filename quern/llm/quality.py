@@ -164,8 +164,8 @@ def calibrated(sample: DataFrame, weights: np.ndarray) -> np.ndarray:
             found = [sent.value[s % 2][np.frombuffer(i, "<u4")] @ np.frombuffer(x, "<f4") for i, x, s in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(3)], ["m", "y"])
 
-    rows = sample.select("i", "x", "shard", "y").mapInArrow(totals, "m double, y double").orderBy("m", "y").collect()  # of the bounded sample
-    m, y = np.array([r["m"] for r in rows]), np.array([r["y"] for r in rows])
+    rows = sample.select("i", "x", "shard", "y").mapInArrow(totals, "m double, y double").collect()  # of the bounded sample
+    m, y = np.array(sorted((r["m"], r["y"]) for r in rows)).reshape(-1, 2).T
     out = weights[2].copy()
     if len(np.unique(y)) == 2:
         a, b = platt(m, y)
