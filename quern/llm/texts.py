@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from quern.llm.spark import bounded
 
 CHUNK_BYTES = 2 << 20
-#: Bytes whose spans are told apart at once; spans longer than ``LONG_BYTES`` stand alone.
-PIECE_BYTES, LONG_BYTES = 1 << 18, 1 << 12
-#: Words, and bytes of a word, that a worker remembers the fingerprints of.
-KNOWN, KNOWN_BYTES = 1 << 16, 64
+#: Bytes whose spans are hashed at once; spans longer than ``LONG_BYTES`` are hashed by BLAKE2.
+PIECE_BYTES, LONG_BYTES = 1 << 18, 64
 _BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -126,40 +124,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_known: dict[bytes, bytes] = {}
+#: A span of 0 to 8 bytes, as a mask of a little-endian word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ROUNDS = mix(np.arange(1, 9, dtype=np.uint64))
 
 
-def _digest(word: bytes) -> bytes:
-    """128 bits of BLAKE2; a worker remembers some of the short words."""
-    found = _known.get(word)
-    if found is None:
-        found = hashlib.blake2b(word, digest_size=16).digest()
-        if len(word) <= KNOWN_BYTES:
-            if len(_known) >= KNOWN:
-                _known.clear()
-            _known[word] = found
-    return found
+def _absorbed(h: list[np.ndarray], w: list[np.ndarray]) -> list[np.ndarray]:
+    """The state after 16 more bytes: a keyless permutation of both, with what went in added again, so that it can't be run backwards."""
+    a, b = h[0] ^ w[0], h[1] ^ w[1]
+    for k in _ROUNDS[:4]:
+        a, b = b, a ^ mix(b + k)
+    return [a ^ w[0] ^ mix(h[1] + _ROUNDS[4]), b ^ w[1] ^ mix(h[0] + _ROUNDS[5])]
 
 
 def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Two independent 64-bit fingerprints of every byte span (in ascending order): distinct spans are hashed once a piece."""
-    sizes = ends - starts
+    """Two 64-bit fingerprints of every byte span (in ascending order): 16 bytes at a time, BLAKE2 for spans over ``LONG_BYTES``."""
     out = np.empty((len(starts), 2), np.uint64)
-    long = np.flatnonzero(sizes > LONG_BYTES)
-    for i in long.tolist():
-        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=16).digest(), "<u8")
-    rest = np.flatnonzero(sizes <= LONG_BYTES) if len(long) else np.arange(len(starts))
-    w = 0
-    while w < len(rest):
-        v = max(w + 1, int(np.searchsorted(starts[rest[w:]], starts[rest[w]] + PIECE_BYTES)) + w)
-        some = rest[w:v]
-        s, e, base = starts[some], ends[some], starts[some[0]]
-        flat = data[ragged(s, sizes[some])] if (s[1:] != e[:-1]).any() else data[base : e[-1]]
-        at = np.append(0, np.cumsum(sizes[some])).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-        found = np.frombuffer(b"".join(map(_digest, coded.dictionary.to_pylist())), "<u8").reshape(-1, 2)
-        out[some] = found[coded.indices.to_numpy()]
-        w = v
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE_BYTES)))
+        s, n = starts[at:end] - starts[at], (ends - starts)[at:end]
+        long = np.flatnonzero(n > LONG_BYTES)
+        last = int((s + np.minimum(n, LONG_BYTES)).max())
+        piece = np.zeros(last + 24, np.uint8)
+        piece[:last] = data[starts[at] : starts[at] + last]
+        word = np.ndarray((len(piece) - 7,), np.uint64, piece, strides=(1,))  # from every byte on
+        size = n.astype(np.uint64)
+        h = [mix(size + _ROUNDS[6]), mix(size + _ROUNDS[7])]
+        for done in range(0, LONG_BYTES, 16):
+            some = np.flatnonzero(n > done) if done else np.arange(len(n))
+            if not len(some):
+                break
+            here, left = s[some] + done, n[some] - done
+            w = [word[np.minimum(here + k, len(word) - 1)] & _MASKS[np.clip(left - k, 0, 8)] for k in (0, 8)]
+            new = _absorbed([x[some] for x in h], w)
+            for x, y in zip(h, new, strict=True):
+                x[some] = y
+        out[at:end, 0], out[at:end, 1] = h
+        for i in (at + long).tolist():
+            out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=16).digest(), "<u8")
+        at = end
     return out
 
 

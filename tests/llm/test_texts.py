@@ -487,17 +487,37 @@ def test_fingerprints_of_complementary_words(n):
     assert len({tuple(d) for d in digests.tolist()}) == 3 and digests[0, 0] != digests[1, 0]
 
 
-def test_fingerprints_of_spans(monkeypatch):
-    text = "one two  one été " + "y" * 50 + " z one"
-    plain, _ = texts.word_digests(pa.array([text]))
-    monkeypatch.setattr(texts, "PIECE_BYTES", 5)
-    monkeypatch.setattr(texts, "LONG_BYTES", 20)
-    monkeypatch.setattr(texts, "KNOWN", 2)
-    again, _ = texts.word_digests(pa.array([text]))
-    want = [np.frombuffer(hashlib.blake2b(w, digest_size=16).digest(), "<u8") for w in text.encode().split()]
-    assert (plain == again).all() and (plain == np.array(want)).all()
+def plain_digest(word):
+    """One span, in whole numbers."""
+    low = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & low
+        return x ^ x >> 31
+
+    if len(word) > texts.LONG_BYTES:
+        return tuple(np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), "<u8").tolist())
+    keys = [mix(k) for k in range(1, 9)]
+    h = [mix(len(word) + keys[6] & low), mix(len(word) + keys[7] & low)]
+    for at in range(0, max(len(word), 1), 16):
+        w = [int.from_bytes(word[at + k : at + k + 8], "little") for k in (0, 8)]
+        a, b = h[0] ^ w[0], h[1] ^ w[1]
+        for k in keys[:4]:
+            a, b = b, a ^ mix(b + k & low)
+        h = [a ^ w[0] ^ mix(h[1] + keys[4] & low), b ^ w[1] ^ mix(h[0] + keys[5] & low)]
+    return tuple(h)
+
+
+@pytest.mark.parametrize("piece", [5, 1 << 18])
+def test_fingerprints_of_spans(monkeypatch, piece):
+    monkeypatch.setattr(texts, "PIECE_BYTES", piece)
+    text = "one two  one été " + " ".join("y" * n for n in (7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 500)) + " z one"
+    got, _ = texts.word_digests(pa.array([text, "one"]))
+    assert [tuple(d) for d in got.tolist()] == [plain_digest(w) for w in [*text.encode().split(), b"one"]]
     data = np.frombuffer(b"abab", np.uint8)
-    assert texts.span_hashes(data, np.array([0, 0, 2, 4]), np.array([0, 2, 4, 4])).tolist() == [int.from_bytes(hashlib.blake2b(w, digest_size=16).digest()[:8], "little") for w in (b"", b"ab", b"ab", b"")]
+    assert texts.span_hashes(data, np.array([0, 0, 2, 4]), np.array([0, 2, 4, 4])).tolist() == [plain_digest(w)[0] for w in (b"", b"ab", b"ab", b"")]
+    assert len({plain_digest(b"x\0" * n) for n in range(9)} | {plain_digest(b"x" + b"\0" * n) for n in range(1, 40)}) == 9 + 39 - 1
 
 
 def test_complementary_words_are_no_copies(spark):
