@@ -90,6 +90,12 @@ def time_prefix(ms: Column) -> Column:
     return F.concat(*(digit(k) for k in range(7, -1, -1)))
 
 
+def time_of_prefix(text: Column) -> Column:
+    """The time in milliseconds that an id begins with; null where the first eight characters are no base-62 digits."""
+    digit = lambda k: (F.instr(F.lit(_BASE62), F.substring(text, k + 1, 1)) - 1).cast("long")
+    return F.when(text.rlike("^[0-9A-Za-z]{8}"), reduce(lambda a, k: a * 62 + digit(k), range(8), F.lit(0).cast("long")))
+
+
 def url_parts(url: Column) -> Column:
     """Protocol, host, path and query of an address; nulls for what is no address."""
     part = lambda name: F.try_parse_url(url, F.lit(name))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def expand(df: DataFrame, key: str, other: DataFrame, other_key: str, name: str) -> DataFrame:
@@ -37,3 +42,30 @@ def enforce(df: DataFrame, key: str, deleted: DataFrame, deleted_key: str, actio
     hit = df.join(gone, df[key] == F.col("_ref"), "left")
     instead = F.lit(default if action == "set_default" else None)
     return hit.withColumn(key, F.when(F.col("_ref").isNull(), F.col(key)).otherwise(instead)).drop("_ref")
+
+
+def own_derived(df: DataFrame, **columns: tuple[Callable, str, list[str]]) -> DataFrame:
+    """New columns from functions of a row's own fields: (function, type, names of its arguments). A value that fails is absent (null).
+
+    A failure is any exception, and a value that does not fit the type. What Columns can say should be said with Columns and
+    ``try_`` functions; this is for Python functions, over Arrow batches.
+    """
+    out = {}
+    for name, (f, kind, given) in columns.items():
+        out[name] = F.arrow_udf(_or_absent(f, to_arrow_type(T._parse_datatype_string(kind))), kind)(*map(F.col, given))
+    return df.withColumns(out)
+
+
+def _or_absent(f: Callable, kind: pa.DataType) -> Callable:
+    def one(row: tuple):
+        try:
+            return pa.scalar(f(*row), kind).as_py()
+        except Exception:  # a derived value that fails is absent, whatever failed
+            return None
+
+    def each(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            yield pa.array([one(row) for row in zip(*(c.to_pylist() for c in columns))], kind)
+
+    return each

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern import queries as core
 from quern.errors import QueryError
-from quern.functions import json_schema, random
-from quern.operators import diff, entity, facets, keyed, order, writes
+from quern.functions import files, formats, json_schema, random, scalars
+from quern.operators import diff, entity, facets, keyed, order, relations, writes
 from quern.queries import query
 from quern.sources.durable import new_path
 from quern.sources.tables import table
@@ -213,3 +214,101 @@ def global_clock(spark, sf):
     """One strictly rising clock over all events, dealt by ranges."""
     rows = core._events(spark, sf).select("event_id", F.expr("ms div 3600000").alias("minute"))
     return entity.clocked(rows, "minute", ["event_id"]).select("event_id", "stamp")
+
+
+def _thousands(n: str) -> str:
+    """DuckDB text of a whole number below 10^15 in groups of three (its regular expressions look neither ahead nor behind)."""
+    return f"ltrim(regexp_replace(lpad(({n})::VARCHAR, 15, ' '), '(...)(...)(...)(...)(...)', '\\1,\\2,\\3,\\4,\\5'), ' ,')"
+
+
+_CENTS = "round(o_totalprice * 100)::BIGINT"
+_BYTES = "(o_orderkey * o_orderkey * 977)::BIGINT"
+_UNIT_SQL = lambda one, unit: f"{_thousands(f'({_BYTES} + {one // 2}) // {one}')} || ' {unit}'"
+_TENTH_SQL = lambda one, unit: f"(({_BYTES} + {one // 20}) // {one // 10} // 10)::VARCHAR || CASE WHEN ({_BYTES} + {one // 20}) // {one // 10} % 10 = 0 THEN '' ELSE '.' || (({_BYTES} + {one // 20}) // {one // 10} % 10)::VARCHAR END || ' {unit}'"
+_FAR = "abs(o_orderkey * 7919 * 1000 - 20000000)"
+_AGO_SQL = lambda n, name: f"CASE WHEN o_orderkey * 7919000 < 20000000 THEN ({n})::VARCHAR || '{name} ago' ELSE 'in ' || ({n})::VARCHAR || '{name}' END"
+
+
+@query(
+    f"SELECT o_orderkey, '$' || {_thousands(f'{_CENTS} // 100')} || '.' || lpad(({_CENTS} % 100)::VARCHAR, 2, '0') AS price, "
+    f"'<span class=\"symbol\">$</span>' || {_thousands(f'{_CENTS} // 100')} || CASE WHEN {_CENTS} % 100 = 0 THEN '' ELSE '<span class=\"decimal\">.</span><span class=\"fraction\">' || lpad(({_CENTS} % 100)::VARCHAR, 2, '0') || '</span>' END AS marked, "
+    f"CASE WHEN {_BYTES} < 1000000 THEN {_UNIT_SQL(1000, 'kB')} WHEN {_BYTES} < 10000000 THEN {_TENTH_SQL(10**6, 'MB')} WHEN {_BYTES} < 1000000000 THEN {_UNIT_SQL(10**6, 'MB')} WHEN {_BYTES} < 10000000000 THEN {_TENTH_SQL(10**9, 'GB')} ELSE {_UNIT_SQL(10**9, 'GB')} END AS stored, "
+    "CASE WHEN length(d) = 10 THEN '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] WHEN length(d) = 11 AND d[1] = '1' THEN '+1 (' || d[2:4] || ') ' || d[5:7] || '-' || d[8:11] ELSE raw END AS phone, "
+    f"CASE WHEN {_FAR} < 60000 THEN {_AGO_SQL(f'({_FAR} + 500) // 1000', 's')} WHEN {_FAR} < 3600000 THEN {_AGO_SQL(f'({_FAR} + 30000) // 60000', 'min')} WHEN {_FAR} < 86400000 THEN {_AGO_SQL(f'({_FAR} + 1800000) // 3600000', 'h')} "
+    f"WHEN {_FAR} < 2592000000 THEN CASE WHEN ({_FAR} + 43200000) // 86400000 = 1 THEN 'tomorrow' ELSE {_AGO_SQL(f'({_FAR} + 43200000) // 86400000', 'd')} END WHEN {_FAR} < 31536000000 THEN CASE WHEN ({_FAR} + 1296000000) // 2592000000 = 1 THEN 'next mo.' ELSE {_AGO_SQL(f'({_FAR} + 1296000000) // 2592000000', 'mo')} END "
+    f"ELSE CASE WHEN ({_FAR} + 15768000000) // 31536000000 = 1 THEN 'next yr.' ELSE {_AGO_SQL(f'({_FAR} + 15768000000) // 31536000000', 'y')} END END AS due "
+    "FROM (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN '1-' ELSE '' END || (2000000000 + o_orderkey * 37 % 90000000)::VARCHAR || CASE o_orderkey % 7 WHEN 0 THEN ' x5' ELSE '' END AS raw FROM orders))"
+)
+def format_values(spark, sf):
+    """Money (also marked up), storage, phone numbers and times ago as text."""
+    key = F.col("o_orderkey")
+    raw = F.concat(F.when(key % 3 == 0, "1-").otherwise(""), (2_000_000_000 + key * 37 % 90_000_000).cast("string"), F.when(key % 7 == 0, " x5").otherwise(""))
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        formats.currency(F.col("o_totalprice")).alias("price"),
+        formats.currency(F.col("o_totalprice"), html=True).alias("marked"),
+        formats.storage(key * key * 977).alias("stored"),
+        formats.phone(raw).alias("phone"),
+        formats.ago(key * 7_919_000, F.lit(20_000_000)).alias("due"),
+    )
+
+
+_FILE_SQL = """SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN '{"key": "", "size": 1, "mime": "a/b"}' WHEN 1 THEN '{"key": "k' || p_partkey || '", "size": -' || p_size || ', "mime": "a/b"}' WHEN 2 THEN '{"key": "k", "size": "1"}'
+WHEN 3 THEN '{"key": "k", "size": 1.5, "mime": "a/b", "sha256": "' || sha256(p_name) || '", "metadata": {"brand": "' || p_brand || '", "type": "' || p_type || '"}}' WHEN 4 THEN '{"key": "k", "size": 1, "mime": "a/b", "sha256": "' || p_partkey || '"}' WHEN 5 THEN '{"key": "k", "size": 1, "mime": "a/b", "name": 5, "store": ""}'
+WHEN 6 THEN '{"key": "k", "size": 1, "mime": "a/b", "metadata": {"size": ' || p_size || ', "brand": "' || p_brand || '"}}' WHEN 7 THEN '[' || p_partkey || ']' WHEN 8 THEN '{"key": "k", "size": 1, "mime": "a/b", "metadata": null, "store": null}' WHEN 9 THEN NULL WHEN 10 THEN '{"key": "k", "size": 1, "mime": "a/b", "metadata": [], "name": "n' || p_partkey || '"}' ELSE '{"key": "k", "size": 0, "mime": "a/b", "store": "s", "metadata": {"brand": "' || p_brand || '"}}' END AS f FROM part"""
+
+
+@query(
+    f"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN json_type(f) <> 'OBJECT' THEN 'file' END, CASE WHEN json_type(f) = 'OBJECT' AND NOT coalesce(json_type(f, '$.key') = 'VARCHAR' AND f ->> '$.key' <> '', false) THEN 'file.key' END,
+    CASE WHEN json_type(f) = 'OBJECT' AND NOT coalesce(json_type(f, '$.size') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (f ->> '$.size')::DOUBLE >= 0, false) THEN 'file.size' END, CASE WHEN json_type(f) = 'OBJECT' AND NOT coalesce(json_type(f, '$.mime') = 'VARCHAR' AND f ->> '$.mime' <> '', false) THEN 'file.mime' END,
+    CASE WHEN json_type(f) = 'OBJECT' AND json_exists(f, '$.sha256') AND NOT coalesce(regexp_full_match(f ->> '$.sha256', '[0-9a-f]{{64}}'), false) THEN 'file.sha256' END, CASE WHEN json_type(f) = 'OBJECT' AND json_exists(f, '$.name') AND json_type(f, '$.name') <> 'VARCHAR' THEN 'file.name' END,
+    CASE WHEN json_type(f) = 'OBJECT' AND json_exists(f, '$.store') AND NOT coalesce(json_type(f, '$.store') = 'VARCHAR' AND f ->> '$.store' <> '', false) THEN 'file.store' END,
+    CASE WHEN json_type(f) = 'OBJECT' AND json_exists(f, '$.metadata') AND (json_type(f, '$.metadata') <> 'OBJECT' OR json_type(f, '$.metadata.size') <> 'VARCHAR') THEN 'file.metadata' END], lambda x: x IS NOT NULL), ',') AS broken,
+    CASE WHEN json_type(f, '$.metadata') = 'OBJECT' THEN f ->> '$.metadata.brand' END AS brand, CASE WHEN json_type(f, '$.metadata') = 'OBJECT' THEN len(json_keys(f, '$.metadata'))::BIGINT END AS pairs FROM ({_FILE_SQL})"""
+)
+def file_references(spark, sf):
+    """References to files in JSON: every rule that one breaks, and its metadata as a map."""
+    key, text = F.col("p_partkey"), lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    kinds = [
+        text('{"key": "", "size": 1, "mime": "a/b"}'),
+        text('{"key": "k', key, '", "size": -', F.col("p_size"), ', "mime": "a/b"}'),
+        text('{"key": "k", "size": "1"}'),
+        text('{"key": "k", "size": 1.5, "mime": "a/b", "sha256": "', F.sha2("p_name", 256), '", "metadata": {"brand": "', F.col("p_brand"), '", "type": "', F.col("p_type"), '"}}'),
+        text('{"key": "k", "size": 1, "mime": "a/b", "sha256": "', key, '"}'),
+        text('{"key": "k", "size": 1, "mime": "a/b", "name": 5, "store": ""}'),
+        text('{"key": "k", "size": 1, "mime": "a/b", "metadata": {"size": ', F.col("p_size"), ', "brand": "', F.col("p_brand"), '"}}'),
+        text("[", key, "]"),
+        text('{"key": "k", "size": 1, "mime": "a/b", "metadata": null, "store": null}'),
+        F.lit(None).cast("string"),
+        text('{"key": "k", "size": 1, "mime": "a/b", "metadata": [], "name": "n', key, '"}'),
+        text('{"key": "k", "size": 0, "mime": "a/b", "store": "s", "metadata": {"brand": "', F.col("p_brand"), '"}}'),
+    ]
+    rows = table(spark, sf, "part").withColumn("file", F.element_at(F.array(*kinds), (key % 12 + 1).cast("int")))
+    rows = rows.withColumns({"issues": files.file_issues(F.col("file"), "file"), "ref": files.file_reference(F.col("file"))})
+    pairs = F.when(F.col("ref.metadata").isNotNull(), F.size("ref.metadata").cast("long"))
+    return rows.select("p_partkey", F.array_join("issues.path", ",").alias("broken"), F.col("ref.metadata")["brand"].alias("brand"), pairs.alias("pairs"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN floor(l_partkey / (l_linenumber - 3))::BIGINT END AS share, CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag || l_linestatus END AS code FROM lineitem")
+def own_derived(spark, sf):
+    """Fields derived from a row's own fields by Python functions; where one fails, or gives another type, it is absent."""
+    codes = lambda n, a, b: a + b if n % 2 else n
+    out = relations.own_derived(table(spark, sf, "lineitem"), share=(lambda p, n: p // (n - 3), "long", ["l_partkey", "l_linenumber"]), code=(codes, "string", ["l_linenumber", "l_returnflag", "l_linestatus"]))
+    return out.select("l_orderkey", "l_linenumber", "share", "code")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS kept, CASE WHEN c_custkey % 3 = 0 THEN 1700000000000 + c_custkey * 1000 END AS minted_at, 1 AS refused FROM customer WHERE c_acctbal >= 0")
+def create_minted(spark, sf):
+    """Rows created after a check of their rules, with ids minted where they have none (read back here); rows that break a rule are refused."""
+    rows = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string")).alias("id"), "c_custkey", "c_acctbal")
+    rules = [("c_acctbal", F.col("c_acctbal") >= 0, "must not be negative")]
+    refused = 0
+    try:
+        writes.checked(rows, rules)
+    except QueryError as e:
+        refused = int(e.status == 422)
+    empty = rows.limit(0).withColumns({"created_at": F.lit(0), "updated_at": F.lit(0)})
+    new = writes.minted(writes.checked(rows.where("c_acctbal >= 0"), rules), "id", 1_700_000_000_000 + F.col("c_custkey") * 1000)
+    made = writes.created(empty, new, "id", F.lit(1))
+    fresh = F.length("id") == 24
+    return made.select("c_custkey", F.when(~fresh, F.col("id")).alias("kept"), F.when(fresh, scalars.time_of_prefix(F.col("id"))).alias("minted_at"), F.lit(refused).alias("refused"))
