@@ -540,3 +540,16 @@ def test_platt_scaling():
     a, b = quality.platt(m, y)
     assert abs(a - 3) < 0.3 and abs(b + 1) < 0.2
     assert quality.platt(-m, y) == (1.0, 0.0) and quality.platt(np.array([-1.0, 1.0]), np.array([0.0, 1.0]))[0] > 0
+
+
+def test_word_coder_sends_only_parts_of_latin_words_to_the_model(monkeypatch):
+    work = token_files.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180))] + list("''stremvld   \t\n")
+    latin = ["".join(rng.choice(letters, 40)).replace("İ", "").replace("<|", "") for _ in range(500)]
+    odd = ["İstanbul", "a<|endoftext|>b", "ƁȺ", "été", "你好 x\u0085y z", "ΣΣ"]
+    expected = {t: np.array(work.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in latin + odd}
+    assert work.encode(latin + odd) == list(expected.values())  # odd words of the same batch do not spoil the others
+    fresh = token_files.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(fresh, "library", None)  # no word is a text of its own for the library
+    assert fresh.encode(latin) == [expected[t] for t in latin]
