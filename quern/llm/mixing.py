@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import QueryError
-from quern.llm.spark import by_key, written
+from quern.llm.spark import written
 
 MAX_PASSES = 3
 #: Share of a pattern's remainder that may be left unfilled.
@@ -147,16 +148,18 @@ def fill(rows: DataFrame, rests: dict[int, int], near: float = NEAR) -> list[tup
     return stretches
 
 
-def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes: int = MAX_PASSES, column: str = "text", near: float = NEAR) -> tuple[DataFrame, dict, dict]:
-    """One row per row of ``docs``: doc_id, key (hash of id and text), size, sources, passes taken.
+def _facts(docs: DataFrame, members: str, seed: int, column: str) -> list[F.Column]:
+    """key (hash of id and text), size, sources and draw of each row."""
+    sources = F.col(members) if dict(docs.dtypes)[members].startswith("array") else F.array(members)
+    key = F.xxhash64("doc_id", column)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 2)
+    return [key.alias("key"), word_count(column).alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"), draw.alias("draw")]
 
-    ``members``: a column with one source or an array of them. ``weigh(sources)`` gives the weights of
-    the sorted sources (null last). Returns (rows, sizes, quotas).
-    """
+
+def _solved(docs: DataFrame, weigh, members: str, seed: int, passes: int, column: str, near: float) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame], dict, dict]:
+    """Rows with their facts; what adds ``_times`` to rows whose facts have a prefix, without moving them; sizes; quotas."""
     spark = docs.sparkSession
-    sources = F.col(members) if dict(docs.dtypes)[members].startswith("array") else F.array(members)
-    rows = docs.select("doc_id", F.xxhash64("doc_id", column).alias("key"), word_count(column).alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources"))
-    rows = written(rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 2)))
+    rows = written(docs.select("doc_id", *_facts(docs, members, seed, column)))
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise QueryError("too_many_sources", f"more than {MOST_PATTERNS} sets of sources")
@@ -169,14 +172,29 @@ def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes:
     for i, (p, n) in enumerate(sorted(patterns.items(), key=lambda x: str(x[0]))):
         whole, rests[i] = divmod(taken.get(p, 0), n) if n else (0, 0)
         plan.append((i, list(p), whole))
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern int, members array<string>, whole long"))  # one row a pattern
-    placed = rows.join(plan, rows["sources"].eqNullSafe(plan["members"]), "left").drop("members")
-    stretches = fill(placed.select("pattern", "draw", "size").where("pattern is not null"), rests, near)
-    of = F.broadcast(spark.createDataFrame(stretches, "of int, low long, high long, most long"))  # a few rows a pattern
-    inside = (F.col("pattern") == F.col("of")) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")) & (F.col("size") <= F.col("most"))
-    placed = placed.join(of, inside, "left")
-    times = F.coalesce(F.when(F.col("size") > 0, F.col("whole") + F.col("of").isNotNull().cast("long")), F.lit(0))
-    return placed.select("doc_id", "key", "size", "sources", times.alias("times")), sizes, quotas
+    plan = F.broadcast(spark.createDataFrame(plan, "_pattern int, _members array<string>, _whole long"))  # one row a pattern
+    placed = rows.join(plan, rows["sources"].eqNullSafe(plan["_members"])).select(F.col("_pattern").alias("pattern"), "draw", "size")
+    stretches = fill(placed, rests, near)
+    of = F.broadcast(spark.createDataFrame(stretches, "_of int, _low long, _high long, _most long"))  # a few rows a pattern
+
+    def timed(some: DataFrame, at: str) -> DataFrame:
+        draw, size = F.col(f"{at}draw"), F.col(f"{at}size")
+        inside = (F.col("_pattern") == F.col("_of")) & (draw >= F.col("_low")) & (draw < F.col("_high")) & (size <= F.col("_most"))
+        some = some.join(plan, F.col(f"{at}sources").eqNullSafe(F.col("_members")), "left").join(of, inside, "left")
+        times = F.coalesce(F.when(size > 0, F.col("_whole") + F.col("_of").isNotNull().cast("long")), F.lit(0))
+        return some.withColumn("_times", times)
+
+    return rows, timed, sizes, quotas
+
+
+def mix(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes: int = MAX_PASSES, column: str = "text", near: float = NEAR) -> tuple[DataFrame, dict, dict]:
+    """One row per row of ``docs``: doc_id, key (hash of id and text), size, sources, passes taken.
+
+    ``members``: a column with one source or an array of them. ``weigh(sources)`` gives the weights of
+    the sorted sources (null last). Returns (rows, sizes, quotas).
+    """
+    rows, timed, sizes, quotas = _solved(docs, weigh, members, seed, passes, column, near)
+    return timed(rows, "").select("doc_id", "key", "size", "sources", F.col("_times").alias("times")), sizes, quotas
 
 
 def cycle(*weights: int):
@@ -185,9 +203,7 @@ def cycle(*weights: int):
 
 
 def mixed(docs: DataFrame, weigh, members: str = "source", seed: int = 7, passes: int = MAX_PASSES) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as the mix takes it."""
-    rows, _, _ = mix(docs, weigh, members, seed, passes)
-    times = written(rows.where("times > 0").groupBy("key").agg(F.max("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("key", "_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    out = by_key(keyed, times, "_key", "_rows", times.agg(F.sum("_rows")).first()[0] or 0).drop("_key")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times", "_copy")
+    """The mixture itself: each row of ``docs`` as often as the mix takes it. Texts stay where they are: no shuffle."""
+    _, timed, _, _ = _solved(docs, weigh, members, seed, passes, "text", NEAR)
+    out = timed(docs.withColumn("_facts", F.struct(*_facts(docs, members, seed, "text"))), "_facts.").where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

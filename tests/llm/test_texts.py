@@ -553,3 +553,12 @@ def test_word_coder_sends_only_parts_of_latin_words_to_the_model(monkeypatch):
     fresh = token_files.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
     monkeypatch.setattr(fresh, "library", None)  # no word is a text of its own for the library
     assert fresh.encode(latin) == [expected[t] for t in latin]
+
+
+def test_mixture_does_not_shuffle_texts(spark):
+    docs = spark.createDataFrame([(i, "x " * (1 + i % 9), "abcde"[i % 5], i) for i in range(900)], "doc_id long, text string, source string, size int")
+    times, _, _ = mixing.mix(docs, mixing.cycle(5, 2, 1))
+    found = mixing.mixed(docs, mixing.cycle(5, 2, 1))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert Counter(r["doc_id"] for r in found.collect()) == {r["doc_id"]: r["times"] for r in times.collect() if r["times"]}
+    assert found.columns == docs.columns and all(r["size"] == r["doc_id"] for r in found.collect())
