@@ -16,12 +16,14 @@ clashing names are replaced by the operator's own.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import mmap
 import os
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,32 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for Latin units after one white space at most, many at a time; what ends a unit there (no text holds it).
+PLAIN = re.compile("[ \n]?[!-~\u00a1-\u017f]+")
+END = "\ud800"
+_L, _N = (re.escape("".join(c for c in map(chr, range(0x21, 0x180)) if unicodedata.category(c)[0] == kind)) for kind in "LN")
+PLAIN_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{END}{_L}{_N}]+|\n|{END}")
 LEXICON_WORDS = 50_000
-#: Bytes that a task remembers of units and pre-tokens; it forgets all when it ends.
-MEMO_BYTES = 32 << 20
+#: Bytes that a task remembers of units, in two generations; it forgets all when it ends.
+MEMO_BYTES = 48 << 20
 #: Bytes of a remembered entry beside its text and ids.
 ENTRY_BYTES = 190
 #: Bytes of the table in which a task counts units before it sends what it has.
 COUNT_BYTES = 64 << 20
 
 
+def pretokens(units: Iterable[str]) -> tuple[list[str], list[str]]:
+    """The units in an order of their own, and the pre-tokens of all, each unit's followed by ``END``."""
+    plain, rest = [], []
+    for u in units:
+        (plain if PLAIN.fullmatch(u) else rest).append(u)
+    cut = PLAIN_PRETOKENS.findall(END.join([*plain, ""]))
+    for u in rest:
+        cut += PRETOKENS.findall(u)
+        cut.append(END)
+    return plain + rest, cut
+
+
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,6 +90,7 @@ class Merges:
         self.pair, self.rank, self.new = (np.array(c) for c in zip(*sorted(pairs), strict=True))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)])
+        self.first = self._look(self.single[:, None], self.single[None, :])
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.table = [b""] * size
         for k, v in self.ids.items():
@@ -114,7 +134,8 @@ class Merges:
         nxt = np.tile(np.minimum(here + 1, width), (n, 1))
         prv = np.tile(here - 1, (n, 1))
         prv = np.concatenate([prv, np.zeros((n, 1), prv.dtype)], axis=1)
-        found = self._look(sym[:, :-1], sym[:, 1:])
+        found = np.full((n, width), -1)
+        found[:, :-1] = np.where(alive[:, 1:], self.first[raw[:, :-1], raw[:, 1:]], -1)
         rank = np.where(found >= 0, self.rank[found], none)
         rows = np.arange(n)
         while len(rows):
@@ -265,32 +286,36 @@ class Codec:
 
     def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.room = MEMO_BYTES
+        self.older: dict[str, bytes] = {}
+        self.room = MEMO_BYTES // 2
 
     def _learn(self, units: set[str]) -> None:
         """Put the ids of units into the memo: pre-tokens by the lexicon, unseen ones by exact merging."""
-        cut = {u: PRETOKENS.findall(u) for u in units}
-        fresh = list({w for ws in cut.values() for w in ws if w not in self.words})
+        units, cut = pretokens(units)
+        fresh = list(set(cut) - {END})
         raw = [w.encode() for w in fresh]
         found = self.lexicon.get(raw) if self.lexicon else [None] * len(raw)
         unseen = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unseen, self.merges.merge([raw[i] for i in unseen]), strict=True):
             found[i] = ids
-        self.words.update(zip(fresh, found, strict=True))
-        words = self.words
-        for u, ws in cut.items():
-            self.memo[u] = b"".join([words[w] for w in ws])
-        self.room -= sum(2 * len(w) + ENTRY_BYTES for w in fresh) + sum(5 * len(u) + ENTRY_BYTES for u in units)
+        words = dict(zip(fresh, found, strict=True)) | {END: b"\xff\xff\xff\xff"}
+        flat = b"".join(map(words.__getitem__, cut))
+        ends = (np.flatnonzero(np.frombuffer(flat, "<u4") == 0xFFFFFFFF) * 4).tolist()
+        self.memo.update(zip(units, [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
+        self.room -= 5 * sum(map(len, units)) + ENTRY_BYTES * len(units)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
-        if self.room < 0:
-            self.forget()
+        if self.room < 0:  # units met again are taken over, so frequent ones are not learned anew
+            self.older, self.memo, self.room = self.memo, {}, MEMO_BYTES // 2
         special = self.merges.special
         parts = [self.split(t) if t and any(mark in t for mark in self.marks) else [t or ""] for t in texts]
         cut = [[UNITS.findall(p) if p not in special else p for p in ps] for ps in parts]
-        self._learn({u for ps in cut for us in ps if not isinstance(us, str) for u in us} - self.memo.keys())
+        missing = {u for ps in cut for us in ps if not isinstance(us, str) for u in us} - self.memo.keys()
+        again = missing & self.older.keys()
+        self.memo.update((u, self.older[u]) for u in again)
+        self.room -= 5 * sum(map(len, again)) + ENTRY_BYTES * len(again)
+        self._learn(missing - again)
         memo = self.memo
         one = lambda us: special[us].to_bytes(4, "little") if isinstance(us, str) else b"".join([memo[u] for u in us])
         return [b"".join(map(one, ps)) for ps in cut]
@@ -335,9 +360,14 @@ def frequent_words(docs: DataFrame, column: str = "text", most: int = LEXICON_WO
 
         def out() -> pa.RecordBatch:
             words: Counter = Counter()
-            for unit, n in units.items():
-                for word in PRETOKENS.findall(unit):
-                    if len(word) < 64:
+            for some in itertools.batched(units, 20_000):
+                some, cut = pretokens(some)
+                each = map(units.__getitem__, some)
+                n = next(each)
+                for word in cut:
+                    if word == END:
+                        n = next(each, 0)
+                    elif len(word) < 64:
                         words[word] += n
             units.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})

@@ -562,3 +562,16 @@ def test_mixture_does_not_shuffle_texts(spark):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     assert Counter(r["doc_id"] for r in found.collect()) == {r["doc_id"]: r["times"] for r in times.collect() if r["times"]}
     assert found.columns == docs.columns and all(r["size"] == r["doc_id"] for r in found.collect())
+
+
+def test_units_are_cut_many_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = [chr(c) for c in range(0x20, 0x250)] + list("''stremvld 12 \n \t") * 3
+    units = {u for _ in range(2000) for u in bpe_codec.UNITS.findall("".join(rng.choice(letters, 20)))} | {"\nx", " '", "it's"}
+    expected = {u: bpe_codec.PRETOKENS.findall(u) for u in units}
+    plain = {u for u in units if bpe_codec.PLAIN.fullmatch(u)}
+    for some in (units, plain):
+        if some is plain:
+            monkeypatch.setattr(bpe_codec, "PRETOKENS", None)  # of these none is cut alone
+        ordered, cut = bpe_codec.pretokens(some)
+        assert set(ordered) == some and cut == [w for u in ordered for w in (*expected[u], bpe_codec.END)]
