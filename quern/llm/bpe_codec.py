@@ -22,18 +22,18 @@ import mmap
 import os
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.spark import bounded, dropped, new_path, put_bytes, written
-from quern.llm.texts import chunks, spared
+from quern.llm.texts import SPACE, buffers, chunks, column_of, dealt, distinct, listed, spared
 
 #: White space of the pre-tokenizer's pattern; a unit is a run of it with the solid run that follows.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,29 +43,58 @@ PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: The same for Latin units after one white space at most, many at a time; what ends a unit there (no text holds it).
 PLAIN = re.compile("[ \n]?[!-~\u00a1-\u017f]+")
 END = "\ud800"
+#: What tells that not all of some units, each with an end, are such.
+ODD = re.compile(rf"[^ \n!-~\u00a1-\u017f{END}]|[ \n][ \n{END}]")
 _L, _N = (re.escape("".join(c for c in map(chr, range(0x21, 0x180)) if unicodedata.category(c)[0] == kind)) for kind in "LN")
 PLAIN_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{END}{_L}{_N}]+|\n|{END}")
+#: Code points of the white space beyond ASCII.
+WIDE = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 LEXICON_WORDS = 50_000
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 20
+#: Words that are merged at once: their matrices fit a core's cache.
+MERGED_WORDS = 2_000
 #: Bytes that a task remembers of units, in two generations; it forgets all when it ends.
 MEMO_BYTES = 48 << 20
 #: Bytes of a remembered entry beside its text and ids.
 ENTRY_BYTES = 190
-#: Bytes of the table in which a task counts units before it sends what it has.
-COUNT_BYTES = 64 << 20
+#: Units of the tables in which a task counts them before it sends what it has.
+COUNT_UNITS = 450_000
 
 
 def pretokens(units: Iterable[str]) -> tuple[list[str], list[str]]:
     """The units in an order of their own, and the pre-tokens of all, each unit's followed by ``END``."""
-    plain, rest = [], []
-    for u in units:
-        (plain if PLAIN.fullmatch(u) else rest).append(u)
-    cut = PLAIN_PRETOKENS.findall(END.join([*plain, ""]))
+    plain, rest = list(units), []
+    text = END.join([*plain, ""])
+    if ODD.search(text):
+        units, plain = plain, []
+        for u in units:
+            (plain if PLAIN.fullmatch(u) else rest).append(u)
+        text = END.join([*plain, ""])
+    cut = PLAIN_PRETOKENS.findall(text)
     for u in rest:
         cut += PRETOKENS.findall(u)
         cut.append(END)
     return plain + rest, cut
 
 
+def unit_edges(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Where the units of UTF-8 bytes start, and the length at the end; units end at ``borders``, as texts do."""
+    white = SPACE[data]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        a, b, c = (np.append(data, [0, 0])[lead + k].astype(np.int64) for k in range(3))
+        two = a == 0xC2
+        wide = np.isin(np.where(two, (a & 0x1F) << 6 | b & 0x3F, (a & 0xF) << 12 | (b & 0x3F) << 6 | c & 0x3F), WIDE)
+        for k in range(3):
+            white[lead[wide & ~two if k == 2 else wide] + k] = True
+    start = np.zeros(len(data) + 1, bool)
+    start[1:-1] = white[1:] & ~white[:-1]
+    start[borders] = True
+    start[[0, -1]] = True
+    return np.flatnonzero(start)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -73,6 +102,38 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Places:
+    """Where each of some distinct keys (64-bit, 0 or more) stands, by a hash table with linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys.astype(np.int64), -1)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), len(keys), np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(self.keys[:-1])
+        while len(left):
+            free = self.slots[slot] == len(keys)
+            self.slots[slot[free]] = left[free]  # of those for one slot the last stays
+            out = self.slots[slot] != left
+            left, slot = left[out], (slot[out] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or how many there are for one that is none of them."""
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        held = self.keys[at]
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.slots)
+            at[left] = self.slots[slot[left]]
+            held = self.keys[at[left]]
+            left = left[(held != keys[left]) & (held >= 0)]
+        return at
+
+
 class Merges:
     """Vocabulary and merge ranks of a byte-level BPE file."""
 
@@ -87,16 +148,19 @@ class Merges:
             x, y = (raw(p) for p in (pair.split(" ") if isinstance(pair, str) else pair))
             pairs.append((self.ids[x] << 32 | self.ids[y], rank, self.ids[x + y]))
         self.ranks = {k: (rank, new) for k, rank, new in pairs}
-        self.pair, self.rank, self.new = (np.array(c) for c in zip(*sorted(pairs), strict=True))
+        pair, _, self.new = (np.array(c, np.int64) for c in zip(*sorted(pairs, key=lambda p: p[1]), strict=True))
+        self.places = Places(pair)  # a pair's place is its rank
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)])
-        self.first = self._look(self.single[:, None], self.single[None, :])
+        self.first = self.places.of((self.single[:, None] << 32 | self.single[None, :]).ravel()).reshape(256, 256)
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.table = [b""] * size
         for k, v in self.ids.items():
             self.table[v] = k
         for k, v in self.special.items():
             self.table[v] = k.encode()
+        self.parts = pa.array(self.table, pa.large_binary())
+        self.none = size  # the id of no token
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Packed token ids of distinct pre-tokens: the lowest-ranked pair first, leftmost among equals.
@@ -106,56 +170,50 @@ class Merges:
         out: list[bytes] = [b""] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         low = 0
-        for high in (8, 16, 32, 64):
+        for high in (8, 12, 16, 24, 32, 64):
             chosen = np.flatnonzero((lengths > low) & (lengths <= high))
             low = high
-            for at in range(0, len(chosen), 20_000):
-                some = chosen[at : at + 20_000].tolist()
+            for at in range(0, len(chosen), MERGED_WORDS):
+                some = chosen[at : at + MERGED_WORDS].tolist()
                 for i, ids in zip(some, self._merge_rows([words[i] for i in some], high), strict=True):
                     out[i] = ids
         for i in np.flatnonzero(lengths > low).tolist():
             out[i] = np.array(self._merge_long(self.single[list(words[i])].tolist()), "<u4").tobytes()
         return out
 
-    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Index of each pair among the sorted pairs, or -1."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), at, -1)
-
     def _merge_rows(self, words: list[bytes], width: int) -> list[bytes]:
-        n, none = len(words), np.iinfo(np.int64).max
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        n, none = len(words), len(self.new)
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
         size = np.array([len(w) for w in words])
         here = np.arange(width)
         alive = here < size[:, None]
-        sym = np.full((n, width + 1), -1)
-        sym[:, :width] = np.where(alive, self.single[raw], -1)
+        # Flat places of a matrix with one more column, which stands for the end and, before a first symbol, for the start.
+        wide = width + 1
+        sym = np.full((n, wide), self.none)
+        sym[:, :width] = np.where(alive, self.single[raw], self.none)
+        rank = np.full((n, wide), none, np.int32)
+        rank[:, : width - 1] = np.where(alive[:, 1:], self.first[raw[:, :-1], raw[:, 1:]], none)
         nxt = np.tile(np.minimum(here + 1, width), (n, 1))
-        prv = np.tile(here - 1, (n, 1))
-        prv = np.concatenate([prv, np.zeros((n, 1), prv.dtype)], axis=1)
-        found = np.full((n, width), -1)
-        found[:, :-1] = np.where(alive[:, 1:], self.first[raw[:, :-1], raw[:, 1:]], -1)
-        rank = np.where(found >= 0, self.rank[found], none)
+        prv = np.tile(np.append(np.where(here, here - 1, width), 0), (n, 1))
         rows = np.arange(n)
         while len(rows):
-            j = rank[rows].argmin(axis=1)
-            more = rank[rows, j] < none
-            rows, j = rows[more], j[more]
+            held = rank if len(rows) == n else rank[rows]
+            j = held.argmin(axis=1)
+            least = held[np.arange(len(rows)), j]
+            more = least < none
+            rows, j, least = rows[more], j[more], least[more]
             k = nxt[rows, j]
             after = nxt[rows, k]
-            sym[rows, j] = self.new[self._look(sym[rows, j], sym[rows, k])]
+            new = self.new[least]
+            sym[rows, j] = new
             nxt[rows, j] = after
             prv[rows, after] = j
             alive[rows, k] = False
             rank[rows, k] = none
             before = prv[rows, j]
-            found = self._look(sym[rows, j], sym[rows, after])
-            rank[rows, j] = np.where(found >= 0, self.rank[found], none)
-            there = before >= 0
-            r, i, j = rows[there], before[there], j[there]
-            found = self._look(sym[r, i], sym[r, j])
-            rank[r, i] = np.where(found >= 0, self.rank[found], none)
+            found = self.places.of(np.concatenate([new << 32 | sym[rows, after], sym[rows, before] << 32 | new]))
+            rank[rows, j] = found[: len(rows)]
+            rank[rows, before] = found[len(rows) :]
         flat = sym[:, :width][alive].astype("<u4").tobytes()
         ends = np.cumsum(alive.sum(axis=1)) * 4
         return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
@@ -245,6 +303,7 @@ class Lexicon:
         for name, size in (("final", n), ("key", m), ("target", m), ("output", m), ("where", words + 1), ("ids", total)):
             setattr(self, name, flat[at : at + size])
             at += size
+        self.arcs = Places(self.key)
 
     def get(self, words: list[bytes]) -> list[bytes | None]:
         """Packed ids of each word, None for those it lacks; all words walk the automaton abreast."""
@@ -259,8 +318,8 @@ class Lexicon:
         ends = []
         while len(rows):
             key = state[rows] << 8 | raw[starts[rows] + depth]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            went = self.key[at] == key
+            at = self.arcs.of(key)
+            went = at < len(self.key)
             rows, at = rows[went], at[went]
             ordinal[rows] += self.output[at]
             state[rows] = self.target[at]
@@ -280,16 +339,15 @@ class Codec:
         self.merges = merges_of(tokenizer)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.forget()
-        special = sorted(self.merges.special, key=len, reverse=True)
-        self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else lambda t: [t]
-        self.marks = special
+        marks = sorted((m.encode() for m in self.merges.special), key=len, reverse=True)
+        self.marks = re.compile(b"|".join(map(re.escape, marks))) if marks else None
 
     def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.room = MEMO_BYTES // 2
 
-    def _learn(self, units: set[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
         """Put the ids of units into the memo: pre-tokens by the lexicon, unseen ones by exact merging."""
         units, cut = pretokens(units)
         fresh = list(set(cut) - {END})
@@ -304,21 +362,50 @@ class Codec:
         self.memo.update(zip(units, [flat[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
         self.room -= 5 * sum(map(len, units)) + ENTRY_BYTES * len(units)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit integers."""
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where special tokens start and end; one that would reach into the next text is none, whatever it hides."""
+        raw = data.tobytes()
+        found = [m.span() for m in self.marks.finditer(raw)] if self.marks else []
+        if not found:
+            return np.zeros(0, np.int64)
+        touched = (np.searchsorted(offsets, np.array(found) - [0, 1], side="right") - 1).tolist()
+        rows = sorted({r for a, b in touched for r in range(a, b + 1)})
+        return np.array([x + offsets[r] for r in rows for m in self.marks.finditer(raw[offsets[r] : offsets[r + 1]]) for x in m.span()], np.int64)
+
+    def _packed(self, units: list[str], special: set[str]) -> list[bytes]:
+        """Packed ids of distinct units; those in ``special`` are special tokens."""
         if self.room < 0:  # units met again are taken over, so frequent ones are not learned anew
             self.older, self.memo, self.room = self.memo, {}, MEMO_BYTES // 2
-        special = self.merges.special
-        parts = [self.split(t) if t and any(mark in t for mark in self.marks) else [t or ""] for t in texts]
-        cut = [[UNITS.findall(p) if p not in special else p for p in ps] for ps in parts]
-        missing = {u for ps in cut for us in ps if not isinstance(us, str) for u in us} - self.memo.keys()
-        again = missing & self.older.keys()
-        self.memo.update((u, self.older[u]) for u in again)
-        self.room -= 5 * sum(map(len, again)) + ENTRY_BYTES * len(again)
-        self._learn(missing - again)
-        memo = self.memo
-        one = lambda us: special[us].to_bytes(4, "little") if isinstance(us, str) else b"".join([memo[u] for u in us])
-        return [b"".join(map(one, ps)) for ps in cut]
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, units))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        fresh = []
+        for i in lacking:
+            unit = units[i]
+            if unit in special:
+                found[i] = self.merges.special[unit].to_bytes(4, "little")
+            elif (ids := older.get(unit)) is not None:
+                found[i] = memo[unit] = ids
+                self.room -= 5 * len(unit) + ENTRY_BYTES
+            else:
+                fresh.append(unit)
+        self._learn(fresh)
+        for i in lacking:
+            if found[i] is None:
+                found[i] = memo[units[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Token ids of each text as little-endian unsigned 32-bit integers, and how many; distinct units are looked up once."""
+        data, offsets = buffers(texts)
+        marked = self._marked(data, offsets)
+        edges = unit_edges(data, np.concatenate([offsets, marked])) if len(data) else np.zeros(1, np.int64)
+        found, codes = distinct(data, edges)
+        units = listed(found)
+        special = self.merges.special.keys() & set(units) if len(marked) else set()
+        packed = pa.array(self._packed(units, special), pa.large_binary())
+        ids, at = dealt(packed, codes, np.searchsorted(edges, offsets))
+        return column_of(ids, at), np.diff(at) >> 2
 
 
 _merges: dict[str, Merges] = {}
@@ -346,6 +433,24 @@ def decoded(ids: bytes, table: list[bytes]) -> str:
     return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+def decoded_all(ids: pa.Array, merges: Merges) -> pa.Array:
+    """The texts of a column of packed ids."""
+    data, offsets = buffers(ids)
+    raw, at = dealt(merges.parts, data.view("<u4"), offsets >> 2)
+    try:
+        raw.tobytes().decode()
+        whole = not ((raw[at[:-1][np.diff(at) > 0]] & 0xC0) == 0x80).any()  # no character goes over from one row to the next
+    except UnicodeDecodeError:
+        whole = False
+    return column_of(raw, at, text=True) if whole else pa.array([decoded(i or b"", merges.table) for i in ids.to_pylist()], pa.string())
+
+
+def summed(parts: Iterable[pa.Array], times: Iterable[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings of all parts, and the sum of their times."""
+    found = pa.concat_arrays(list(parts)).dictionary_encode()
+    return found.dictionary, np.bincount(found.indices, np.concatenate(list(times)), len(found.dictionary))
+
+
 def frequent_words(docs: DataFrame, column: str = "text", most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent pre-tokens of the whole corpus, counted per task and then summed by word.
 
@@ -355,32 +460,35 @@ def frequent_words(docs: DataFrame, column: str = "text", most: int = LEXICON_WO
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: Counter = Counter()
-        room = COUNT_BYTES
-
         def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for some in itertools.batched(units, 20_000):
-                some, cut = pretokens(some)
-                each = map(units.__getitem__, some)
-                n = next(each)
-                for word in cut:
-                    if word == END:
-                        n = next(each, 0)
-                    elif len(word) < 64:
-                        words[word] += n
-            units.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
-
+            words, times = [pa.array([], pa.large_string())], [np.zeros(0)]
+            for units, n in held:
+                for some in itertools.batched(zip(listed(units), n.tolist(), strict=True), 20_000):
+                    known = dict(some)
+                    some, cut = pretokens(known)
+                    ends = np.flatnonzero(np.fromiter(map(END.__eq__, cut), bool, len(cut)))
+                    words.append(pa.array([w for w in cut if w != END], pa.large_string()))
+                    times.append(np.repeat([float(known[u]) for u in some], np.diff(ends, prepend=-1) - 1))
+            word, n = summed(words, times)
+            short = pc.less(pc.utf8_length(word), 64)
+            return pa.RecordBatch.from_pydict({"word": word.filter(short).cast(pa.string()), "n": pa.array(n.astype(np.int64)).filter(short)})
+
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        room = COUNT_UNITS
         for batch in chunks(batches, column):
-            before = len(units)
-            for text in batch.column(0).to_pylist():
-                if text:
-                    units.update(UNITS.findall(text))
-            room -= ENTRY_BYTES * (len(units) - before)
+            data, offsets = buffers(batch.column(0))
+            if not len(data):
+                continue
+            units, codes = distinct(data, unit_edges(data, offsets))
+            held.append((units.cast(pa.large_string()), np.bincount(codes)))
+            room -= len(units)
             if room < 0:
-                yield out()
-                room = COUNT_BYTES
+                held = [summed(*zip(*held, strict=True))]
+                room = COUNT_UNITS - len(held[0][0])
+                if room < COUNT_UNITS // 3:
+                    yield out()
+                    held, room = [], COUNT_UNITS
+        held = [summed(*zip(*held, strict=True))] if held else []
         yield out()
 
     bounded(docs.sparkSession)
@@ -428,9 +536,9 @@ def encode(docs: DataFrame, tokenizer: str, column: str = "text", lexicon: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(tokenizer, lexicon)
         try:
-            for batch in chunks(batches, column, 1 << 20):
-                ids = work.encode(batch.column(batch.schema.get_field_index(column)).to_pylist())
-                yield _added(batch, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())})
+            for batch in chunks(batches, column, TEXT_BYTES):
+                ids, n = work.encode(batch.column(batch.schema.get_field_index(column)))
+                yield _added(batch, {"ids": ids, "n_tokens": pa.array(n, pa.int64())})
         finally:  # the worker lives on
             work.forget()
 
@@ -444,10 +552,9 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Add ``decoded``: the text of ``ids``, special tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merges_of(tokenizer).table
+        merges = merges_of(tokenizer)
         for batch in chunks(batches, "ids"):
-            texts = [decoded(i or b"", table) for i in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
-            yield _added(batch, {"decoded": pa.array(texts, pa.string())})
+            yield _added(batch, {"decoded": decoded_all(batch.column(batch.schema.get_field_index("ids")), merges)})
 
     base = encoded.drop("decoded")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "decoded string"])

@@ -185,6 +185,31 @@ def word_hashes(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return words[:, 0], first
 
 
+def distinct(data: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The distinct spans between consecutive ``edges`` (the first is 0, the last the length), as UTF-8, and which of them each span is."""
+    found = column_of(data, edges, text=True).dictionary_encode()
+    return found.dictionary, found.indices
+
+
+def listed(column: pa.Array) -> list:
+    """The values of a column of strings or bytes, many times faster than by ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def column_of(raw: np.ndarray, edges: np.ndarray, text: bool = False) -> pa.Array:
+    """A binary or string column over one buffer, cut at ``edges``."""
+    wide = edges[-1] >= 1 << 31
+    kind = (pa.large_string if wide else pa.string) if text else (pa.large_binary if wide else pa.binary)
+    where = pa.py_buffer(edges.astype(np.int64 if wide else np.int32))
+    return pa.Array.from_buffers(kind(), len(edges) - 1, [None, where, pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def dealt(parts: pa.Array, codes: pa.Array | np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``parts`` (large_binary) that ``codes`` name, one after another, and where those of each row start (``first``: its first code)."""
+    raw, ends = buffers(parts.take(codes if isinstance(codes, pa.Array) else pa.array(codes)))
+    return raw, ends[first]
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Fingerprints of every ``size`` consecutive entries of ``words`` (row borders are the caller's business)."""
     n = len(words) - size + 1

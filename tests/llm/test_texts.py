@@ -575,3 +575,39 @@ def test_units_are_cut_many_at_a_time(monkeypatch):
             monkeypatch.setattr(bpe_codec, "PRETOKENS", None)  # of these none is cut alone
         ordered, cut = bpe_codec.pretokens(some)
         assert set(ordered) == some and cut == [w for u in ordered for w in (*expected[u], bpe_codec.END)]
+
+
+def test_codec_without_a_string_for_each_unit(monkeypatch):
+    path, t = public_tokenizers.path("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    white = [" ", "\n", "\t", "\x1c", *map(chr, bpe_codec.WIDE.tolist())]
+    rng = np.random.default_rng(7)
+    letters = white + list("aéñ'1,.—你🙂\x00ÂáâãÇ‐᠎")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(2000)]
+    data, borders = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts)])
+    found, codes = bpe_codec.distinct(data, bpe_codec.unit_edges(data, borders))
+    assert found.take(codes).to_pylist() == [u for x in texts for u in bpe_codec.UNITS.findall(x)]
+    mark = "<|endoftext|>"
+    texts += [None, "", mark, f"a  {mark} b{mark}{mark}", "x <|endof", "text|>", f"<|endof{mark}", "text|>", "tail<|endof", f"text|>{mark}", "thing " * 300, "q" * 200]
+    monkeypatch.setattr(bpe_codec, "UNITS", None)
+    work = bpe_codec.Codec(path, None)
+    for column in (pa.array(texts), pa.array(["before", *texts])[1:]):
+        ids, n = work.encode(column)
+        expected = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == expected and n.tolist() == list(map(len, expected))
+        assert bpe_codec.decoded_all(ids, work.merges).to_pylist() == [x or "" for x in texts]
+    monkeypatch.setattr(bpe_codec, "MEMO_BYTES", 4000)  # generations follow each other
+    work.forget()
+    for at in range(0, len(texts), 50):
+        assert work.encode(pa.array(texts[at : at + 50], pa.string()))[0].to_pylist() == ids[at : at + 50].to_pylist()
+    single = [work.merges.ids[bytes([b])] for b in "é你".encode()]
+    cut = pa.array([np.array(x, "<u4").tobytes() for x in (single[:1], single[1:], [], single[2:4])])
+    assert bpe_codec.decoded_all(cut, work.merges).to_pylist() == ["�", bytes("é你".encode()[1:]).decode("utf-8", "replace"), "", "é你".encode()[2:4].decode("utf-8", "replace")]
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 62, 5000))
+    places = bpe_codec.Places(rng.permutation(keys))
+    assert (places.keys[places.of(keys)] == keys).all()
+    assert (places.of(keys + 1) == np.where(np.isin(keys + 1, keys), places.of(keys + 1), len(keys))).all()
+    assert (bpe_codec.Places(keys[:0]).of(keys) == 0).all()
