@@ -185,9 +185,9 @@ def word_hashes(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return words[:, 0], first
 
 
-def distinct(data: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """The distinct spans between consecutive ``edges`` (the first is 0, the last the length), as UTF-8, and which of them each span is."""
-    found = column_of(data, edges, text=True).dictionary_encode()
+def distinct(data: np.ndarray, edges: np.ndarray, text: bool = True) -> tuple[pa.Array, pa.Array]:
+    """The distinct spans between consecutive ``edges`` (the first is 0, the last the length), as strings or bytes, and which of them each span is."""
+    found = column_of(data, edges, text).dictionary_encode()
     return found.dictionary, found.indices
 
 

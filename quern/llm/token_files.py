@@ -15,6 +15,7 @@ no shard. Other columns are not part of the format.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.errors import QueryError
 from quern.llm.bpe_codec import byte_letters
 from quern.llm.spark import beside, bounded
-from quern.llm.texts import chunks, spared
+from quern.llm.texts import SPACE, buffers, chunks, dealt, distinct, listed, spared, word_spans
 
 MAGIC = b"QTK1"
 #: Documents that the dictionary is trained on, give or take chance (a hash of doc_id draws them), and its bytes.
@@ -54,7 +55,8 @@ STEPS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 )
-_LETTERS = {b: c for b, c in byte_letters().items() if chr(b) != c}
+_LETTERS = np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u4")
+_BREAK = chr(_LETTERS[10])
 
 
 class WordCoder:
@@ -111,7 +113,7 @@ class WordCoder:
             return None
         cut = PARTS.findall(text.lower())
         parts = [p for p in dict.fromkeys(cut) if p != "\n"]
-        letters = "\n".join(parts).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
+        letters = _LETTERS[np.frombuffer("\n".join(parts).encode(), np.uint8)].tobytes().decode("utf-32-le").split(_BREAK)
         batches = [letters[i : i + 1000] for i in range(0, len(letters), 1000)]
         ids = np.array([i for e in self.model.encode_batch_fast(batches, is_pretokenized=True, add_special_tokens=False) for i in e.ids], "<u4")
         ends = (np.flatnonzero(self.last[ids]) + 1) * 4
@@ -124,16 +126,24 @@ class WordCoder:
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Packed ids of each text, then ``end``; distinct words are looked up once."""
         if self.room < 0:
             self.memo, self.room = {}, MEMO_BYTES
-        words = [t.encode().split() if t else [] for t in texts]
-        found = [list(map(self.memo.get, ws)) for ws in words]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        if lacking:
-            self._learn(list({w for i in lacking for w, ids in zip(words[i], found[i], strict=True) if ids is None}))
-            for i in lacking:
-                found[i] = map(self.memo.__getitem__, words[i])
-        return [b"".join(ids) for ids in found]
+        data, offsets = buffers(texts)
+        starts, ends, first = word_spans(data, offsets)
+        found, codes = distinct(data[~SPACE[data]], np.cumsum(np.append(0, ends - starts)), text=False)
+        words = listed(found)
+        packed = list(map(self.memo.get, words))
+        lacking = [i for i, ids in enumerate(packed) if ids is None]
+        self._learn([words[i] for i in lacking])
+        for i in lacking:
+            packed[i] = self.memo[words[i]]
+        ids, at = dealt(pa.array(packed, pa.large_binary()), codes, first)
+        raw, at = ids.tobytes(), at.tolist()
+        return [raw[a:b] + end for a, b in itertools.pairwise(at)]
 
 
 _coders: dict[str, WordCoder] = {}
@@ -146,8 +156,7 @@ def coder(tokenizer: str) -> WordCoder:
 
 
 def _encoded(texts: pa.Array, tokenizer: str, end: int) -> list[bytes]:
-    last = end.to_bytes(4, "little")
-    return [ids + last for ids in coder(tokenizer).encode(texts.to_pylist())]
+    return coder(tokenizer).encode_column(texts, end.to_bytes(4, "little"))
 
 
 def pack(ids: bytes, width: int) -> bytes:

@@ -611,3 +611,22 @@ def test_places_of_keys():
     assert (places.keys[places.of(keys)] == keys).all()
     assert (places.of(keys + 1) == np.where(np.isin(keys + 1, keys), places.of(keys + 1), len(keys))).all()
     assert (bpe_codec.Places(keys[:0]).of(keys) == 0).all()
+
+
+def test_word_coder_looks_up_distinct_words_once():
+    class Seen(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    work = token_files.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(9)
+    letters = list("aé ñ'1,\n\t\v\f\r你🙂\x00\x1c") + ["the ", "\u0085", " ", " ", "　"]
+    rows = [None, "", "  ", *("".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(400)), "again and again " * 5000]
+    work.memo = Seen()
+    found = work.encode_column(pa.array(["before", *rows])[1:], b"\2\0\0\0")
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [[*work.library.encode(x or "", add_special_tokens=False).ids, 2] for x in rows]
+    assert work.memo.asked == len(work.memo)
+    assert work.encode_column(pa.array([], pa.string())) == [] and work.encode([None, "again"])[0] == b""
