@@ -61,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    back = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    back = bpe_codec.encode(docs, path, back=True)
     return back.select("doc_id", "source", "lang", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

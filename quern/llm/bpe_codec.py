@@ -15,6 +15,7 @@ clashing names are replaced by the operator's own.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import json
@@ -55,7 +56,7 @@ TEXT_BYTES = 1 << 20
 #: Words that are merged at once: their matrices fit a core's cache.
 MERGED_WORDS = 2_000
 #: Bytes that a task remembers of units, in two generations; it forgets all when it ends.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 32 << 20
 #: Bytes of a remembered entry beside its text and ids.
 ENTRY_BYTES = 190
 #: Units of the tables in which a task counts them before it sends what it has.
@@ -134,33 +135,52 @@ class Places:
         return at
 
 
+def vocabulary(path: str) -> tuple[pa.Array, dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a byte-level BPE file: the bytes of every id, special tokens, the ids of single bytes, pairs by rank and their new ids.
+
+    All of it in few objects: a worker keeps them, and what is only needed here goes.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    back = {c: b for b, c in byte_letters().items()}
+    raw = lambda s: bytes(back[c] for c in s)
+    ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    merges = [[raw(p) for p in (m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    pair = np.array([ids[x] << 32 | ids[y] for x, y in merges], np.int64)
+    new = np.array([ids[x + y] for x, y in merges], np.int64)
+    table = [b""] * (max([*ids.values(), *special.values()]) + 1)
+    for k, v in [*ids.items(), *((k.encode(), v) for k, v in special.items())]:
+        table[v] = k
+    return pa.array(table, pa.large_binary()), special, np.array([ids[bytes([b])] for b in range(256)]), pair, new
+
+
 class Merges:
     """Vocabulary and merge ranks of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        back = {c: b for b, c in byte_letters().items()}
-        raw = lambda s: bytes(back[c] for c in s)
-        self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
-        pairs = []
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            x, y = (raw(p) for p in (pair.split(" ") if isinstance(pair, str) else pair))
-            pairs.append((self.ids[x] << 32 | self.ids[y], rank, self.ids[x + y]))
-        self.ranks = {k: (rank, new) for k, rank, new in pairs}
-        pair, _, self.new = (np.array(c, np.int64) for c in zip(*sorted(pairs, key=lambda p: p[1]), strict=True))
-        self.places = Places(pair)  # a pair's place is its rank
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.single = np.array([self.ids[bytes([b])] for b in range(256)])
-        self.first = self.places.of((self.single[:, None] << 32 | self.single[None, :]).ravel()).reshape(256, 256)
-        size = max([*self.ids.values(), *self.special.values()]) + 1
-        self.table = [b""] * size
-        for k, v in self.ids.items():
-            self.table[v] = k
-        for k, v in self.special.items():
-            self.table[v] = k.encode()
-        self.parts = pa.array(self.table, pa.large_binary())
-        self.none = size  # the id of no token
+        self.parts, self.special, self.single, self.pair, self.new = vocabulary(path)
+        self.none = len(self.parts)  # the id of no token
+
+    @functools.cached_property
+    def table(self) -> list[bytes]:
+        """The bytes of every id, one by one; only for texts that are no UTF-8."""
+        return self.parts.to_pylist()
+
+    @functools.cached_property
+    def places(self) -> Places:
+        """A pair's place is its rank. This and the next two are made where something is merged, not where ids are decoded."""
+        return Places(self.pair)
+
+    @functools.cached_property
+    def first(self) -> np.ndarray:
+        """Ranks of the pairs of bytes."""
+        return self.places.of((self.single[:, None] << 32 | self.single[None, :]).ravel()).reshape(256, 256)
+
+    @functools.cached_property
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """Rank and new id of every pair, for the longest words only."""
+        return dict(zip(self.pair.tolist(), enumerate(self.new.tolist()), strict=True))
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Packed token ids of distinct pre-tokens: the lowest-ranked pair first, leftmost among equals.
@@ -529,8 +549,11 @@ def _added(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatc
     return pa.RecordBatch.from_pydict(kept | columns)
 
 
-def encode(docs: DataFrame, tokenizer: str, column: str = "text", lexicon: str | None = None) -> DataFrame:
-    """Add ``ids`` (binary) and ``n_tokens`` to every row. ``lexicon``: from ``send_lexicon``, else built here."""
+def encode(docs: DataFrame, tokenizer: str, column: str = "text", lexicon: str | None = None, back: bool = False) -> DataFrame:
+    """Add ``ids`` (binary) and ``n_tokens`` to every row. ``lexicon``: from ``send_lexicon``, else built here.
+
+    ``back``: add ``decoded`` as ``decode`` does, in the same Python worker; a second one takes room beside it.
+    """
     lexicon = lexicon or send_lexicon(docs, tokenizer, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,13 +561,14 @@ def encode(docs: DataFrame, tokenizer: str, column: str = "text", lexicon: str |
         try:
             for batch in chunks(batches, column, TEXT_BYTES):
                 ids, n = work.encode(batch.column(batch.schema.get_field_index(column)))
-                yield _added(batch, {"ids": ids, "n_tokens": pa.array(n, pa.int64())})
+                yield _added(batch, {"ids": ids, "n_tokens": pa.array(n, pa.int64())} | ({"decoded": decoded_all(ids, work.merges)} if back else {}))
         finally:  # the worker lives on
             work.forget()
 
     bounded(docs.sparkSession)
-    base = docs.drop("ids", "n_tokens")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "ids binary, n_tokens bigint"])
+    added = ["ids binary", "n_tokens bigint", *["decoded string"] * back]
+    base = docs.drop(*(a.split()[0] for a in added))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *added])
     return base.mapInArrow(spared(run), schema)
 
 

@@ -33,8 +33,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give digests of both."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_codec.encode(docs, path).select("doc_id", "ids", "n_tokens")
-    back = bpe_codec.decode(ids, path)
+    back = bpe_codec.encode(docs, path, back=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

@@ -599,7 +599,7 @@ def test_codec_without_a_string_for_each_unit(monkeypatch):
     work.forget()
     for at in range(0, len(texts), 50):
         assert work.encode(pa.array(texts[at : at + 50], pa.string()))[0].to_pylist() == ids[at : at + 50].to_pylist()
-    single = [work.merges.ids[bytes([b])] for b in "é你".encode()]
+    single = work.merges.single[list("é你".encode())].tolist()
     cut = pa.array([np.array(x, "<u4").tobytes() for x in (single[:1], single[1:], [], single[2:4])])
     assert bpe_codec.decoded_all(cut, work.merges).to_pylist() == ["�", bytes("é你".encode()[1:]).decode("utf-8", "replace"), "", "é你".encode()[2:4].decode("utf-8", "replace")]
 
@@ -630,3 +630,12 @@ def test_word_coder_looks_up_distinct_words_once():
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [[*work.library.encode(x or "", add_special_tokens=False).ids, 2] for x in rows]
     assert work.memo.asked == len(work.memo)
     assert work.encode_column(pa.array([], pa.string())) == [] and work.encode([None, "again"])[0] == b""
+
+
+def test_codec_round_trip_in_one_worker(spark, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = make(spark, rows)
+    one = bpe_codec.encode(docs, path, back=True)
+    two = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    assert Counter(map(repr, one.select(*two.columns).collect())) == Counter(map(repr, two.collect()))
+    assert corpus_pipeline.tokens(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
