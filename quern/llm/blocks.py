@@ -69,6 +69,11 @@ def block_id(n: int) -> int:
     return TaskContext.get().partitionId() << 24 | n
 
 
+def home(block: int, n: int) -> int:
+    """The range that keeps a block's own rows: evenly over all ranges, whatever power of two divides their number."""
+    return (block * 0x9E3779B97F4A7C15 >> 40 & 0xFFFFFF) % n
+
+
 def sliced(hashes: np.ndarray, n: int, *others: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Parts of sorted hashes (and what stands beside them) by range; empty ones are left out."""
     if not len(hashes):

@@ -9,7 +9,8 @@ from quern.llm.spark import by_key, dropped, written
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("a", "b"), 8)).alias("h")).first()
+    """How many distinct edges there are, and a hash of the set: an exclusive or, as a sum of hashes overflows beyond some 100,000."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
     return row["n"], row["h"]
 
 

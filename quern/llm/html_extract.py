@@ -279,7 +279,7 @@ def repeated(rows: DataFrame, text_bytes: int, run: int, least: int, known: bool
             need[of_page] = batch.column(2).to_numpy()
             raw = [x.encode() for x in hosts.tolist()]
             table = (owner, need, np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))
-            yield blocks.blobs([*out, (me % n_ranges, me, b"d" + blocks.pack(*table))])
+            yield blocks.blobs([*out, (blocks.home(me, n_ranges), me, b"d" + blocks.pack(*table))])
 
     def answer(block: list, payload: list[bytes]) -> Iterator[pa.RecordBatch]:
         out = [(0, b, x) for b, x in zip(block, payload, strict=True) if x[:1] == b"d"]

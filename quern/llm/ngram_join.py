@@ -118,7 +118,7 @@ def can_link(docs: DataFrame, column: str = "text", words: int = WORDS, share: t
             shared = np.bincount(again, minlength=len(size)).astype(np.uint32)
             me = blocks.block_id(number)
             rows = [(r, me, b"e" + blocks.pack((x >> np.uint64(16)), o)) for r, (x, o) in blocks.sliced(h, n_ranges, owner)]
-            rows.append((me % n_ranges, me, b"d" + blocks.pack(np.frombuffer(b"".join(names), np.uint8), size.astype(np.uint32), shared)))
+            rows.append((blocks.home(me, n_ranges), me, b"d" + blocks.pack(np.frombuffer(b"".join(names), np.uint8), size.astype(np.uint32), shared)))
             return blocks.blobs(rows)
 
         for name, keys, at in _sets_of(batches, column, words):
@@ -178,7 +178,7 @@ def members(sets: DataFrame, text_bytes: int, share: tuple[int, int] = SHARE, wo
             h, count = np.unique(keys, return_counts=True)
             me = blocks.block_id(number)
             rows = [(r, me, b"e" + blocks.pack(x, c)) for r, (x, c) in blocks.sliced(h, n_ranges, count.astype(np.uint32))]
-            rows.append((me % n_ranges, me, b"d" + blocks.pack(np.frombuffer(b"".join(names), np.uint8), size.astype(np.uint32), keys)))
+            rows.append((blocks.home(me, n_ranges), me, b"d" + blocks.pack(np.frombuffer(b"".join(names), np.uint8), size.astype(np.uint32), keys)))
             return blocks.blobs(rows)
 
         for batch in chunks(batches, "text"):

@@ -103,7 +103,7 @@ def shared_names(docs: DataFrame, n_ranges: int) -> DataFrame:
             h, owner, again, who = blocks.local(np.concatenate(parts), np.concatenate(owners))
             me = blocks.block_id(number)
             rows = [(r, me, b"e" + blocks.pack(x >> np.uint64(16), (x & np.uint64(0xFFFF)).astype(np.uint16), o)) for r, (x, o) in blocks.sliced(h, n_ranges, owner)]
-            rows.append((me % n_ranges, me, b"d" + blocks.pack(np.array(ids, np.int64), np.array(ties, np.int64), (again & np.uint64(0xFFFF)).astype(np.uint16), who)))
+            rows.append((blocks.home(me, n_ranges), me, b"d" + blocks.pack(np.array(ids, np.int64), np.array(ties, np.int64), (again & np.uint64(0xFFFF)).astype(np.uint16), who)))
             return blocks.blobs(rows)
 
         for batch in chunks(batches, "text"):
@@ -168,7 +168,7 @@ def later_windows(texts: DataFrame, n_ranges: int, window: int = WINDOW) -> Data
             late = (ids != ids[lead]) | (ties != ties[lead]) | (starts != starts[lead])
             me = blocks.block_id(number)
             rows = [(r, me, b"e" + blocks.pack(*x)) for r, (y, z) in blocks.sliced(h[new], n_ranges, np.flatnonzero(new)) for x in [(y, more[z], ids[z], ties[z], starts[z])]]
-            rows.append((me % n_ranges, me, b"d" + blocks.pack(ids[late], ties[late], starts[late])))
+            rows.append((blocks.home(me, n_ranges), me, b"d" + blocks.pack(ids[late], ties[late], starts[late])))
             return blocks.blobs(rows)
 
         for batch in chunks(batches, "text"):

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quern.errors import QueryError
-from quern.llm import bpe_codec, language_id, mixing, ngram_join, quality, queries, substring_dedup, texts, token_files
+from quern.llm import blocks, bpe_codec, graph, language_id, mixing, ngram_join, quality, queries, substring_dedup, texts, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, n string"
 
@@ -639,3 +639,15 @@ def test_codec_round_trip_in_one_worker(spark, rows):
     two = bpe_codec.decode(bpe_codec.encode(docs, path), path)
     assert Counter(map(repr, one.select(*two.columns).collect())) == Counter(map(repr, two.collect()))
     assert corpus_pipeline.tokens(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_many_links_have_a_fingerprint(spark):
+    edges = spark.range(400_000).select(F.md5(F.col("id").cast("string")).alias("a"), F.md5(F.concat(F.lit("b"), "id")).alias("b"))
+    n, h = graph._print(edges)
+    assert n == 400_000 and graph._print(edges.repartition(3)) == (n, h) != graph._print(edges.where("a <> b").limit(399_999))
+
+
+@pytest.mark.parametrize("n", [64, 512, 750, 1280])
+def test_rows_of_blocks_are_kept_in_all_ranges(n):
+    found = Counter(blocks.home(part << 24 | k, n) for part in range(n) for k in range(4))
+    assert len(found) > 0.9 * n and max(found.values()) < 20
