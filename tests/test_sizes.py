@@ -29,3 +29,7 @@ def same(spark, folder, name, tables=TABLES):
 
 def test_an_operation_on_thousands_of_rows_is_undone(spark, many):
     assert same(spark, many, "revert_operation", ["orders"])
+
+
+def test_a_transaction_of_thousands_of_rows(spark, many):
+    assert same(spark, many, "transaction_ops", ["orders"])
