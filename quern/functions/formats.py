@@ -45,13 +45,13 @@ def currency(value: Column, code: str = "USD", html: bool = False) -> Column:
     return F.concat(minus, F.lit(f'<span class="symbol">{sign}</span>'), whole, marked)
 
 
-def storage(size: Column) -> Column:
-    """Bytes in units of 1000: ``23 kB``, ``1.5 MB``."""
+def storage(size: Column, largest: str = "TB") -> Column:
+    """Bytes in units of 1000: ``23 kB``, ``1.5 MB``; nothing is put in a unit beyond the ``largest``, as in ``1,414 GB``."""
     size = F.coalesce(size, F.lit(0))
-    out = None
-    for limit, unit, one, decimals in STORAGE:
+    out, last = None, max(i for i, (_, unit, *_) in enumerate(STORAGE) if unit == largest)
+    for i, (limit, unit, one, decimals) in enumerate(STORAGE[: last + 1]):
         text = F.concat(_plain(size.cast("decimal(38,10)") / F.lit(one).cast("decimal(14,0)"), decimals), F.lit(f" {unit}"))
-        fits = size < limit if limit else F.lit(True)
+        fits = size < limit if i < last else F.lit(True)
         out = F.when(fits, text) if out is None else out.when(fits, text)
     return out
 

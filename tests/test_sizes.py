@@ -33,3 +33,7 @@ def test_an_operation_on_thousands_of_rows_is_undone(spark, many):
 
 def test_a_transaction_of_thousands_of_rows(spark, many):
     assert same(spark, many, "transaction_ops", ["orders"])
+
+
+def test_storage_past_a_terabyte_is_text_as_in_its_sql(spark, many):
+    assert same(spark, many, "format_values", ["orders"])
