@@ -37,3 +37,8 @@ def test_a_transaction_of_thousands_of_rows(spark, many):
 
 def test_storage_past_a_terabyte_is_text_as_in_its_sql(spark, many):
     assert same(spark, many, "format_values", ["orders"])
+
+
+def test_typos_are_found_in_a_dictionary_past_the_guard(spark, sf, monkeypatch):
+    monkeypatch.setattr("quern.plans.store.DICTIONARY_GUARD", 10)
+    assert same(spark, sf, "stored_prefix_typo")
