@@ -81,3 +81,19 @@ def test_accents_meet(spark, small):
 def test_entry_searches_full_tokens(spark, monkeypatch, small):
     monkeypatch.setattr(__spark_entry__, "table", lambda spark, folder, name: spark.createDataFrame([(1, "thing2 there"), (2, "thíng"), (3, "nothing")], "doc_id long, text string"))
     assert {r["doc_id"] for r in __spark_entry__.entry(spark).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("how", [{"exact": True}, {}])
+def test_a_query_splits_the_texts_once(spark, how):
+    docs = spark.createDataFrame([(1, "The thing, théré"), (2, "things there the"), (3, None), (3, "Thing THE thing"), (4, "")], "doc_id long, text string")
+    index = plan.Index(docs, "doc_id", ["text"])
+    found = plan.scored(index, ["the", "thing"], **how)
+    want = {1: 2, 2: 1, 3: 2} if how else {1: 2, 2: 2, 3: 2}
+    assert {r["doc_id"]: r["hits"] for r in found.collect()} == want
+    assert "EvalPython" not in found._jdf.queryExecution().toString()
+    assert {(r["doc_id"], r["len"]) for r in index.lengths.collect()} == {(1, 3), (2, 3), (3, 3), (4, 0)}
+
+
+def test_tokens_of_pieces_are_those_of_the_whole_text():
+    for value, want in (("Straße, café́s ﬁne", ["straße", "cafes", "fine"]), ("a¨b", ["a", "b"]), ("ABC abc Abc aBc x1 1x.", ["abc", "abc", "abc", "abc", "a", "bc", "x1", "1x"]), ("-- ' .", [])):
+        assert text.tokens_of(value) == want
