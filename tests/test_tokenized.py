@@ -97,3 +97,13 @@ def test_a_query_splits_the_texts_once(spark, how):
 def test_tokens_of_pieces_are_those_of_the_whole_text():
     for value, want in (("Straße, café́s ﬁne", ["straße", "cafes", "fine"]), ("a¨b", ["a", "b"]), ("ABC abc Abc aBc x1 1x.", ["abc", "abc", "abc", "abc", "a", "bc", "x1", "1x"]), ("-- ' .", [])):
         assert text.tokens_of(value) == want
+
+
+def test_tokens_of_a_batch_are_not_all_held_at_once(monkeypatch):
+    import pyarrow as pa
+
+    held, most = [], []
+    monkeypatch.setattr(text, "tokens_of", lambda x: held.append(x) or [x])
+    monkeypatch.setattr(text.pa, "array", lambda rows, kind, real=pa.array: most.append(len(held)) or held.clear() or real(rows, kind))
+    got = text.tokens.func(real_array := pa.chunked_array([[str(i) for i in range(501)]]).combine_chunks())
+    assert got.to_pylist() == [[x] for x in real_array.to_pylist()] and max(most) <= 50
